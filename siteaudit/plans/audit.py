@@ -52,9 +52,9 @@ class AuditTables:
 
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
     """Crawl snapshot derived from the driver's ``pages`` table (see sources.fixtures)."""
-    crawl = fx.crawl(spark, sf_dir)
-    return AuditInputs(crawl=crawl, sites=fx.sites(spark, crawl),
-                       sitemap_urls_raw=fx.sitemap_urls_raw(spark, crawl), probes=fx.probes(spark, crawl))
+    snap = fx.snapshot(spark, sf_dir)
+    return AuditInputs(crawl=snap["crawl"], sites=snap["sites"], sitemap_urls_raw=snap["sitemap_urls_raw"],
+                       probes=snap["probes"])
 
 
 def prepare_sites(sites: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     b = b.master(master or os.environ.get("SITEAUDIT_MASTER", "local[*]"))
     b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.showConsoleProgress", "false")
     b = b.config("spark.driver.memory", os.environ.get("SITEAUDIT_DRIVER_MEMORY", "8g"))
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     for k, v in _DEFAULTS.items():

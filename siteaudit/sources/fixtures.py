@@ -251,3 +251,30 @@ def sitemap_files(spark: SparkSession, crawl_df: DataFrame, sites_df: DataFrame,
 
 def targets(spark: SparkSession, crawl_df: DataFrame) -> DataFrame:
     return bind(spark, TARGETS_SQL, crawl=crawl_df)
+
+
+_SNAPSHOTS: dict = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> dict:
+    """All fixture tables of ``sf_dir``, materialised once per session.
+
+    A real audit reads its snapshot tables from storage; the fixture stands in
+    for them and is cut from its SQL lineage with ``checkpoint`` (into the
+    session's ``spark.checkpoint.dir``) so downstream plans start from tables.
+    """
+    from siteaudit.session import checkpoint_dir
+
+    key = (id(spark), sf_dir)
+    if key not in _SNAPSHOTS:
+        checkpoint_dir(spark)
+        c = crawl(spark, sf_dir).checkpoint(eager=True)
+        s = sites(spark, c).checkpoint(eager=True)
+        raw = sitemap_urls_raw(spark, c).checkpoint(eager=True)
+        _SNAPSHOTS[key] = {
+            "crawl": c, "sites": s, "sitemap_urls_raw": raw,
+            "probes": probes(spark, c).checkpoint(eager=True),
+            "sitemap_files": sitemap_files(spark, c, s, raw).checkpoint(eager=True),
+            "targets": targets(spark, c).checkpoint(eager=True),
+        }
+    return _SNAPSHOTS[key]
