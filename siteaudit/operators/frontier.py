@@ -26,6 +26,7 @@ from siteaudit.functions import urls as U
 from siteaudit.session import checkpoint_dir
 
 T = ["site", "path_prefix"]
+MAX_PAGES_LIMIT = 100  # the page budget is clamped to 1..100 per target
 
 
 def hub_links(pages: DataFrame, root_col: str = "root") -> DataFrame:
@@ -59,7 +60,10 @@ def _stage(chosen: DataFrame, cands: DataFrame, targets: DataFrame, stage: int)
     c = c.join(targets.select(*T, "max_pages"), T).join(n, T, "left")
     room = F.col("max_pages") - F.coalesce(F.col("n_prev"), F.lit(0))
     order = Window.partitionBy(*T).orderBy("o1", "o2")
-    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= room)
+    # literal bound first (max_pages is clamped to 1..100): Catalyst plans it as a
+    # map-side WindowGroupLimit, so a site with millions of candidates never
+    # reaches one task whole; then the per-target room
+    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MAX_PAGES_LIMIT).filter(F.col("r") <= room)
     add = c.select(*T, "url", "key", (F.coalesce(F.col("n_prev"), F.lit(0)) + F.col("r") - 1).cast("bigint").alias("pos"),
                    F.lit(stage).alias("stage"))
     # each stage reads the previous one three times: cut the lineage (at most

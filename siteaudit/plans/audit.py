@@ -79,9 +79,17 @@ def filter_sitemap_urls(raw: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def build_pages(crawl: DataFrame, cut_lineage: bool = True) -> DataFrame:
+    """Extraction job. A snapshot read from files arrives split by the reader
+    (``spark.sql.files.maxPartitionBytes``) and is parsed where it lies; only an
+    input with fewer partitions than cores (e.g. a small, coalesced shuffle
+    output) is spread round-robin first, so the Python step uses every core."""
+    spark = crawl.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if crawl.rdd.getNumPartitions() < cores:
+        crawl = crawl.repartition(cores)
     pages = extract_pages(crawl)
     if cut_lineage:
-        checkpoint_dir(pages.sparkSession)
+        checkpoint_dir(spark)
         pages = pages.checkpoint(eager=True)
     return pages
 
@@ -92,11 +100,15 @@ def audit(inputs: AuditInputs, probe_cap: int | None = S.PROBE_CAP, cut_lineage:
     pages = build_pages(inputs.crawl, cut_lineage)
     sitemap_urls = filter_sitemap_urls(inputs.sitemap_urls_raw, sites)
     edges = L.link_edges(pages)
+    if cut_lineage:  # read by probe selection, statuses, C-22/23/24 and views
+        edges = edges.checkpoint(eager=True)
     selected = L.probe_targets(edges, pages, probe_cap)
     status = L.link_status(inputs.probes, selected, pages)
     edges_st = L.edge_status(edges, status)
     facts = C.site_facts(pages, sites, sitemap_urls, edges, status, edges_st, root_pages)
     results = C.run_checks(facts)
+    if cut_lineage:  # 15 rows per site, read by every score and view
+        results = results.checkpoint(eager=True)
     cats, scores = A.site_scorecard(results, sites)
     return AuditTables(pages=pages, sites=sites, sitemap_urls=sitemap_urls, edges=edges, probe_targets=selected,
                        link_status=status, edge_status=edges_st, facts=facts, check_results=results,
