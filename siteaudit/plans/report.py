@@ -54,7 +54,9 @@ def recommend_resource(site_scores: DataFrame, resources: DataFrame | None = Non
     """Resource for each site's top issue from a user-supplied (check_id, url, blurb) table."""
     if resources is None:
         resources = site_scores.sparkSession.createDataFrame([], "check_id string, url string, blurb string")
-    r = F.broadcast(resources.select("check_id", F.col("url").alias("resource_url"), F.col("blurb").alias("resource_blurb")))
+    # user-supplied: no proven size bound, so the join strategy is left to Spark's
+    # size-checked choice (broadcast only under spark.sql.autoBroadcastJoinThreshold)
+    r = resources.select("check_id", F.col("url").alias("resource_url"), F.col("blurb").alias("resource_blurb"))
     top = site_scores.filter(F.col("top_issue_check_id") != "").select("site", F.col("top_issue_check_id").alias("check_id"))
     return top.join(r, "check_id", "left").select(
         "site", "check_id", F.coalesce("resource_url", F.lit(DEFAULT_RESOURCE[0])).alias("resource_url"),

@@ -20,7 +20,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML rows are a few KB to a few MB; keep Arrow batches moderate so one
     # batch of large pages does not blow the Python worker's memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Dimension tables (bots, phrases, weights, owners) are tiny literals;
     # anything that grows with the data is never broadcast by hint.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
