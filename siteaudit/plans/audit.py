@@ -120,7 +120,7 @@ _CACHE: dict = {}
 
 def audit_fixture(spark: SparkSession, sf_dir: str, cut_lineage: bool = True) -> AuditTables:
     """Audit of the fixture snapshot of ``sf_dir``, memoised per session and directory."""
-    key = (id(spark), sf_dir, cut_lineage)
+    key = (spark.sparkContext.applicationId, sf_dir, cut_lineage)
     if key not in _CACHE:
         _CACHE[key] = audit(fixture_inputs(spark, sf_dir), cut_lineage=cut_lineage)
     return _CACHE[key]

@@ -265,7 +265,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> dict:
     """
     from siteaudit.session import checkpoint_dir
 
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SNAPSHOTS:
         checkpoint_dir(spark)
         c = crawl(spark, sf_dir).checkpoint(eager=True)
