@@ -13,6 +13,7 @@ closed by a following block start, void elements never open a scope).
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -22,6 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's code with the task (pickled by value): executors then need
+# only the standard library and pandas, not an installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle without the API
+    pass
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 # Start tags that close an open <p> (HTML block-level elements).
 CLOSES_P = frozenset(
