@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for every query of ``siteaudit.plans.catalog`` that SQL can express.
 
-Omitted (rows-only check): x_first_paragraph (needs HTML tree rules),
+Omitted (rows-only check):
 sitemap_gz (file round trip), audit_json (JSON document), write_report (sink).
 """
 
@@ -376,3 +376,12 @@ fh4 AS (SELECT g.site, g.path_prefix, h.link AS url, s.pos AS o1, h.lpos AS o2
 st5 AS (SELECT s.* FROM st4 s JOIN targets t ON t.site = s.site AND t.path_prefix = s.path_prefix WHERE s.pos < t.max_pages)"""
 for _k, _n in (("frontier_seed", 1), ("frontier_hub", 2), ("frontier_depth2", 3), ("frontier_scoped", 4), ("frontier", 5)):
     ORACLES[_k] = with_extra(_FR, f"SELECT site, path_prefix, pos, url, stage FROM st{_n}")
+
+# First <p> after the first <h1>: the paragraph runs until the next block start or an ancestor's
+# end tag; its text nodes are stripped and joined by one space (get_text(" ", strip=True)).
+_P_END = "(</p>|<p[ >]|<div|<h[1-6]|<ul|<ol|<nav|<footer|<header|<section|<article|<table|<form|<pre|<blockquote|<hr|<li|</article>|</div>|</section>|</body>|</html>|$)"
+_FP_INNER = ("regexp_extract(regexp_replace(h, '<script[^>]*>.*?</script>', '', 'g'), "
+             "'<h1[ >].*?<p>(.*?)" + _P_END + "', 1)")
+ORACLES["x_first_paragraph"] = oracle(
+    "SELECT site, page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(" + _FP_INNER +
+    ", '<[^>]*>'), lambda x: " + strip(dec('x')) + "), lambda x: x <> ''), ' ') AS first_paragraph FROM pe")

@@ -13,6 +13,7 @@ closed by a following block start, void elements never open a scope).
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -140,7 +141,21 @@ class _TreeBuilder(HTMLParser):
                 return
 
 
+# Character references are decoded only when complete (`&name;`, `&#n;`), as the
+# libxml2 HTML parser does; a bare `&amp` stays literal text. Script and style
+# bodies are raw text and left untouched.
+_BARE_AMP = re.compile(r"(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)|&(?!#?[A-Za-z0-9]+;)",
+                       re.S | re.I)
+
+
+def _escape_bare_amp(html: str) -> str:
+    if "&" not in html:
+        return html
+    return _BARE_AMP.sub(lambda m: m.group(1) or "&amp;", html)
+
+
 def parse_html(html: str) -> _Node:
+    html = _escape_bare_amp(html)
     b = _TreeBuilder()
     try:
         b.feed(html)

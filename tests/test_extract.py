@@ -85,3 +85,9 @@ def test_script_text_does_not_end_paragraph():
 def test_unparsed_when_no_html():
     r = extract_fields(None, BASE)
     assert r["title"] == "" and r["internal_links"] == [] and r["schema_raw_count"] == 0
+
+
+def test_only_complete_references_are_decoded():
+    r = fx('<title>A &amp; B &amp</title><script type="application/ld+json">{"name": "x & y"}</script>')
+    assert r["title"] == "A & B &amp"
+    assert json.loads(r["schema_blocks"][0])["name"] == "x & y"
