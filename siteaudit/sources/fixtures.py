@@ -101,17 +101,22 @@ FROM {crawl} c WHERE c.page_id % 12 < 4"""
 # Sitemap files derived from the sitemap entries, so the XML operators
 # run over data that grows with the snapshot. Sites alternate between a plain
 # urlset at /sitemap.xml, a two-level sitemap index, and a malformed file at
-# /sitemap.xml whose URLs are then found at /sitemap_index.xml.
+# /sitemap.xml whose URLs are then found at /sitemap_index.xml. Every file is
+# one bounded group: index children hold 50,000 positions, plain and fallback
+# files at most 3 x 16,000 entries (pages, unlinked pages, PDFs); further parts
+# of a very large plain sitemap are written but not referenced, as the sitemap
+# protocol caps a single file.
 SITEMAP_FILES_SQL = """WITH g AS (SELECT site, min(page_id) AS seed FROM {crawl} GROUP BY site),
 e AS (
   SELECT r.site, r.pos, r.loc, g.seed,
          concat('<url><loc>', replace(r.loc, '&', '&amp;'), '</loc></url>') AS x
   FROM {sitemap_urls_raw} r JOIN g ON r.site = g.site
 ), live AS (SELECT e.* FROM e JOIN {sites} s ON e.site = s.site WHERE s.sitemap_status = 200)
-SELECT site, concat('https://', site, '/sitemap.xml') AS sitemap_url, 200 AS status,
+SELECT site, concat('https://', site, CASE WHEN k = 0 THEN '/sitemap.xml'
+         ELSE concat('/sitemap-p', CAST(k AS STRING), '.xml') END) AS sitemap_url, 200 AS status,
        concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
               {agg_x}, '</urlset>') AS body
-FROM live WHERE seed % 3 = 0 GROUP BY site
+FROM (SELECT *, CAST(floor((pos % 100000) / 16000) AS BIGINT) AS k FROM live WHERE seed % 3 = 0) GROUP BY site, k
 UNION ALL
 SELECT site, concat('https://', site, '/sitemap.xml'), 200,
        concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
@@ -125,9 +130,10 @@ UNION ALL
 SELECT site, concat('https://', site, '/sitemap.xml'), 200, '<urlset><url><loc>broken'
 FROM live WHERE seed % 3 = 2 GROUP BY site
 UNION ALL
-SELECT site, concat('https://', site, '/sitemap_index.xml'), 200,
+SELECT site, concat('https://', site, CASE WHEN k = 0 THEN '/sitemap_index.xml'
+         ELSE concat('/sitemap_index-p', CAST(k AS STRING), '.xml') END), 200,
        concat('<urlset>', {agg_x}, '</urlset>')
-FROM live WHERE seed % 3 = 2 GROUP BY site"""
+FROM (SELECT *, CAST(floor((pos % 100000) / 16000) AS BIGINT) AS k FROM live WHERE seed % 3 = 2) GROUP BY site, k"""
 
 # Audit requests: whole-site audits of every site, plus a scoped audit of the
 # first page's top-level folder for every fifth site.
@@ -221,10 +227,16 @@ def sitemap_files(spark: SparkSession, crawl_df: DataFrame, sites_df: DataFrame,
                                       F.lit("</loc></url>")))
             .withColumn("k", F.expr("CAST(floor(pos / 50000) AS BIGINT)")))
     root = F.concat(F.lit("https://"), F.col("site"))
-    plain = (live.filter("seed % 3 = 0").groupBy("site")
+    part = F.floor((F.col("pos") % 100000) / 16000).cast("bigint")
+
+    def part_name(first: str, rest: str):
+        return F.concat(root, F.when(F.col("p") == 0, F.lit(first))
+                        .otherwise(F.concat(F.lit(rest), F.col("p").cast("string"), F.lit(".xml"))))
+
+    plain = (live.filter("seed % 3 = 0").withColumn("p", part).groupBy("site", "p")
              .agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
                            ordered_concat("pos", F.col("x")), F.lit("</urlset>")).alias("body"))
-             .select("site", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap_url"),
+             .select("site", part_name("/sitemap.xml", "/sitemap-p").alias("sitemap_url"),
                      F.lit(200).alias("status"), "body"))
     child_loc = F.concat(F.lit("<sitemap><loc>https://"), F.col("site"), F.lit("/sitemap-"),
                          F.col("k").cast("string"), F.lit(".xml</loc></sitemap>"))
@@ -242,9 +254,9 @@ def sitemap_files(spark: SparkSession, crawl_df: DataFrame, sites_df: DataFrame,
     broken = (live.filter("seed % 3 = 2").select("site").distinct()
               .select("site", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap_url"),
                       F.lit(200).alias("status"), F.lit("<urlset><url><loc>broken").alias("body")))
-    fallback = (live.filter("seed % 3 = 2").groupBy("site")
+    fallback = (live.filter("seed % 3 = 2").withColumn("p", part).groupBy("site", "p")
                 .agg(F.concat(F.lit("<urlset>"), ordered_concat("pos", F.col("x")), F.lit("</urlset>")).alias("body"))
-                .select("site", F.concat(root, F.lit("/sitemap_index.xml")).alias("sitemap_url"),
+                .select("site", part_name("/sitemap_index.xml", "/sitemap_index-p").alias("sitemap_url"),
                         F.lit(200).alias("status"), "body"))
     return plain.unionByName(index).unionByName(children).unionByName(broken).unionByName(fallback)
 
