@@ -78,21 +78,28 @@ def _gate(chosen: DataFrame, targets: DataFrame, cond) -> DataFrame:
     return t.filter(cond(F.col("n"), F.col("max_pages"), F.col("path_prefix"))).select(*T, "root", "max_pages")
 
 
-def _hub_candidates(hubs: DataFrame, cache: DataFrame, targets: DataFrame, in_prefix: bool) -> DataFrame:
+def _link_cache(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hub links (X14) of every fetched page, per site root, computed once:
+    (site, root, fkey, lpos, url, is_html). Stages only join it."""
+    cache = _fetch_cache(pages)
+    roots = targets.select("site", "root").distinct()
+    links = hub_links(cache.join(roots, "site").select("site", "root", "fkey", "raw_links"))
+    return links.select("site", "root", "fkey", F.col("lpos").alias("o2"), F.col("link").alias("url"),
+                        U.is_html_url("link").alias("is_html")).checkpoint(eager=True)
+
+
+def _hub_candidates(hubs: DataFrame, links: DataFrame, targets: DataFrame, in_prefix: bool) -> DataFrame:
     """Links of the hub pages (ordered by hub, then link) passing the stage filter."""
-    h = hubs.withColumn("fkey", U.canonicalize_url("hub_url")).join(cache, ["site", "fkey"])
-    h = h.join(targets.select(*T, "root"), T)
-    links = hub_links(h.select(*T, "root", "o1", "raw_links"))
-    links = links.withColumnRenamed("link", "url").withColumnRenamed("lpos", "o2")
-    keep = U.is_html_url("url") & (U.matches_prefix("url", "root", "path_prefix") if in_prefix
-                                   else U.same_host("url", "root"))
-    return links.filter(keep).select(*T, "url", "o1", "o2")
+    h = hubs.withColumn("fkey", U.canonicalize_url("hub_url")).join(targets.select(*T, "root"), T)
+    c = h.join(links, ["site", "root", "fkey"]).filter("is_html")
+    keep = (U.matches_prefix("url", "root", "path_prefix") if in_prefix else U.same_host("url", "root"))
+    return c.filter(keep).select(*T, "url", "o1", "o2")
 
 
 def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto: int = 5) -> DataFrame:
     """(site, path_prefix, pos, url, key, stage) for stages 1..``upto`` (5 = final list)."""
     checkpoint_dir(pages.sparkSession)
-    cache = _fetch_cache(pages)
+    cache = _link_cache(pages, targets) if upto >= 2 else None
     seed = F.when(F.col("path_prefix") == "", F.col("root")).otherwise(
         F.concat(F.col("root"), F.col("path_prefix"), F.lit("/")))
     t = targets.select(*T, "root", "max_pages")
