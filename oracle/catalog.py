@@ -7,7 +7,7 @@ sitemap_gz (file round trip), audit_json (JSON document), write_report (sink).
 from __future__ import annotations
 
 from oracle.duck_audit import (GENERIC, ORG_TYPE, RFC, bare, curl, dec, graph, has_type_sql, is_html, is_obj,
-                               netloc, nurl, oracle, path, q, query, scheme, strip, types)
+                               netloc, nurl, oracle, path, pipeline_renamed, q, query, scheme, strip, types)
 from siteaudit import schema as S
 from siteaudit.plans.catalog import AUDIT_DATE, CHECK_COLS, CHECK_KEYS
 
@@ -385,3 +385,22 @@ _FP_INNER = ("regexp_extract(regexp_replace(h, '<script[^>]*>.*?</script>', '',
 ORACLES["x_first_paragraph"] = oracle(
     "SELECT site, page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(" + _FP_INNER +
     ", '<[^>]*>'), lambda x: " + strip(dec('x')) + "), lambda x: x <> ''), ' ') AS first_paragraph FROM pe")
+
+
+# -------------------------------------------------------------- scoped audits
+_SCOPED_BASE = f"""sc_t AS (SELECT site, root, path_prefix, site || path_prefix AS audit_id FROM targets WHERE path_prefix <> ''),
+sc_key AS (SELECT * FROM (SELECT c.*, {curl(PK)} AS key,
+             row_number() OVER (PARTITION BY site, {curl(PK)} ORDER BY crawl_order) AS rk FROM crawl c) WHERE rk = 1),
+s_crawl AS (SELECT t.audit_id AS site, k.page_id, f.pos AS crawl_order, f.url, k.final_url, k.status_code, k.render_ms, k.html
+            FROM st5 f JOIN sc_t t ON t.site = f.site AND t.path_prefix = f.path_prefix
+            JOIN sc_key k ON k.site = f.site AND k.key = f.key),
+s_sites AS (SELECT t.audit_id AS site, t.root || t.path_prefix AS domain, s.robots_status, s.robots_txt, s.hsts,
+              s.sitemap_status, s.default_ua_len, s.googlebot_ua_len, t.path_prefix,
+              CASE WHEN s.sitemap_status = 200 THEN t.root || '/sitemap.xml' ELSE '' END AS sitemap_url
+            FROM sites s JOIN sc_t t ON t.site = s.site),
+s_sitemap_urls_raw AS (SELECT t.audit_id AS site, r.pos, r.loc FROM sitemap_urls_raw r JOIN sc_t t ON t.site = r.site),
+s_probes AS (SELECT t.audit_id AS site, p.target, p.status FROM probes p JOIN sc_t t ON t.site = p.site)"""
+_SCOPED_ALL = _FR + ",\n" + _SCOPED_BASE + ",\n" + pipeline_renamed("s_")
+_SC_COLS = ", ".join(("site AS audit_id" if c == "site" else c) for c in CHECK_COLS)
+ORACLES["scoped_checks"] = with_extra(_SCOPED_ALL, f"SELECT {_SC_COLS} FROM s_check_results")
+ORACLES["scoped_scorecard"] = with_extra(_SCOPED_ALL, "SELECT * EXCLUDE (site), site AS audit_id FROM s_site_scores")

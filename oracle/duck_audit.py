@@ -8,6 +8,8 @@ JSON-LD is read with DuckDB's JSON functions. Nothing here calls Spark.
 
 from __future__ import annotations
 
+import re
+
 from siteaudit import schema as S
 from siteaudit.operators.checks import FIX
 from siteaudit.sources import fixtures as fx
@@ -232,8 +234,11 @@ CHECK_CASES = {
 }
 
 
-def audit_ctes() -> str:
-    """Every audit table as a CTE; the caller appends the final SELECT."""
+def audit_ctes(scoped: bool = False) -> str:
+    """Every audit table as a CTE; the caller appends the final SELECT.
+
+    ``scoped``: sites carry ``path_prefix`` and sitemap URLs are also filtered by prefix (S9).
+    """
     page_key = "coalesce(nullif(final_url, ''), url)"
     a_href = f"regexp_extract_all(h, {q(A_RE)}, 1)"
     a_txt = f"regexp_extract_all(h, {q(A_RE)}, 2)"
@@ -261,7 +266,7 @@ def audit_ctes() -> str:
 {_checks_dim()},
 {_fix_dim()},
 catd(category, cat_order, weight, weight_pct) AS (VALUES {cats}),
-sites2 AS (SELECT *, CASE WHEN sitemap_status = 200 THEN domain || '/sitemap.xml' ELSE '' END AS sitemap_url FROM sites),
+{_sites2(scoped)},
 pe AS (SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms,
          CASE WHEN status_code > 0 AND status_code < 400 THEN html ELSE '' END AS h FROM crawl),
 px AS (SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms,
@@ -353,7 +358,7 @@ hp2 AS (SELECT site, hp_status, hp_url, hp_org_type,
             coalesce(present[list_position(list_transform(present, lambda p: len(p)), list_max(list_transform(present, lambda p: len(p))))], []::VARCHAR[]), k))) AS hp_missing
         FROM hp),
 smu AS (SELECT r.site, r.pos, r.loc FROM sitemap_urls_raw r JOIN sites s ON s.site = r.site
-        WHERE s.sitemap_status = 200 AND {is_html('r.loc')}),
+        WHERE s.sitemap_status = 200 AND {is_html('r.loc')}{_prefix_cond(scoped)}),
 smn AS (SELECT site, count(*) AS n_sitemap_urls FROM smu GROUP BY site),
 l22a AS (SELECT site, count(*) AS c22_statuses, count(*) FILTER (status >= 200) AS c22_probed FROM lstat GROUP BY site),
 brk AS (SELECT site, src, target, min(src_order) AS so, arg_min(pos, src_order * 1000000 + pos) AS po,
@@ -425,5 +430,40 @@ site_scores AS (SELECT s.site, coalesce(o.overall_score, 0.0) AS overall_score,
 """
 
 
+def _tp(u):
+    p = path(u)
+    return (f"(CASE WHEN {p} = '' THEN '/' WHEN {p} <> '/' AND {p} LIKE '%/' THEN regexp_replace({p}, '/+$', '') "
+            f"ELSE {p} END)")
+
+
+def _sites2(scoped: bool) -> str:
+    if scoped:  # scoped site rows carry the root's sitemap URL already
+        return "sites2 AS (SELECT * FROM sites)"
+    return "sites2 AS (SELECT *, CASE WHEN sitemap_status = 200 THEN domain || '/sitemap.xml' ELSE '' END AS sitemap_url FROM sites)"
+
+
+def _prefix_cond(scoped: bool) -> str:
+    if not scoped:
+        return ""
+    return (f" AND (s.path_prefix = '' OR ({bare(netloc('r.loc'))} = {bare(netloc('s.domain'))} AND "
+            f"({_tp('r.loc')} = s.path_prefix OR starts_with({_tp('r.loc')}, s.path_prefix || '/'))))")
+
+
 def oracle(select: str) -> str:
     return audit_ctes() + select
+
+
+_LITERAL = re.compile(r"('(?:[^']|'')*')")
+
+
+def pipeline_renamed(prefix: str, scoped: bool = True) -> str:
+    """The audit pipeline CTEs (without the fixture CTEs) as a second instance: every CTE
+    name and the four input tables get ``prefix``; string literals are left alone."""
+    full = audit_ctes(scoped)
+    body = full[len("WITH " + fx.duck_fixture_ctes() + ",\n"):]
+    names = re.findall(r"(?m)^(\w+)(?:\([^)]*\))? AS \(", body)
+    names += ["crawl", "sites", "sitemap_urls_raw", "probes"]
+    pat = re.compile(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b")
+    parts = _LITERAL.split(body)
+    out = [x if i % 2 else pat.sub(lambda m: prefix + m.group(1), x) for i, x in enumerate(parts)]
+    return "".join(out)

@@ -420,6 +420,29 @@ def report_id(spark, sf):
     return t.select("site", "path_prefix", V.report_id("root", "path_prefix", F.lit(AUDIT_DATE)).alias("report_id"))
 
 
+# -------------------------------------------------------------- scoped audits
+_SCOPED: dict = {}
+
+
+def _scoped(spark, sf):
+    from siteaudit.plans.scoped import scoped_audit
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SCOPED:
+        snap, a = _s(spark, sf), _a(spark, sf)
+        _SCOPED[key] = scoped_audit(snap["targets"], snap["crawl"], snap["sites"], snap["sitemap_urls_raw"],
+                                    snap["probes"], a.pages, a.sitemap_urls)
+    return _SCOPED[key]
+
+
+def scoped_checks(spark, sf):
+    """Check rows of every path-scoped audit target (site = site + path prefix)."""
+    return _scoped(spark, sf).check_results.select(*CHECK_COLS).withColumnRenamed("site", "audit_id")
+
+
+def scoped_scorecard(spark, sf):
+    return _scoped(spark, sf).site_scores.withColumnRenamed("site", "audit_id")
+
+
 # -------------------------------------------------------------- frontier
 def _frontier(upto):
     def run(spark, sf):
@@ -467,4 +490,5 @@ QUERIES = {
     "score_breakdown": score_breakdown, "report_bands": report_bands, "audit_summary": audit_summary,
     "audit_json": audit_json, "open_issues": open_issues, "compare_sites": compare_sites,
     "write_report": write_report, "report_id": report_id,
+    "scoped_checks": scoped_checks, "scoped_scorecard": scoped_scorecard,
 }
