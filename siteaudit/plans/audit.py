@@ -95,9 +95,14 @@ def build_pages(crawl: DataFrame, cut_lineage: bool = True) -> DataFrame:
 
 
 def audit(inputs: AuditInputs, probe_cap: int | None = S.PROBE_CAP, cut_lineage: bool = True,
-          root_pages: DataFrame | None = None) -> AuditTables:
+          root_pages: DataFrame | None = None, pages: DataFrame | None = None) -> AuditTables:
+    """The audit DAG. ``pages``: already extracted page rows (then ``inputs.crawl`` is not parsed again)."""
     sites = prepare_sites(inputs.sites)
-    pages = build_pages(inputs.crawl, cut_lineage)
+    if pages is None:
+        pages = build_pages(inputs.crawl, cut_lineage)
+    elif cut_lineage:
+        checkpoint_dir(pages.sparkSession)
+        pages = pages.checkpoint(eager=True)
     sitemap_urls = filter_sitemap_urls(inputs.sitemap_urls_raw, sites)
     edges = L.link_edges(pages)
     if cut_lineage:  # read by probe selection, statuses, C-22/23/24 and views

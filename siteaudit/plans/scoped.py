@@ -24,7 +24,7 @@ from siteaudit.plans.audit import AuditInputs, AuditTables, audit
 
 
 def scoped_inputs(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitemap_urls_raw: DataFrame,
-                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> AuditInputs:
+                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> tuple[AuditInputs, DataFrame]:
     scoped = targets.filter(F.col("path_prefix") != "").select(
         "site", "root", "path_prefix", F.concat("site", "path_prefix").alias("audit_id"))
     fr = frontier(targets.join(scoped.select("site", "path_prefix"), ["site", "path_prefix"], "left_semi"),
@@ -36,6 +36,12 @@ def scoped_inputs(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitema
         by_key.drop("crawl_order", "url"), ["site", "key"])
     s_crawl = fpages.select(F.col("audit_id").alias("site"), "page_id", F.col("pos").alias("crawl_order"),
                             "url", "final_url", "status_code", "render_ms", "html")
+    # the same pages, already extracted by the site audit: relabelled, not parsed again
+    # (link resolution used final_url, which is unchanged)
+    s_pages = fr.join(scoped, ["site", "path_prefix"]).select("site", "key", "audit_id", "pos", "url") \
+        .join(_keyed_pages(pages), ["site", "key"]) \
+        .withColumn("site", F.col("audit_id")).withColumn("crawl_order", F.col("pos")) \
+        .select(*pages.columns)
     # the sitemap is found at the root; the display domain is root + prefix
     s_sites = sites.join(scoped, "site") \
         .withColumn("sitemap_url", F.when(F.col("sitemap_status") == 200, F.concat("root", F.lit("/sitemap.xml")))
@@ -44,11 +50,18 @@ def scoped_inputs(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitema
         .withColumn("site", F.col("audit_id")).drop("audit_id", "root")
     s_raw = sitemap_urls_raw.join(scoped, "site").select(F.col("audit_id").alias("site"), "pos", "loc")
     s_probes = probes.join(scoped, "site").select(F.col("audit_id").alias("site"), "target", "status")
-    return AuditInputs(crawl=s_crawl, sites=s_sites, sitemap_urls_raw=s_raw, probes=s_probes)
+    return AuditInputs(crawl=s_crawl, sites=s_sites, sitemap_urls_raw=s_raw, probes=s_probes), s_pages
+
+
+def _keyed_pages(pages: DataFrame) -> DataFrame:
+    """Extracted pages by U7 key of ``final_url or url``: the first crawl row per key."""
+    first = Window.partitionBy("site", "key").orderBy("crawl_order")
+    k = pages.withColumn("key", U.canonicalize_url(F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))))
+    return k.withColumn("rk", F.row_number().over(first)).filter("rk = 1").drop("rk", "url", "crawl_order")
 
 
 def scoped_audit(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitemap_urls_raw: DataFrame,
                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> AuditTables:
     """Audit every scoped target; results are keyed by ``site`` = audit id (site + prefix)."""
-    inp = scoped_inputs(targets, crawl, sites, sitemap_urls_raw, probes, pages, sitemap_urls)
-    return audit(inp)
+    inp, s_pages = scoped_inputs(targets, crawl, sites, sitemap_urls_raw, probes, pages, sitemap_urls)
+    return audit(inp, pages=s_pages)
