@@ -1,7 +1,7 @@
 """DuckDB oracle SQL for every query of ``siteaudit.plans.catalog`` that SQL can express.
 
 Omitted (rows-only check):
-sitemap_gz (file round trip), audit_json (JSON document), write_report (sink).
+sitemap_gz (file round trip), write_report (sink).
 """
 
 from __future__ import annotations
@@ -404,3 +404,13 @@ _SCOPED_ALL = _FR + ",\n" + _SCOPED_BASE + ",\n" + pipeline_renamed("s_")
 _SC_COLS = ", ".join(("site AS audit_id" if c == "site" else c) for c in CHECK_COLS)
 ORACLES["scoped_checks"] = with_extra(_SCOPED_ALL, f"SELECT {_SC_COLS} FROM s_check_results")
 ORACLES["scoped_scorecard"] = with_extra(_SCOPED_ALL, "SELECT * EXCLUDE (site), site AS audit_id FROM s_site_scores")
+
+# One JSON document per site (checks in registry order, open issues filtered)
+_CHECK_STRUCT = ("{'check_order': check_order, 'check_id': check_id, 'category': category, 'severity': severity, "
+                 "'verdict': verdict, 'name': name, 'message': message, 'pages_affected': pages_affected, "
+                 "'fix_text': fix_text}")
+ORACLES["audit_json"] = oracle(f"""SELECT s.site, to_json({{'site': s.site, 'overall_score': s.overall_score,
+    'letter_grade': s.letter_grade, 'top_issue_check_id': s.top_issue_check_id, 'checks': c.checks,
+    'open_issues': list_filter(c.checks, lambda x: x.verdict IN ('fail', 'warn', 'unverified'))}})::VARCHAR AS summary_json
+  FROM site_scores s LEFT JOIN (SELECT site, list({_CHECK_STRUCT} ORDER BY check_order) AS checks
+                                FROM check_results GROUP BY site) c ON c.site = s.site""")

@@ -34,7 +34,7 @@ def test_query_matches_oracle(spark, duck, key):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = {"sitemap_gz", "audit_json", "write_report"}
+    rows_only = {"sitemap_gz", "write_report"}
     assert set(E.queries()) - set(E.oracle_sql()) == rows_only
 
 
