@@ -399,7 +399,10 @@ s_sites AS (SELECT t.audit_id AS site, t.root || t.path_prefix AS domain, s.robo
               CASE WHEN s.sitemap_status = 200 THEN t.root || '/sitemap.xml' ELSE '' END AS sitemap_url
             FROM sites s JOIN sc_t t ON t.site = s.site),
 s_sitemap_urls_raw AS (SELECT t.audit_id AS site, r.pos, r.loc FROM sitemap_urls_raw r JOIN sc_t t ON t.site = r.site),
-s_probes AS (SELECT t.audit_id AS site, p.target, p.status FROM probes p JOIN sc_t t ON t.site = p.site)"""
+s_probes AS (SELECT t.audit_id AS site, p.target, p.status FROM probes p JOIN sc_t t ON t.site = p.site),
+s_rootp AS (SELECT t.audit_id AS site, t.root AS final_url, arg_min(p.blocks, p.crawl_order) AS blocks
+            FROM px p JOIN sc_t t ON t.site = p.site AND {nurl('p.final_url')} = {nurl('t.root')}
+            GROUP BY t.audit_id, t.root)"""
 _SCOPED_ALL = _FR + ",\n" + _SCOPED_BASE + ",\n" + pipeline_renamed("s_")
 _SC_COLS = ", ".join(("site AS audit_id" if c == "site" else c) for c in CHECK_COLS)
 ORACLES["scoped_checks"] = with_extra(_SCOPED_ALL, f"SELECT {_SC_COLS} FROM s_check_results")

@@ -349,7 +349,8 @@ dup AS (SELECT site, sum(n) AS c11_h1_pages, sum(n) - count(*) AS c11_dups FROM
          (SELECT site, h1_first, count(*) AS n FROM pf WHERE valid AND h1_first IS NOT NULL GROUP BY site, h1_first)
        GROUP BY site),
 hpc AS (SELECT px.site, px.crawl_order, px.status_code, px.final_url, px.blocks,
-          {nurl('px.final_url')} = {nurl('s.domain')} AS is_home FROM px JOIN sites s ON s.site = px.site),
+          {nurl('px.final_url')} = {nurl('s.domain')} AS is_home FROM px JOIN sites s ON s.site = px.site
+          {_root_union(scoped)}),
 hp0 AS (SELECT site, coalesce(arg_min(crawl_order, crawl_order) FILTER (is_home), min(crawl_order)) AS pick FROM hpc GROUP BY site),
 hp AS (SELECT h.site, h.status_code AS hp_status, h.final_url AS hp_url, {ORG_TYPE} AS hp_org_type,
           {ORG_PRESENT} AS present FROM hpc h JOIN hp0 ON hp0.site = h.site AND hp0.pick = h.crawl_order),
@@ -436,6 +437,13 @@ def _tp(u):
             f"ELSE {p} END)")
 
 
+def _root_union(scoped: bool) -> str:
+    """Scoped audits: the root homepage (when the snapshot has it) comes first, with status 200."""
+    if not scoped:
+        return ""
+    return "UNION ALL SELECT site, -1, 200, final_url, blocks, true FROM rootp"
+
+
 def _sites2(scoped: bool) -> str:
     if scoped:  # scoped site rows carry the root's sitemap URL already
         return "sites2 AS (SELECT * FROM sites)"
@@ -462,7 +470,7 @@ def pipeline_renamed(prefix: str, scoped: bool = True) -> str:
     full = audit_ctes(scoped)
     body = full[len("WITH " + fx.duck_fixture_ctes() + ",\n"):]
     names = re.findall(r"(?m)^(\w+)(?:\([^)]*\))? AS \(", body)
-    names += ["crawl", "sites", "sitemap_urls_raw", "probes"]
+    names += ["crawl", "sites", "sitemap_urls_raw", "probes", "rootp"]
     pat = re.compile(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b")
     parts = _LITERAL.split(body)
     out = [x if i % 2 else pat.sub(lambda m: prefix + m.group(1), x) for i, x in enumerate(parts)]

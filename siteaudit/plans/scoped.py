@@ -7,7 +7,8 @@ audited as its own unit, keyed by ``audit_id = site + path_prefix``:
   order, looked up by U7 key (first crawl row per key);
 * domain: ``root + path_prefix`` (what homepage matching and evidence use);
 * sitemap URLs: HTML and in-prefix only (S9);
-* robots, HSTS, probes: the site's.
+* robots, HSTS, probes: the site's;
+* C-15 homepage: the site's root page when the snapshot has it (S12).
 
 The same ``audit()`` then runs unchanged, since every operator keys on the
 ``site`` column, which here carries the audit id.
@@ -53,6 +54,17 @@ def scoped_inputs(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitema
     return AuditInputs(crawl=s_crawl, sites=s_sites, sitemap_urls_raw=s_raw, probes=s_probes), s_pages
 
 
+def root_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per scoped target, the site's root homepage when the snapshot has it (U8 key of the
+    root), parsed as a successful fetch of the root: status 200, final URL = root."""
+    scoped = targets.filter(F.col("path_prefix") != "").select(
+        "site", "root", F.concat("site", "path_prefix").alias("audit_id"), U.normalize_url("root").alias("nkey"))
+    p = pages.withColumn("nkey", U.normalize_url("final_url")).join(scoped, ["site", "nkey"])
+    rp = p.groupBy("audit_id", "root").agg(F.min_by("schema_blocks", "crawl_order").alias("schema_blocks"))
+    return rp.select(F.col("audit_id").alias("site"), F.lit(200).alias("status_code"),
+                     F.col("root").alias("final_url"), "schema_blocks")
+
+
 def _keyed_pages(pages: DataFrame) -> DataFrame:
     """Extracted pages by U7 key of ``final_url or url``: the first crawl row per key."""
     first = Window.partitionBy("site", "key").orderBy("crawl_order")
@@ -64,4 +76,4 @@ def scoped_audit(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitemap
                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> AuditTables:
     """Audit every scoped target; results are keyed by ``site`` = audit id (site + prefix)."""
     inp, s_pages = scoped_inputs(targets, crawl, sites, sitemap_urls_raw, probes, pages, sitemap_urls)
-    return audit(inp, pages=s_pages)
+    return audit(inp, pages=s_pages, root_pages=root_pages(targets, pages))
