@@ -135,9 +135,10 @@ ORACLES["sitemap_filter"] = oracle(f"""SELECT r.site, t.path_prefix, r.pos, r.lo
             THEN regexp_replace({path('r.loc')}, '/+$', '') ELSE {path('r.loc')} END, t.path_prefix || '/'))))""")
 ORACLES["spa_detect"] = oracle("""SELECT site, CASE WHEN googlebot_ua_len = 0 THEN false ELSE
   abs(default_ua_len - googlebot_ua_len) / greatest(default_ua_len, googlebot_ua_len, 1) > 0.30 END AS spa_detected FROM sites""")
-ORACLES["root_page"] = oracle(f"""SELECT t.site, t.path_prefix, rp.status_code AS root_status, rp.title AS root_title
-  FROM targets t LEFT JOIN (SELECT site, {nurl('final_url')} AS nkey, arg_min(status_code, crawl_order) AS status_code,
-    arg_min(title, crawl_order) AS title FROM px GROUP BY site, nkey) rp
+ORACLES["root_page"] = oracle(f"""SELECT t.site, t.path_prefix, CASE WHEN rp.blocks IS NOT NULL THEN 200 END AS root_status,
+  CAST(len(rp.blocks) AS BIGINT) AS root_blocks
+  FROM targets t LEFT JOIN (SELECT site, {nurl('final_url')} AS nkey, arg_min(blocks, crawl_order) AS blocks
+    FROM px GROUP BY site, nkey) rp
   ON rp.site = t.site AND rp.nkey = {nurl('t.root')} WHERE t.path_prefix <> ''""")
 
 # -------------------------------------------------------------- extraction

@@ -150,14 +150,15 @@ def spa_detect(spark, sf):
 
 
 def root_page(spark, sf):
-    """For scoped targets, the root homepage's page row (when the snapshot has it)."""
-    t = _s(spark, sf)["targets"].filter(F.col("path_prefix") != "").select("site", "path_prefix", "root")
-    p = _a(spark, sf).pages.withColumn("nkey", U.normalize_url("final_url"))
-    rp = p.groupBy("site", "nkey").agg(F.min_by(F.struct("status_code", "title", "schema_blocks"), "crawl_order")
-                                       .alias("rp"))
-    j = t.withColumn("nkey", U.normalize_url("root")).join(rp, ["site", "nkey"], "left")
-    return j.select("site", "path_prefix", F.col("rp.status_code").alias("root_status"),
-                    F.col("rp.title").alias("root_title"))
+    """For scoped targets, the root homepage parsed as a successful fetch (when the snapshot has it)."""
+    from siteaudit.plans.scoped import root_pages
+    t = _s(spark, sf)["targets"]
+    rp = root_pages(t, _a(spark, sf).pages).select(
+        F.col("site").alias("audit_id"), F.col("status_code").alias("root_status"),
+        F.size("schema_blocks").cast("bigint").alias("root_blocks"))
+    scoped = t.filter(F.col("path_prefix") != "").select("site", "path_prefix",
+                                                         F.concat("site", "path_prefix").alias("audit_id"))
+    return scoped.join(rp, "audit_id", "left").select("site", "path_prefix", "root_status", "root_blocks")
 
 
 # -------------------------------------------------------------- extraction
