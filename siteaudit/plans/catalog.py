@@ -73,7 +73,7 @@ def _sites_robots(spark, sf):
 def scan_crawl(spark, sf):
     c = _s(spark, sf)["crawl"]
     return c.select("site", "page_id", "crawl_order", "url", "final_url", "status_code", "render_ms",
-                    F.length("html").alias("html_chars"))
+                    F.length("html").cast("bigint").alias("html_chars"))
 
 
 def page_head(spark, sf):
