@@ -148,7 +148,7 @@ def resolve_url(base, href) -> Column:
     """
     b, h = _c(base), _c(href)
     bs, hs = url_scheme(b), url_scheme(h)
-    h_auth = url_has_authority(h)
+    h_auth = url_has_authority(h) & (url_netloc(h) != "")  # '///x' is a path on the base host
     hq, hf = _part(h, 6), _part(h, 8)  # '?query' / '#frag' with their marks
     bq = _part(b, 6)
     hpath = url_path_params(h)
