@@ -196,6 +196,7 @@ def x_hub_links(spark, sf):
 def languages_seen(spark, sf):
     p = _pages(spark, sf).filter(F.col("html_lang") != "")
     lang = F.lower(F.split("html_lang", "-", 2).getItem(0))
+    # bounded: one entry per language code, partial-aggregated per site
     return p.groupBy("site").agg(F.array_join(F.array_sort(F.collect_set(lang)), ",").alias("languages"))
 
 

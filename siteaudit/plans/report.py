@@ -204,6 +204,7 @@ def report_bands(results: DataFrame, site_scores: DataFrame, page_iss: DataFrame
 def audit_summary(site_scores: DataFrame, results: DataFrame, cat_scores: DataFrame) -> DataFrame:
     s = F.col("score_tenths") / 10.0
     band = F.when(F.col("score_tenths").isNull(), "n/a").when(s >= 70, "good").when(s >= 55, "fair").otherwise("poor")
+    # bounded: 7 category rows per site
     bands = cat_scores.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("cat_order", F.concat("category", F.lit("="), band).alias("t")))), lambda x: x["t"]), "; ")
         .alias("category_bands"))
@@ -223,6 +224,7 @@ def open_issues(results: DataFrame) -> DataFrame:
 # V16
 def audit_json(site_scores: DataFrame, results: DataFrame) -> DataFrame:
     """One JSON document per site (bounded: 15 check rows per site)."""
+    # bounded: 15 check rows per site
     checks = results.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(
         "check_order", "check_id", "category", "severity", "verdict", "name", "message", "pages_affected",
         "fix_text"))).alias("checks"))
@@ -246,6 +248,7 @@ def compare_sites(cat_scores: DataFrame, results: DataFrame, pairs: DataFrame, k
     chk = pairs.join(ra, "site_a").join(rb, ["site_b", "check_id"]) \
         .filter(F.col("pa").isNotNull() & F.col("pb").isNotNull() & (F.col("pa") != F.col("pb")))
     w = Window.partitionBy("site_a", "site_b").orderBy(F.desc(F.abs(F.col("pa") - F.col("pb"))), "check_order")
+    # bounded: k rows per pair after the cut
     top = chk.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).groupBy("site_a", "site_b").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "check_id"))), lambda x: x["check_id"]), ",")
         .alias("largest_check_gaps"))
