@@ -432,7 +432,7 @@ def _scoped(spark, sf):
     if key not in _SCOPED:
         snap, a = _s(spark, sf), _a(spark, sf)
         _SCOPED[key] = scoped_audit(snap["targets"], snap["crawl"], snap["sites"], snap["sitemap_urls_raw"],
-                                    snap["probes"], a.pages, a.sitemap_urls)
+                                    snap["probes"], a.pages, a.sitemap_urls, _final_frontier(spark, sf))
     return _SCOPED[key]
 
 
@@ -446,10 +446,25 @@ def scoped_scorecard(spark, sf):
 
 
 # -------------------------------------------------------------- frontier
+_FRONTIERS: dict = {}
+
+
+def _final_frontier(spark, sf):
+    """F5 frontier of all targets, computed once per session (its stages are checkpointed)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FRONTIERS:
+        a = _a(spark, sf)
+        _FRONTIERS[key] = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=5)
+    return _FRONTIERS[key]
+
+
 def _frontier(upto):
     def run(spark, sf):
-        a = _a(spark, sf)
-        fr = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=upto)
+        if upto == 5:
+            fr = _final_frontier(spark, sf)
+        else:
+            a = _a(spark, sf)
+            fr = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=upto)
         return fr.select("site", "path_prefix", "pos", "url", "stage")
     return run
 

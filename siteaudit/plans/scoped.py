@@ -25,11 +25,16 @@ from siteaudit.plans.audit import AuditInputs, AuditTables, audit
 
 
 def scoped_inputs(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitemap_urls_raw: DataFrame,
-                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> tuple[AuditInputs, DataFrame]:
+                  probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame,
+                  final_frontier: DataFrame | None = None) -> tuple[AuditInputs, DataFrame]:
+    """``final_frontier``: an already computed F5 frontier of (at least) the scoped targets;
+    per-target stages are independent, so a frontier of all targets can be passed."""
     scoped = targets.filter(F.col("path_prefix") != "").select(
         "site", "root", "path_prefix", F.concat("site", "path_prefix").alias("audit_id"))
-    fr = frontier(targets.join(scoped.select("site", "path_prefix"), ["site", "path_prefix"], "left_semi"),
-                  sitemap_urls, pages)
+    if final_frontier is None:
+        final_frontier = frontier(targets.join(scoped.select("site", "path_prefix"), ["site", "path_prefix"],
+                                               "left_semi"), sitemap_urls, pages)
+    fr = final_frontier.join(scoped.select("site", "path_prefix"), ["site", "path_prefix"], "left_semi")
     first = Window.partitionBy("site", "key").orderBy("crawl_order")
     by_key = crawl.withColumn("key", U.canonicalize_url(F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url")))) \
         .withColumn("rk", F.row_number().over(first)).filter("rk = 1").drop("rk")
@@ -73,7 +78,9 @@ def _keyed_pages(pages: DataFrame) -> DataFrame:
 
 
 def scoped_audit(targets: DataFrame, crawl: DataFrame, sites: DataFrame, sitemap_urls_raw: DataFrame,
-                 probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame) -> AuditTables:
+                 probes: DataFrame, pages: DataFrame, sitemap_urls: DataFrame,
+                 final_frontier: DataFrame | None = None) -> AuditTables:
     """Audit every scoped target; results are keyed by ``site`` = audit id (site + prefix)."""
-    inp, s_pages = scoped_inputs(targets, crawl, sites, sitemap_urls_raw, probes, pages, sitemap_urls)
+    inp, s_pages = scoped_inputs(targets, crawl, sites, sitemap_urls_raw, probes, pages, sitemap_urls,
+                                 final_frontier)
     return audit(inp, pages=s_pages, root_pages=root_pages(targets, pages))
