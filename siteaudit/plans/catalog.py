@@ -108,7 +108,7 @@ def _index_starts(spark, sf):
 
 
 def sitemap_flatten(spark, sf):
-    flat = SM.flatten_index(_index_starts(spark, sf), _s(spark, sf)["sitemap_files"], None)
+    flat = SM.flatten_index(_index_starts(spark, sf), _s(spark, sf)["sitemap_files"])
     return flat.select("site", F.col("cand_pos").cast("bigint").alias("cand_pos"), "seq", "loc")
 
 

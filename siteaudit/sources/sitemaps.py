@@ -74,7 +74,7 @@ def sitemap_candidates(sites: DataFrame) -> DataFrame:
 
 
 # S6
-def flatten_index(starts: DataFrame, files: DataFrame, target_count, max_fetch: int = S.SITEMAP_FETCH_CAP) -> DataFrame:
+def flatten_index(starts: DataFrame, files: DataFrame, max_fetch: int = S.SITEMAP_FETCH_CAP) -> DataFrame:
     """Depth-first flattening of sitemap indexes.
 
     ``starts(site, cand_pos, child_pos, child_url, target)``: the children of each
@@ -135,7 +135,7 @@ def choose_sitemap(sites: DataFrame, files: DataFrame, max_pages: int = S.DEFAUL
     c = c.withColumn("is_index", is_sitemap_index("locs"))
     starts = c.filter("is_index").select("site", "cand_pos", F.posexplode("locs").alias("child_pos", "child_url"),
                                          F.lit(3 * max_pages).alias("target"))
-    flat = flatten_index(starts, files, F.lit(3 * max_pages))
+    flat = flatten_index(starts, files)
     flat_n = flat.groupBy("site", "cand_pos").agg(F.count(F.lit(1)).alias("n_flat"))
     c = c.join(flat_n, ["site", "cand_pos"], "left").withColumn(
         "n_urls", F.when(F.col("is_index"), F.coalesce("n_flat", F.lit(0))).otherwise(F.size("locs")))
