@@ -29,14 +29,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; documents without words stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = ngram_join.near_duplicates(rows, NEAR, ("doc_id", "_row"))
-    leader = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = F.row_number().over(Window.partitionBy("component_id").orderBy("_row"))
-    alone = groups.where(leader & (F.col("n_shingles") > 0)).withColumn("place", first).where("place = 1").select("_row")
-    empty = groups.where("n_shingles = 0").select("_row")
-    return rows.join(alone.union(empty), "_row", "left_semi").select(docs.columns)
+    """Of each group of linked documents the one with the smallest doc_id stays; documents without words stay.
+
+    A document is told by its doc_id and the hash of its text; of rows that repeat both, one stays.
+    """
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    groups = ngram_join.near_duplicates(rows, NEAR, ("doc_id", "_text"))
+    same = F.count(F.lit(1)).alias("copies")
+    empty = groups.where("n_shingles = 0").groupBy("doc_id", "_text").agg(F.lit(1).cast("bigint").alias("copies"))
+    leaders = (groups.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+               .groupBy("component_id", "doc_id", "_text").agg(same))
+    first = F.row_number().over(Window.partitionBy("component_id").orderBy("_text"))
+    kept = written(leaders.withColumn("place", first).where("place = 1").select("doc_id", "_text", "copies").union(empty), "kept")
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), "left_semi")
+
+    repeated = of(kept.where("copies > 1")).dropDuplicates(["doc_id", "_text"])
+    return of(kept.where("copies = 1")).union(repeated).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
