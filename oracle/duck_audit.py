@@ -302,11 +302,8 @@ crawled AS (SELECT DISTINCT site, {curl(page_key)} AS key FROM px),
 cand AS (SELECT e.*, {curl('e.target')} AS key FROM edges e WHERE {is_html('e.target')}),
 cand2 AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM crawled k WHERE k.site = c.site AND k.key = c.key)),
 cand3 AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY src_order, pos) AS rk FROM cand2),
-selected AS (SELECT site, target, key, src_order, pos FROM (
-               SELECT *, row_number() OVER (PARTITION BY site ORDER BY src_order, pos) AS pr FROM cand3 WHERE rk = 1)
-             WHERE pr <= {S.PROBE_CAP}),
+selected AS (SELECT site, target, key, src_order, pos FROM cand3 WHERE rk = 1),
 lstat0 AS (SELECT p.site, p.target AS url, p.status, 0 AS prio, -1 AS ord FROM probes p
-             WHERE EXISTS (SELECT 1 FROM selected s WHERE s.site = p.site AND s.target = p.target)
            UNION ALL SELECT site, {page_key}, status_code, 1, crawl_order FROM px WHERE status_code <> 0),
 lstat AS (SELECT site, url, arg_max(status, prio * 1000000000000 + ord + 1) AS status FROM lstat0 GROUP BY site, url),
 est AS (SELECT e.*, coalesce(s.status, -1) AS status FROM edges e LEFT JOIN lstat s ON s.site = e.site AND s.url = e.target),

@@ -189,7 +189,8 @@ def extract_fields(html: str | None, page_url: str) -> dict:
     h1s, h2s, og, hreflang, blocks, links, raw = [], [], {}, [], [], [], []
     img_total = img_missing = 0
     after_h1 = False
-    page_host = _host_key(urlparse(page_url).netloc)
+    page_url = page_url if isinstance(page_url, str) else ""
+    page_host = _host_of(page_url)
     for el in root.iter():
         tag = el.tag
         if tag == "p" and after_h1 and "p" not in first:
@@ -234,10 +235,14 @@ def extract_fields(html: str | None, page_url: str) -> dict:
                 continue
             anchor = el.text(" ")
             raw.append({"pos": len(raw), "href": href, "anchor": anchor[:200]})
-            absolute = urljoin(page_url, href)
+            try:
+                absolute = urljoin(page_url, href)
+            except ValueError:          # no URL: the link goes, the page stays
+                continue
             if not absolute.startswith(("http://", "https://")):
                 continue
-            if _host_key(urlparse(absolute).netloc) != page_host:
+            host = _host_of(absolute)
+            if host is None or host != page_host:
                 continue
             links.append({"pos": len(links), "target": absolute.split("#", 1)[0],
                           "anchor": anchor[:200]})
@@ -264,14 +269,31 @@ def extract_fields(html: str | None, page_url: str) -> dict:
     return out
 
 
-def _jsonld_blocks(text: str) -> list[str]:
-    """JSON-LD script body to block JSON strings; a top-level list is flattened."""
+def _host_of(url: str) -> str | None:
+    """Host key of a URL; None where it can't be parsed."""
     try:
-        data = json.loads(text.strip())
+        return _host_key(urlparse(url).netloc)
     except ValueError:
-        return [json.dumps({"__parse_error": True, "_raw_snippet": text[:120]}, ensure_ascii=False)]
-    items = data if isinstance(data, list) else [data]
-    return [json.dumps(x, ensure_ascii=False) for x in items]
+        return None
+
+
+#: Characters of an unreadable JSON-LD script that are shown.
+SNIPPET_CHARS = 120
+
+
+def _whole(text: str) -> str:
+    """``text`` with halves of surrogate pairs replaced, so that it can be encoded."""
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _jsonld_blocks(text: str) -> list[str]:
+    """JSON-LD script body to strict JSON strings (NaN and Infinity as null); a top-level list is flattened."""
+    try:
+        data = json.loads(text.strip(), parse_constant=lambda _: None)
+        items = data if isinstance(data, list) else [data]
+        return [_whole(json.dumps(x, ensure_ascii=False)) for x in items]
+    except (ValueError, RecursionError):
+        return [_whole(json.dumps({"__parse_error": True, "_raw_snippet": text[:SNIPPET_CHARS]}, ensure_ascii=False))]
 
 
 EXTRACTED_FIELDS = T.StructType([

@@ -42,11 +42,8 @@ def crawled_keys(pages: DataFrame) -> DataFrame:
 
 
 # L2
-def probe_targets(edges: DataFrame, pages: DataFrame, cap: int | None = S.PROBE_CAP) -> DataFrame:
-    """Link targets to probe: not crawled (by U7 key), HTML, first per key, first ``cap`` per site.
-
-    ``cap=None`` probes every target.
-    """
+def probe_targets(edges: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Link targets to probe: not crawled (by U7 key), HTML, first per key; with ``cap`` the first ``cap`` per site."""
     e = edges.filter(U.is_html_url("target")).withColumn("key", U.canonicalize_url("target"))
     e = e.join(crawled_keys(pages), ["site", "key"], "left_anti")
     first = Window.partitionBy("site", "key").orderBy("src_order", "pos")
@@ -60,15 +57,14 @@ def probe_targets(edges: DataFrame, pages: DataFrame, cap: int | None = S.PROBE_
 
 
 # L3
-def link_status(probes: DataFrame, selected: DataFrame, pages: DataFrame) -> DataFrame:
-    """URL -> status: probe results of the selected targets, overridden by crawled pages.
+def link_status(probes: DataFrame, pages: DataFrame) -> DataFrame:
+    """URL -> status: every known probe result, overridden by crawled pages.
 
     Crawled pages record their status unless it is 0; later pages win for a
     shared URL. Probes are matched by exact target string.
     """
-    probed = probes.join(selected.select("site", "target").distinct(), ["site", "target"], "left_semi") \
-        .select("site", F.col("target").alias("url"), "status",
-                F.lit(0).alias("prio"), F.lit(-1).cast("bigint").alias("ord"))
+    probed = probes.select("site", F.col("target").alias("url"), "status",
+                           F.lit(0).alias("prio"), F.lit(-1).cast("bigint").alias("ord"))
     crawled = page_key(pages).filter(F.col("status_code") != 0).select(
         "site", F.col("page_url").alias("url"), F.col("status_code").alias("status"),
         F.lit(1).alias("prio"), F.col("crawl_order").cast("bigint").alias("ord"))
@@ -88,5 +84,5 @@ def orphan_urls(sitemap_urls: DataFrame, edges: DataFrame, pages: DataFrame) ->
     """Sitemap URLs (U8 key) that no edge targets and no fetched page is."""
     sm = sitemap_urls.select("site", U.normalize_url("loc").alias("nkey")).distinct()
     linked = edges.select("site", U.normalize_url("target").alias("nkey")).unionByName(
-        page_key(pages).filter(F.col("status_code") != 0).select("site", U.normalize_url("page_url").alias("nkey")))
+        page_key(pages).filter(F.col("status_code") != 0).select("site", U.normalize_url("page_url").alias("nkey"))).distinct()   # a target linked from everywhere is one row
     return sm.join(linked, ["site", "nkey"], "left_anti")

@@ -78,15 +78,13 @@ def filter_sitemap_urls(raw: DataFrame, sites: DataFrame) -> DataFrame:
     return j.filter(cond).select("site", "pos", "loc")
 
 
-def build_pages(crawl: DataFrame, cut_lineage: bool = True) -> DataFrame:
-    """Extraction job. A snapshot read from files arrives split by the reader
-    (``spark.sql.files.maxPartitionBytes``) and is parsed where it lies; only an
-    input with fewer partitions than cores (e.g. a small, coalesced shuffle
-    output) is spread round-robin first, so the Python step uses every core."""
+def build_pages(crawl: DataFrame, cut_lineage: bool = True, partitions: int | None = None) -> DataFrame:
+    """Extraction job. A snapshot is parsed where it lies, split as its reader
+    split it; ``partitions`` spreads the rows round-robin first (for an input
+    known to arrive in fewer parts than there are cores)."""
     spark = crawl.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if crawl.rdd.getNumPartitions() < cores:
-        crawl = crawl.repartition(cores)
+    if partitions is not None:
+        crawl = crawl.repartition(partitions)
     pages = extract_pages(crawl)
     if cut_lineage:
         checkpoint_dir(spark)
@@ -94,12 +92,14 @@ def build_pages(crawl: DataFrame, cut_lineage: bool = True) -> DataFrame:
     return pages
 
 
-def audit(inputs: AuditInputs, probe_cap: int | None = S.PROBE_CAP, cut_lineage: bool = True,
-          root_pages: DataFrame | None = None, pages: DataFrame | None = None) -> AuditTables:
-    """The audit DAG. ``pages``: already extracted page rows (then ``inputs.crawl`` is not parsed again)."""
+def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool = True,
+          root_pages: DataFrame | None = None, pages: DataFrame | None = None,
+          partitions: int | None = None) -> AuditTables:
+    """The audit DAG. ``pages``: already extracted page rows (then ``inputs.crawl`` is not parsed again);
+    ``partitions``: see ``build_pages``."""
     sites = prepare_sites(inputs.sites)
     if pages is None:
-        pages = build_pages(inputs.crawl, cut_lineage)
+        pages = build_pages(inputs.crawl, cut_lineage, partitions)
     elif cut_lineage:
         checkpoint_dir(pages.sparkSession)
         pages = pages.checkpoint(eager=True)
@@ -108,7 +108,7 @@ def audit(inputs: AuditInputs, probe_cap: int | None = S.PROBE_CAP, cut_lineage:
     if cut_lineage:  # read by probe selection, statuses, C-22/23/24 and views
         edges = edges.checkpoint(eager=True)
     selected = L.probe_targets(edges, pages, probe_cap)
-    status = L.link_status(inputs.probes, selected, pages)
+    status = L.link_status(inputs.probes, pages)
     edges_st = L.edge_status(edges, status)
     facts = C.site_facts(pages, sites, sitemap_urls, edges, status, edges_st, root_pages)
     results = C.run_checks(facts)
@@ -127,5 +127,6 @@ def audit_fixture(spark: SparkSession, sf_dir: str, cut_lineage: bool = True) ->
     """Audit of the fixture snapshot of ``sf_dir``, memoised per session and directory."""
     key = (spark.sparkContext.applicationId, sf_dir, cut_lineage)
     if key not in _CACHE:
-        _CACHE[key] = audit(fixture_inputs(spark, sf_dir), cut_lineage=cut_lineage)
+        _CACHE[key] = audit(fixture_inputs(spark, sf_dir), cut_lineage=cut_lineage,
+                            partitions=spark.sparkContext.defaultParallelism)
     return _CACHE[key]

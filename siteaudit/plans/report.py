@@ -38,7 +38,8 @@ def _dim(spark, rows, schema) -> DataFrame:
 def task_dimensions(results: DataFrame) -> DataFrame:
     """Owner, effort and why per check row (15-row dimension, broadcast), with defaults."""
     spark = results.sparkSession
-    dim = _dim(spark, [(cid, S.CHECK_OWNER[cid], S.CHECK_EFFORT[cid], S.CHECK_WHY[cid])
+    dim = _dim(spark, [(cid, S.CHECK_OWNER.get(cid, S.DEFAULT_OWNER),
+                        S.CHECK_EFFORT.get(cid, S.DEFAULT_EFFORT), S.CHECK_WHY.get(cid, S.DEFAULT_WHY))
                        for _, cid, _, _ in S.CHECKS], "check_id string, owner string, effort string, why string")
     return results.join(dim, "check_id", "left").select(
         "site", "check_id", F.coalesce("owner", F.lit(S.DEFAULT_OWNER)).alias("owner"),
@@ -278,7 +279,7 @@ def report_id(target_root, path_prefix, audit_date) -> Column:
 
 # K1
 def write_report(views: dict[str, DataFrame], path: str, audit_date: str, fmt: str = "parquet") -> None:
-    """Write every view under ``path/<view>/audit_date=<date>/`` (one folder per view)."""
+    """Write every view under ``path/<view>/audit_date=<date>/``; only that date's folder is replaced."""
     for name, df in views.items():
         (df.withColumn("audit_date", F.lit(audit_date)).write.mode("overwrite")
-         .partitionBy("audit_date").format(fmt).save(f"{path}/{name}"))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("audit_date").format(fmt).save(f"{path}/{name}"))

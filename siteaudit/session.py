@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -35,11 +36,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         _fill_defaults(active)
         return active
     b = SparkSession.builder.appName(app_name)
-    b = b.master(master or os.environ.get("SITEAUDIT_MASTER", "local[*]"))
+    given = SparkConf().get("spark.master", None)     # what spark-submit says stands
+    if master or not given:
+        b = b.master(master or os.environ.get("SITEAUDIT_MASTER", "local[*]"))
     b = b.config("spark.ui.enabled", "false")
     b = b.config("spark.ui.showConsoleProgress", "false")
     b = b.config("spark.driver.memory", os.environ.get("SITEAUDIT_DRIVER_MEMORY", "8g"))
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -70,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         # Unset: only the case for local tests and benches.
         d = tempfile.mkdtemp(prefix="siteaudit-ckpt-")
     sc.setCheckpointDir(d)

@@ -6,9 +6,9 @@ Snapshot tables (what a crawler wrote, one row per fetched resource):
 * ``sitemap_files(site, sitemap_url, status, body)``  (``.xml`` or decompressed ``.gz``)
 * ``site_fetches(site, ua, body_len)``
 
-Sitemap XML is read with the built-in ``xpath`` behind a ``from_xml``
-corrupt-record guard (a bare ``xpath`` fails the whole job on one malformed
-file). Per-file URL lists stay arrays inside their row (a sitemap file is
+Sitemap XML is read by one parser per body, in Arrow batches, which alone
+decides whether a body is well formed; one bad file gives no URLs and cannot
+end the job. Per-file URL lists stay arrays inside their row (a sitemap file is
 bounded by the protocol's 50,000 URLs), and only the chosen lists are
 exploded. Index flattening is a bounded loop of joins (at most 25 fetches,
 so at most 25 levels), pruned to 25 nodes per site and level.
@@ -16,12 +16,19 @@ so at most 25 levels), pruned to 25 nodes per site and level.
 
 from __future__ import annotations
 
+import sys
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit import schema as S
 from siteaudit.functions import urls as U
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # S3
 def robots_source(robots: DataFrame) -> DataFrame:
@@ -31,19 +38,25 @@ def robots_source(robots: DataFrame) -> DataFrame:
                          .alias("robots_txt"))
 
 
-def _well_formed(body: Column) -> Column:
-    corrupt = F.from_xml(body, "__corrupt string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})["__corrupt"]
-    return corrupt.isNull() & (U.strip_ws(body) != "")
+def locs_of(body: str | None) -> list[str]:
+    """Texts of all ``loc`` elements in any declared namespace; none if the body is not well-formed XML."""
+    try:
+        root = ElementTree.fromstring((body or "").removeprefix("\ufeff"))
+    except (ElementTree.ParseError, ValueError):
+        return []
+    return [e.text or "" for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "loc"]
+
+
+def _xml_locs(bodies: pd.Series) -> pd.Series:
+    return bodies.map(locs_of)
 
 
 def sitemap_locs(body_col: str, root) -> Column:
     """Every <loc> text (any namespace prefix), stripped, non-empty, same host as ``root``.
     Malformed or blank XML gives an empty list."""
     r = F.col(root) if isinstance(root, str) else root
-    raw = F.expr(f"xpath({body_col}, '//loc/text()')")
-    locs = F.filter(F.transform(raw, lambda x: U.strip_ws(x)), lambda x: (x != "") & U.same_host(x, r))
-    return F.when(_well_formed(F.col(body_col)), locs).otherwise(F.array().cast("array<string>"))
+    raw = F.pandas_udf(_xml_locs, "array<string>")(F.col(body_col))
+    return F.filter(F.transform(raw, lambda x: U.strip_ws(x)), lambda x: (x != "") & U.same_host(x, r))
 
 
 def parse_files(files: DataFrame, root_col: str = "root") -> DataFrame:
