@@ -254,7 +254,7 @@ def audit_ctes(scoped: bool = False) -> str:
             f"WHEN {hc} LIKE '//%' THEN {scheme(base)} || ':' || {hc} "
             f"WHEN {hc} LIKE '/%' THEN {scheme(base)} || '://' || {netloc(base)} || {hc} "
             f"ELSE {scheme(base)} || '://' || {netloc(base)} || regexp_replace({path(base)}, '[^/]*$', '') || {hc} END)")
-    groups = "regexp_split_to_array(lower(coalesce(robots_txt, '')), '(?m)^user-agent\\s*:\\s*')"
+    groups = "regexp_split_to_array(lower(CASE WHEN robots_status = 200 THEN coalesce(robots_txt, '') ELSE '' END), '(?m)^user-agent\\s*:\\s*')"
     ua = f"{strip('split_part(g, chr(10), 1)')}"
     body = "(CASE WHEN strpos(g, chr(10)) > 0 THEN substr(g, strpos(g, chr(10)) + 1) ELSE '' END)"
     dis = f"regexp_matches({body}, '(?m)^\\s*disallow\\s*:\\s*/\\s*$')"
