@@ -69,6 +69,31 @@ def test_signatures_meet_for_all_linked_sets():
             assert len(np.intersect1d(*sigs)) > 0
 
 
+def test_linked_sizes_share_a_class():
+    for share in (60, 80, 90, 100):
+        rule = ngram_join.Rule(3, share)
+        classes = {n: set(ngram_join.size_classes(n, rule)) for n in range(1, 1500)}
+        for n in classes:
+            assert all(classes[n] & classes[m] for m in range(-(-n * share // 100), n + 1))
+        if share > 60:
+            assert not classes[100] & classes[1000]
+
+
+def test_subsets_share_a_signature():
+    rng = np.random.default_rng(3)
+    rule = ngram_join.Rule(3, 90)
+    for n in range(1, 400):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.sort(a[rng.permutation(n)[rule.errors(n):]])
+        sigs = []
+        for s, other in ((a, b), (b, a)):
+            sample, extra = ngram_join.split_sample(s, rule)
+            shared = sample[np.isin(sample, other)]
+            frequency = np.where(shared % np.uint64(3) == 0, 2, 1000)
+            sigs.append(ngram_join.signatures(len(s), len(sample), shared, frequency, extra, rule))
+        assert rule.linked(len(a), len(b), len(b)) and len(np.intersect1d(*sigs)) > 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201)]
     got = dict(cc.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
