@@ -40,6 +40,29 @@ def test_ngram_join_equals_brute_force(spark):
         assert got == dict(zip(ids, components(ids, word_sets([t for _, t in rows], k), share), strict=True))
 
 
+def edge_groups():
+    """Groups of three texts: two that are linked, and one between them and far texts that shares n-grams with one of the two only."""
+    rng, rows = random.Random(11), []
+    words = [f"v{i}" for i in range(4000)]
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(50, 160))]
+        for _ in range(rng.randint(3, 5)):
+            text = base.copy()
+            for _ in range(rng.randint(0, len(base) // 25)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_ngram_join_rules_out_no_link_in_small_groups(spark):
+    rows = edge_groups()
+    for share in (80, 90):
+        got = {r.doc_id: (r.n_shingles, r.component_id)
+               for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), ngram_join.Rule(3, share)).collect()}
+        ids = [d for d, _ in rows]
+        assert got == dict(zip(ids, components(ids, word_sets([t for _, t in rows], 3), share), strict=True))
+
+
 def test_ngram_join_repeated_null_and_no_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (1, "q r s"), (3, "q r s"), (None, None)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
