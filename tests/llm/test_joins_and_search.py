@@ -63,6 +63,24 @@ def test_ngram_join_rules_out_no_link_in_small_groups(spark):
         assert got == dict(zip(ids, components(ids, word_sets([t for _, t in rows], 3), share), strict=True))
 
 
+def test_second_stars_settle_a_group_whose_hub_is_at_its_edge(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    words = [f"u{i}" for i in range(20000)]
+    base = [rng.choice(words) for _ in range(150)]
+    for i in range(400):
+        text = base.copy()
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    pairs, rest = [], ngram_join._rest
+    monkeypatch.setattr(ngram_join, "_rest", lambda *a: pairs.append(rest(*a)) or pairs[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    ids = [d for d, _ in rows]
+    assert got == dict(zip(ids, components(ids, word_sets([t for _, t in rows], 3), 90), strict=True))
+    assert pairs[0].count() < 10 * len(rows)
+
+
 def test_ngram_join_repeated_null_and_no_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (1, "q r s"), (3, "q r s"), (None, None)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
