@@ -201,11 +201,11 @@ CHECK_CASES = {
     "C-10": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
       WHEN c10_missing + c10_long + c10_short > n_valid * CAST(0.3 AS DOUBLE) THEN {R('fail', 'P1', S_('c10_missing') + " || ' missing, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", 'c10_ex', "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
       WHEN c10_missing + c10_long + c10_short > 0 THEN {R('warn', 'P2', S_('c10_missing') + " || ' missing, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", "''", "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
-      ELSE {R('pass', 'P2', "'All ' || " + S_('n_valid') + " || ' titles within range.'", "''", "''", '0', 'n_valid')} END""",
+      ELSE {R('pass', 'P2', "'Titles checked: ' || " + S_('n_valid') + " || ', none too short or too long.'", "''", "''", '0', 'n_valid')} END""",
     "C-11": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
       WHEN (c11_none + c11_multi) / n_valid * 100 > 10 THEN {R('fail', 'P1', S_('c11_none') + " || ' without H1, ' || " + S_('c11_multi') + " || ' with several (' || " + S_(pct_int('(c11_none + c11_multi)', 'greatest(n_valid, 1)')) + " || '% of pages).'", 'c11_ex', "''", 'c11_none + c11_multi', 'n_valid')}
       WHEN c11_none + c11_multi > 0 THEN {R('warn', 'P2', S_('c11_none') + " || ' without H1, ' || " + S_('c11_multi') + " || ' with several (' || " + S_(pct_int('(c11_none + c11_multi)', 'greatest(n_valid, 1)')) + " || '% of pages).'", 'c11_ex', "''", 'c11_none + c11_multi', 'n_valid')}
-      WHEN coalesce(c11_dups, 0) > coalesce(c11_h1_pages, 0) * CAST(0.15 AS DOUBLE) THEN {R('warn', 'P2', S_('c11_dups') + " || ' duplicate H1s across ' || " + S_('c11_h1_pages') + " || ' pages.'", "''", "''", 'c11_dups', 'n_valid')}
+      WHEN coalesce(c11_dups, 0) > coalesce(c11_h1_pages, 0) * CAST(0.15 AS DOUBLE) THEN {R('warn', 'P2', S_('c11_dups') + " || ' first headings repeat another page''s; pages with one: ' || " + S_('c11_h1_pages') + " || '.'", "''", "''", 'c11_dups', 'n_valid')}
       ELSE {R('pass', 'P2', "'All ' || " + S_('n_valid') + " || ' pages have one unique H1.'", "''", "''", '0', 'n_valid')} END""",
     "C-13": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
       WHEN c13_qa = 0 AND c13_faq = 0 THEN {R('na', 'INFO', q('No question-and-answer content found.'))}
