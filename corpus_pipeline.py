@@ -8,7 +8,7 @@ go with its near copies, of which the one with the smallest doc_id stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.llm import byte_bpe, byte_cnn, decontaminate, ngram_join, personal_data
@@ -28,32 +28,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != byte_cnn.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+def told(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of each text: a document is told by its doc_id and that, as ids may repeat or be null."""
+    return docs.withColumn("_text", F.xxhash64("text"))
+
+
+def among(rows: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
+    """The semi or anti join of ``rows`` with the documents of ``keys``."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
+    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), kind)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; documents without words stay.
 
-    A document is told by its doc_id and the hash of its text; of rows that repeat both, one stays.
+    Groups are told by their component, not by its component_id, which several groups may have. Of texts that have a group's smallest
+    doc_id (or none, where all are null) the one with the smallest hash stays, and of rows that repeat doc_id and text, one.
     """
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    groups = ngram_join.near_duplicates(rows, NEAR, ("doc_id", "_text"))
-    same = F.count(F.lit(1)).alias("copies")
+    rows = told(docs)
+    groups = written(ngram_join.near_duplicates(rows, NEAR, ("doc_id", "_text")), "groups")
     empty = groups.where("n_shingles = 0").groupBy("doc_id", "_text").agg(F.lit(1).cast("bigint").alias("copies"))
     leaders = (groups.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("component_id", "doc_id", "_text").agg(same))
-    first = F.row_number().over(Window.partitionBy("component_id").orderBy("_text"))
-    kept = written(leaders.withColumn("place", first).where("place = 1").select("doc_id", "_text", "copies").union(empty), "kept")
-
-    def of(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
-        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), "left_semi")
-
-    repeated = of(kept.where("copies > 1")).dropDuplicates(["doc_id", "_text"])
-    return of(kept.where("copies = 1")).union(repeated).select(docs.columns)
+               .groupBy("component", "doc_id", "_text").agg(F.count(F.lit(1)).alias("copies")))
+    first = leaders.groupBy("component").agg(F.min(F.struct("_text", "doc_id", "copies")).alias("first"))
+    kept = written(first.select("first.doc_id", "first._text", "first.copies").union(empty), "kept")
+    repeated = among(rows, kept.where("copies > 1"), "left_semi").dropDuplicates(["doc_id", "_text"])
+    return among(rows, kept.where("copies = 1"), "left_semi").union(repeated).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Documents that hold a benchmark passage go, not others with their doc_id."""
+    rows = told(docs)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), ("doc_id", "_text"))
+    return among(rows, found.select("doc_id", "_text").distinct(), "left_anti").select(docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ COPIED, PARAPHRASED, ANSWER_WORDS = 0.7, 0.5, 6
 
 SEPARATORS = bytes(i for i in range(128) if not chr(i).isalnum())
 
-MATCHES = "doc_id string, item_id bigint, score double, cosine double, answer boolean"
+MATCHES = "item_id bigint, score double, cosine double, answer boolean"
 
 
 def scanner() -> WordScanner:
@@ -213,7 +213,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]
         yield block
 
 
-def _search(docs: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
+def _search(docs: DataFrame, block: list[tuple[int, np.ndarray]], keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = np.unique(np.concatenate([q for _, q in block]))
     frequency, total = _frequencies(docs, vocabulary)
@@ -224,7 +224,7 @@ def _search(docs: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = Space(*sent.value)
         for batch in batches:
-            keys, rows = batch["doc_id"].tolist(), []
+            keys, rows = batch[keep].values.tolist(), []
             for first, buf, offsets in blocks(folded(batch["text"].tolist()), 1 << 18):
                 starts, _, hashes = space.scan.scan(buf)
                 if not len(hashes):
@@ -238,21 +238,25 @@ def _search(docs: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
                     mine = np.flatnonzero((low <= t) & (high >= t))
                     text = hashes[bounds[t]:bounds[t + 1]]
                     for q, share, answer, i in space.matches(text, np.maximum(at[mine] - bounds[t], 0), which[mine]):
-                        rows.append((keys[first + t], space.queries[q][0], share, float(cosine[mine[i]]), answer))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "cosine", "answer"])
+                        rows.append((*keys[first + t], space.queries[q][0], share, float(cosine[mine[i]]), answer))
+            yield pd.DataFrame(rows, columns=[*keep, "item_id", "score", "cosine", "answer"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, MATCHES)
+    return docs.select(*[F.col(k).cast("string").alias(k) for k in keep], "text").mapInPandas(task, _matches(keep))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _matches(keep: list[str]) -> str:
+    return ", ".join([*(f"{k} string" for k in keep), MATCHES])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """op2: (doc_id, item_id, score, cosine, answer): the items that a document holds, with the best share of an item's passage
-    found in it. Documents without a match have no row."""
-    found = None
+    found in it. Documents without a match have no row. ``keep`` names the columns that tell a document."""
+    keep, found = list(keep), None
     for block in _item_blocks(benchmark):
-        part = written(_search(docs.select("doc_id", "text"), block), "matches")
+        part = written(_search(docs.select(*keep, "text"), block, keep), "matches")
         found = part if found is None else found.union(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], MATCHES)
-    best = found.groupBy("doc_id", "item_id").agg(
+        found = docs.sparkSession.createDataFrame([], _matches(keep))
+    best = found.groupBy(*keep, "item_id").agg(
         F.max("score").alias("score"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))
-    return best.select(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id", "score", "cosine", "answer")
+    return best.select(*[F.col(k).cast("bigint").alias(k) for k in keep], "item_id", "score", "cosine", "answer")

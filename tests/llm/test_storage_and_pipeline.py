@@ -154,6 +154,22 @@ def test_pipeline_on_odd_rows(spark):
         table.collect()
 
 
+def test_pipeline_keeps_unlinked_and_clean_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " more"), (None, b + " more"), (4, c), (4, d), (7, d + " more"), (4, c), (9, a + " " + item)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = P.near_copies(spark, table, SF).collect()
+    texts = [r.text for r in kept]
+    assert len(texts) == 5 and {a, c, d} < set(texts) and len({b, b + " more"} & set(texts)) == 1
+    assert sorted(str(r.doc_id) for r in kept) == ["4", "4", "9", "None", "None"]
+    rows = [(None, a), (None, b + " " + item), (4, c), (4, item), (5, d), (None, a)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table.schema)
+    clean = sorted((str(r.doc_id), r.text) for r in P.decontamination(spark, table, SF).collect())
+    assert clean == [("4", c), ("5", d), ("None", a), ("None", a)]
+
+
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in QUERIES]
     assert names == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
