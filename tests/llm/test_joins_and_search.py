@@ -89,6 +89,23 @@ def test_ngram_join_repeated_null_and_no_rows(spark):
     assert ngram_join.ngram_components(table.limit(0)).count() == 0
 
 
+def test_ngram_join_finds_each_text_once_where_ids_repeat_or_are_null(spark, monkeypatch):
+    rows = [(None if i % 3 else 7, t) for i, (_, t) in enumerate(edge_groups())]
+    rows += rows[:20] * 5
+    found, texts = [], ngram_join._texts
+    monkeypatch.setattr(ngram_join, "_texts", lambda *a: found.append(texts(*a)) or found[-1])
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), ngram_join.Rule(3, 80)).collect()
+    assert found[0].count() == found[0].select("node").distinct().count() > 150
+    names, sets = list(range(len(rows))), word_sets([t for _, t in rows], 3)
+    groups = {}
+    for (d, _), (n, c) in zip(rows, components(names, sets, 80), strict=True):
+        groups.setdefault(c, []).append((d, n))
+    least = {c: min((d for d, _ in g if d is not None), default=None) for c, g in groups.items()}
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(
+        str((d, n, least[c])) for c, g in groups.items() for d, n in g)
+    assert len({r.component for r in got}) == len(groups)
+
+
 def test_signatures_meet_for_all_linked_sets():
     rng = np.random.default_rng(2)
     for share in (80, 90):
