@@ -26,7 +26,6 @@ from siteaudit.functions import urls as U
 from siteaudit.session import checkpoint_dir
 
 T = ["site", "path_prefix"]
-MAX_PAGES_LIMIT = 100  # the page budget is clamped to 1..100 per target
 
 
 def hub_links(pages: DataFrame, root_col: str = "root") -> DataFrame:
@@ -50,8 +49,8 @@ def _fetch_cache(pages: DataFrame) -> DataFrame:
     return p.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select("site", "fkey", "raw_links")
 
 
-def _stage(chosen: DataFrame, cands: DataFrame, targets: DataFrame, stage: int) -> DataFrame:
-    """Append de-duplicated candidates (ordered by ``o1, o2``) to ``chosen`` up to max_pages."""
+def _stage(chosen: DataFrame, cands: DataFrame, targets: DataFrame, stage: int, most: int) -> DataFrame:
+    """Append de-duplicated candidates (ordered by ``o1, o2``) to ``chosen`` up to max_pages, which is ``most`` at most."""
     c = cands.withColumn("key", U.canonicalize_url("url"))
     c = c.join(chosen.select(*T, "key"), T + ["key"], "left_anti")
     first = Window.partitionBy(*T, "key").orderBy("o1", "o2")
@@ -60,10 +59,10 @@ def _stage(chosen: DataFrame, cands: DataFrame, targets: DataFrame, stage: int)
     c = c.join(targets.select(*T, "max_pages"), T).join(n, T, "left")
     room = F.col("max_pages") - F.coalesce(F.col("n_prev"), F.lit(0))
     order = Window.partitionBy(*T).orderBy("o1", "o2")
-    # literal bound first (max_pages is clamped to 1..100): Catalyst plans it as a
+    # literal bound first (the largest max_pages of all targets): Catalyst plans it as a
     # map-side WindowGroupLimit, so a site with millions of candidates never
     # reaches one task whole; then the per-target room
-    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MAX_PAGES_LIMIT).filter(F.col("r") <= room)
+    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).filter(F.col("r") <= room)
     add = c.select(*T, "url", "key", (F.coalesce(F.col("n_prev"), F.lit(0)) + F.col("r") - 1).cast("bigint").alias("pos"),
                    F.lit(stage).alias("stage"))
     # each stage reads the previous one three times: cut the lineage (at most
@@ -103,29 +102,30 @@ def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto
     seed = F.when(F.col("path_prefix") == "", F.col("root")).otherwise(
         F.concat(F.col("root"), F.col("path_prefix"), F.lit("/")))
     t = targets.select(*T, "root", "max_pages")
+    most = int(t.agg(F.max("max_pages")).first()[0] or 0)
     seeds = t.select(*T, seed.alias("url"), F.lit(0).alias("o1"), F.lit(0).cast("bigint").alias("o2"))
     sm = sitemap_urls.join(t.select(*T), "site").select(*T, F.col("loc").alias("url"), F.lit(1).alias("o1"),
                                                         F.col("pos").cast("bigint").alias("o2"))
     c1 = seeds.unionByName(sm).join(t, T).filter(U.is_html_url("url") & U.matches_prefix("url", "root", "path_prefix"))
     empty = c1.select(*T, "url", F.lit("").alias("key"), F.lit(0).cast("bigint").alias("pos"),
                       F.lit(0).alias("stage")).limit(0)
-    chosen = _stage(empty, c1.select(*T, "url", "o1", "o2"), t, 1)
+    chosen = _stage(empty, c1.select(*T, "url", "o1", "o2"), t, 1, most)
     if upto >= 2:  # hub links of the seed page
         g = _gate(chosen, t, lambda n, m, p: n < m)
         hubs = g.select(*T, seed.alias("hub_url"), F.lit(0).alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 2)
+        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 2, most)
     if upto >= 3:  # depth-2 from the first min(5, n) chosen URLs
         g = _gate(chosen, t, lambda n, m, p: n < F.greatest(F.lit(3), F.floor(m / 2)))
         hubs = chosen.join(g.select(*T), T).filter(F.col("pos") < 5).select(*T, F.col("url").alias("hub_url"),
                                                                             F.col("pos").alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 3)
+        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 3, most)
     if upto >= 4:  # scoped 1-hop from the first 10 in-prefix URLs, same host only
         g = _gate(chosen, t, lambda n, m, p: (p != "") & (n < m))
         inpre = chosen.join(t, T).filter(U.matches_prefix("url", "root", "path_prefix"))
         w = Window.partitionBy(*T).orderBy("pos")
         hubs = inpre.join(g.select(*T), T).withColumn("hr", F.row_number().over(w)).filter("hr <= 10") \
             .select(*T, F.col("url").alias("hub_url"), F.col("pos").alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, False), g, 4)
+        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, False), g, 4, most)
     if upto >= 5:  # final cut
         chosen = chosen.join(t.select(*T, "max_pages"), T).filter(F.col("pos") < F.col("max_pages")).drop("max_pages")
     return chosen.select(*T, "pos", "url", "key", "stage")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siteaudit.operators.frontier import frontier
 from siteaudit.plans.audit import AuditInputs, audit
 from siteaudit.plans.scoped import scoped_audit
 
@@ -41,3 +42,16 @@ def test_scoped_audit_uses_root_homepage(spark):
     # scoped pages are the frontier: seed (not crawled) + the two in-prefix sitemap URLs
     n = sc.pages.filter(F.col("site") == "r.test/blog").count()
     assert n == 2
+
+
+def test_frontier_fills_a_budget_above_100(spark):
+    crawl = spark.createDataFrame([("r.test", 1, 0, "https://r.test/", "https://r.test/", 200, 900, _page("Root page of the site"))], CRAWL)
+    sites = spark.createDataFrame([("r.test", "https://r.test", 200, "", "", 200, 1, 1)], SITES)
+    raw = spark.createDataFrame([("r.test", i, f"https://r.test/p{i}") for i in range(400)], "site string, pos bigint, loc string")
+    pages = audit(AuditInputs(crawl=crawl, sites=sites, sitemap_urls_raw=raw,
+                              probes=spark.createDataFrame([], "site string, target string, status int"))).pages
+    targets = spark.createDataFrame([("r.test", "https://r.test", "", 300), ("s.test", "https://s.test", "", 20)],
+                                    "site string, root string, path_prefix string, max_pages int")
+    got = frontier(targets, raw, pages).filter("site = 'r.test'").orderBy("pos").collect()
+    assert [r.url for r in got] == ["https://r.test"] + [f"https://r.test/p{i}" for i in range(299)]
+    assert [r.pos for r in got] == list(range(300))
