@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteaudit.llm import (byte_bpe, byte_cnn, decontaminate, license_templates, ngram_join, personal_data,
-                           piece_counts, projection_forest, sharding, zip_archives)
+from siteaudit.llm import (byte_bpe, byte_cnn, decontaminate, divergence, license_templates, ngram_join, personal_data,
+                           piece_counts, projection_forest, quality_trees, sharding, vector_codes, zip_archives)
 from siteaudit.llm.common import table
+from siteaudit.llm.oracles import ORACLES  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -60,11 +61,24 @@ def op10_contextual_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_combinations, op2_latent_retrieval, op3_license_templates, op4_byte_cnn, op5_rendezvous, op6_merge_replay, op7_heap_counts,
-                                   op8_projection_forest, op9_zip_archives, op10_contextual_extraction, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_token_combinations, op2_latent_retrieval, op3_license_templates, op4_byte_cnn, op5_rendezvous, op6_merge_replay, op7_heap_counts,
+    op8_projection_forest, op9_zip_archives, op10_contextual_extraction, op11_source_divergence, op12_anchor_codes, op13_quality_trees,
+    pipeline)}
