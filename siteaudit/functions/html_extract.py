@@ -5,9 +5,12 @@ as ``mapInPandas`` (no shuffle, one pass, batches of rows), takes the crawl
 rows with their HTML, and returns them with the extracted columns and without
 the HTML. Everything downstream is native Spark expressions.
 
-Parsing uses the standard-library tokenizer with a small tree builder that
-applies the HTML auto-close rules that matter for these fields (``<p>`` is
-closed by a following block start, void elements never open a scope).
+Parsing uses the standard-library tokenizer with a tree builder that repairs
+tag soup: a start tag ends the open elements that can't hold it (``ENDS``: an
+unclosed link, heading, cell, row, term, option, paragraph), an end tag ends
+what is open inside its element but doesn't reach out of a table cell, row or
+block (``END_RANK``). Strings are gathered in one pass; an element's text is a
+slice of them.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -32,113 +36,195 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle without the API
     pass
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
-# Start tags that close an open <p> (HTML block-level elements).
+VOID = frozenset("area base br col embed frame hr img input isindex link meta param source track wbr keygen".split())
+#: Start tags that end an open <p>, also through inline elements inside it, but not out of one of ``P_SCOPE``.
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
-RAW_TEXT = frozenset(("script", "style", "template"))
+P_SCOPE = frozenset("button table td th html body article div section nav header footer aside main".split())
+#: Elements whose strings are no text of the elements around them.
+MUTE = frozenset("script style template rt rp".split())
 SKIP_HREF_PREFIXES = ("#", "mailto:", "tel:", "javascript:")
 
 
+def _implied_ends() -> dict[str, frozenset[str]]:
+    """For a start tag: the elements that it ends while one of them is the innermost open element.
+
+    Fixed values of the tag-soup rules that lenient HTML parsers share.
+    """
+    headings = "h1 h2 h3 h4 h5 h6".split()
+    styles = "tt i b u s strike big small".split()
+    old_blocks = "menu dir address pre listing xmp".split()
+    cell_text = "p span font a b i u".split()
+    columns = "caption col colgroup p".split()
+    ends: dict[str, set[str]] = {}
+
+    def rule(tags: str | list[str], *closed: str | list[str]) -> None:
+        for tag in tags.split() if isinstance(tags, str) else tags:
+            for group in closed:
+                ends.setdefault(tag, set()).update(group.split() if isinstance(group, str) else group)
+
+    rule("address blockquote center dir div dl dt dd hr listing menu ol pre ul xmp title body frameset head", "p")
+    rule(headings, "p", headings)
+    for tag in headings:
+        ends[tag].discard(tag)
+    rule("p", "p", headings, styles)
+    rule("li", "p li dl", headings, "address pre listing xmp")
+    rule("form", "form p hr dl ul ol", headings, old_blocks)
+    rule("dl", "p dt", old_blocks)
+    rule("dt", "p dt dd", old_blocks)
+    rule("dd", "p dt dd", old_blocks)
+    rule("ul", "p ol", old_blocks)
+    rule("ol", "p ul")
+    rule("menu", "p ul")
+    rule("pre address", "p ul")
+    rule("center", "font b i p")
+    rule("a", "a")
+    rule("fieldset", "legend p a pre listing xmp", headings)
+    rule("table", "p a pre listing xmp", headings)
+    rule("caption", "p")
+    rule("colgroup col", columns)
+    rule("td th", "td th", cell_text)
+    rule("tr", "td th tr", columns)
+    rule("thead", columns)
+    rule("tbody tfoot", "td th tr thead tbody tfoot", columns)
+    rule("option optgroup", "option")
+    rule("body frameset", "head style link title")
+    rule("noscript", "script")
+    return {tag: frozenset(closed) for tag, closed in ends.items()}
+
+
+ENDS = _implied_ends()
+#: An end tag passes over open elements of its own rank or below; one of a higher rank makes it void.
+END_RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
+
+
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element. ``first`` and ``last`` bound its strings among those of the document."""
 
-    def __init__(self, tag, attrs, parent):
+    __slots__ = ("tag", "attrs", "children", "first", "last")
+
+    def __init__(self, tag, attrs, first):
         self.tag = tag
         self.attrs = attrs
         self.children = []
-        self.parent = parent
+        self.first = first
+        self.last = None
 
     def get(self, key, default=None):
         return self.attrs.get(key, default)
 
-    def iter(self):
-        """Element descendants in document order (self excluded)."""
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, _Node):
-                yield n
-                stack.extend(reversed(n.children))
-
-    def strings(self):
-        """Text descendants in document order, skipping script/style text."""
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, _Node):
-                if n.tag not in RAW_TEXT:
-                    stack.extend(reversed(n.children))
-            else:
-                yield n
-
-    def text(self, sep: str) -> str:
-        return sep.join(s for s in (x.strip() for x in self.strings()) if s)
-
     def string(self):
         """The single string below a chain of single children, else None."""
         node = self
-        while True:
+        while isinstance(node, _Node):
             if len(node.children) != 1:
                 return None
-            c = node.children[0]
-            if isinstance(c, _Node):
-                node = c
-            else:
-                return c
+            node = node.children[0]
+        return node
 
 
 class _TreeBuilder(HTMLParser):
+    """Elements in document order, and the visible strings once, which elements point into.
+
+    An element's text is a slice of ``strings``, so that a document is read once however deep its elements nest.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#document", {}, None)
-        self.stack = [self.root]
+        self.elements: list[_Node] = []
+        self.strings: list[str] = []
+        self.stack = [_Node("#document", {}, 0)]
+        self.open: Counter[str] = Counter()     # open elements by tag
+        self.mute = 0
+        self.data: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
+        self._end_string()
+        if self.open["p"] and tag in CLOSES_P:
             self._close_p()
-        if tag == "li":
-            self._close_to("li", stop=("ul", "ol"))
-        parent = self.stack[-1]
-        node = _Node(tag, {k: (v if v is not None else "") for k, v in reversed(attrs)}, parent)
-        parent.children.append(node)
-        if tag not in VOID:
+        ended = ENDS.get(tag)
+        while ended and self.stack[-1].tag in ended:
+            self._pop()
+        node = _Node(tag, {k: (v if v is not None else "") for k, v in reversed(attrs)}, len(self.strings))
+        self.stack[-1].children.append(node)
+        self.elements.append(node)
+        if tag in VOID:
+            node.last = node.first
+        else:
             self.stack.append(node)
+            self.open[tag] += 1
+            self.mute += tag in MUTE
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack[-1].tag == tag:
-            self.stack.pop()
+        if self.stack[-1].tag == tag and tag not in VOID:
+            self._pop()
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+        self._end_string()
+        if not self.open[tag]:
+            return
+        rank = END_RANK.get(tag, 0)
+        for node in reversed(self.stack):
+            if node.tag == tag:
+                break
+            if END_RANK.get(node.tag, 0) > rank:
                 return
+        while self._pop() != tag:
+            pass
 
     def handle_data(self, data):
-        if data:
-            self.stack[-1].children.append(data)
+        self.data.append(data)
+
+    def handle_comment(self, data):
+        self._end_string()
+        self.stack[-1].children.append(None)
+
+    def close(self):
+        super().close()
+        self._end_string()
+        while len(self.stack) > 1:
+            self._pop()
 
     def _close_p(self):
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i].tag
-            if t == "p":
-                del self.stack[i:]
+        for node in reversed(self.stack):
+            if node.tag == "p":
+                while self._pop() != "p":
+                    pass
                 return
-            if t in ("button", "table", "td", "th", "html", "body", "article", "div",
-                     "section", "nav", "header", "footer", "aside", "main"):
+            if node.tag in P_SCOPE:
                 return
 
-    def _close_to(self, tag, stop):
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i].tag
-            if t == tag:
-                del self.stack[i:]
-                return
-            if t in stop:
-                return
+    def _pop(self) -> str:
+        node = self.stack.pop()
+        node.last = len(self.strings)
+        self.open[node.tag] -= 1
+        self.mute -= node.tag in MUTE
+        return node.tag
+
+    def _end_string(self):
+        if not self.data:
+            return
+        text = "".join(self.data)
+        self.data.clear()
+        if text:
+            self.stack[-1].children.append(text)
+            shown = text.strip()
+            if shown and not self.mute:
+                self.strings.append(shown)
+
+    def text(self, node: _Node, sep: str, chars: int | None = None) -> str:
+        """The strings inside ``node``; with ``chars``, no further than that many characters."""
+        if chars is None:
+            return sep.join(self.strings[node.first:node.last])
+        parts, length = [], 0
+        for i in range(node.first, node.last):
+            parts.append(self.strings[i])
+            length += len(parts[-1]) + len(sep)
+            if length >= chars + len(sep):
+                break
+        return sep.join(parts)[:chars]
 
 
 # Character references are decoded only when complete (`&name;`, `&#n;`), as the
@@ -154,15 +240,16 @@ def _escape_bare_amp(html: str) -> str:
     return _BARE_AMP.sub(lambda m: m.group(1) or "&amp;", html)
 
 
-def parse_html(html: str) -> _Node:
+def parse_html(html: str) -> _TreeBuilder:
     html = _escape_bare_amp(html)
     b = _TreeBuilder()
     try:
         b.feed(html)
         b.close()
     except Exception:  # tokenizer errors keep what was built so far
-        pass
-    return b.root
+        while len(b.stack) > 1:
+            b._pop()
+    return b
 
 
 def _rel_has(node: _Node, token: str) -> bool:
@@ -184,14 +271,14 @@ def extract_fields(html: str | None, page_url: str) -> dict:
     }
     if html is None:
         return out
-    root = parse_html(html)
+    doc = parse_html(html)
     first = {}
     h1s, h2s, og, hreflang, blocks, links, raw = [], [], {}, [], [], [], []
     img_total = img_missing = 0
     after_h1 = False
     page_url = page_url if isinstance(page_url, str) else ""
     page_host = _host_of(page_url)
-    for el in root.iter():
+    for el in doc.elements:
         tag = el.tag
         if tag == "p" and after_h1 and "p" not in first:
             first["p"] = el
@@ -207,11 +294,11 @@ def extract_fields(html: str | None, page_url: str) -> dict:
                 if prop.startswith("og:") and el.get("content"):
                     og[prop] = el.attrs["content"].strip()
         elif tag == "h1":
-            h1s.append(el.text(""))
+            h1s.append(doc.text(el, ""))
             if not after_h1:
                 after_h1 = True
         elif tag == "h2":
-            h2s.append(el.text(""))
+            h2s.append(doc.text(el, ""))
         elif tag == "link":
             if _rel_has(el, "canonical"):
                 first.setdefault("canonical", el)
@@ -233,8 +320,8 @@ def extract_fields(html: str | None, page_url: str) -> dict:
             href = el.attrs["href"].strip()
             if not href or href.startswith(SKIP_HREF_PREFIXES):
                 continue
-            anchor = el.text(" ")
-            raw.append({"pos": len(raw), "href": href, "anchor": anchor[:200]})
+            anchor = doc.text(el, " ", ANCHOR_CHARS)
+            raw.append({"pos": len(raw), "href": href, "anchor": anchor})
             try:
                 absolute = urljoin(page_url, href)
             except ValueError:          # no URL: the link goes, the page stays
@@ -245,7 +332,7 @@ def extract_fields(html: str | None, page_url: str) -> dict:
             if host is None or host != page_host:
                 continue
             links.append({"pos": len(links), "target": absolute.split("#", 1)[0],
-                          "anchor": anchor[:200]})
+                          "anchor": anchor})
     t = first.get("title")
     if t is not None:
         s = t.string()
@@ -262,7 +349,7 @@ def extract_fields(html: str | None, page_url: str) -> dict:
         out["canonical"] = c.attrs["href"].strip()
     p = first.get("p")
     if p is not None:
-        out["first_paragraph"] = p.text(" ")
+        out["first_paragraph"] = doc.text(p, " ")
     out.update(h1_texts=h1s, h2_texts=h2s, og=og, hreflang=hreflang, schema_blocks=blocks,
                schema_raw_count=len(blocks), image_alt_total=img_total,
                image_alt_missing=img_missing, raw_links=raw, internal_links=links)
@@ -277,6 +364,8 @@ def _host_of(url: str) -> str | None:
         return None
 
 
+#: Characters of a link's text that are kept.
+ANCHOR_CHARS = 200
 #: Characters of an unreadable JSON-LD script that are shown.
 SNIPPET_CHARS = 120
 

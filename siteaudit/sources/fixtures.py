@@ -54,7 +54,13 @@ CRAWL_SQL = """WITH b AS (
       CASE WHEN prv IS NULL OR page_id % 3 = 0 THEN '' ELSE concat('<a href="', prv, '#x">', CASE WHEN page_id % 8 = 1 THEN 'here' ELSE 'Earlier topic' END, '</a>') END,
       CASE WHEN page_id % 12 < 4 THEN concat('<a href="https://', site, '/old/', CAST(page_id AS STRING), '">Archive</a>') ELSE '' END,
       '<a href="https://elsewhere.example/y">Off site</a><a href="mailto:a@b.c">Mail</a><a href="/files/report.pdf">Report</a>',
-      '<img src="a.png" alt="a"><img src="b.png"><img src="c.png" role="presentation">'
+      '<img src="a.png" alt="a"><img src="b.png"><img src="c.png" role="presentation">',
+      CASE page_id % 8
+        WHEN 1 THEN '<h2>Open part<h3>Sub part</h3><a href="/open/one">Open one<a href="/open/two">Open two</a>'
+        WHEN 3 THEN '<table><tr><td><a href="/cell/one">Cell one<td><h2>Cell two<p>Cell text<tr><td><a href="/cell/three">Cell three</table>'
+        WHEN 5 THEN '<ul><li><h2>First item<li><h2>Second item</ul><dl><dt>Term<dd><h2>Meaning</h2><dt>Other</dl><select><option>A<option>B</select>'
+        WHEN 6 THEN '<a href="/block"><div>In block</a>still in block</div></a><h1>Late heading<p>Late text'
+        ELSE '' END
     ) AS body_extra
   FROM o
 )

@@ -1,7 +1,12 @@
 """X1-X13 on literal HTML (pure Python helper of the extraction job)."""
 
 import json
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siteaudit.functions import html_extract
 from siteaudit.functions.html_extract import extract_fields
 
 BASE = "https://www.site.test/dir/page?q=1"
@@ -91,3 +96,70 @@ def test_only_complete_references_are_decoded():
     r = fx('<title>A &amp; B &amp</title><script type="application/ld+json">{"name": "x & y"}</script>')
     assert r["title"] == "A & B &amp"
     assert json.loads(r["schema_blocks"][0])["name"] == "x & y"
+
+
+def links(html):
+    return [(l["target"].rsplit("/", 1)[-1], l["anchor"]) for l in fx(html)["internal_links"]]
+
+
+def test_unclosed_links_end_at_the_next_link_and_cell():
+    assert links('<a href="/1">one<a href="/2">two</a>') == [("1", "one"), ("2", "two")]
+    assert links('<table><tr><td><a href="/1">one<td>two<tr><td><a href="/2">three</table>four') == [("1", "one"), ("2", "three")]
+    assert links('<a href="/1">one<table><tr><td>two</table>') == [("1", "one")]
+    assert links('<div><a href="/1">one</div>two') == [("1", "one")]
+    assert links('<a href="/1"><div>one</a>two</div>three') == [("1", "one two three")]       # </a> can't end the div
+    assert links('<table><tr><td><a href="/1">one</table>') == [("1", "one")]
+
+
+def test_unclosed_headings_end_at_headings_paragraphs_items_and_tables():
+    r = fx("<h1>One<h2>Two<h3>Three</h3><p>text<h2>Four<table><tr><td>cell</table><ul><li><h2>Five<li>six</ul>")
+    assert (r["h1_texts"], r["h2_texts"]) == (["One"], ["Two", "Four", "Five"])
+    assert fx("<h1>Title<p>para</p>rest")["h1_texts"] == ["Title"]
+    assert fx("<h1>Title<p>para</p>rest")["first_paragraph"] == "para"
+
+
+def test_unclosed_cells_rows_terms_and_options():
+    r = fx("<table><tr><td><h2>A</h2><td><h2>B<p>b<tr><th><h2>C</h2></table><dl><dt>t<dd><h2>D</h2><dt>u</dl>"
+           "<select><option>1<option>2</select><h2>E</h2>")
+    assert r["h2_texts"] == ["A", "B", "C", "D", "E"]
+    b = html_extract.parse_html("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>t<dd>d<dt>u</dl><select><option>1<option>2</select>")
+    spans = [(n.tag, b.strings[n.first:n.last]) for n in b.elements if n.tag in ("tr", "td", "dt", "dd", "option")]
+    assert spans == [("tr", ["a", "b"]), ("td", ["a"]), ("td", ["b"]), ("tr", ["c"]), ("td", ["c"]), ("dt", ["t"]), ("dd", ["d"]),
+                     ("dt", ["u"]), ("option", ["1"]), ("option", ["2"])]
+
+
+def test_end_tags_stay_inside_their_cell_and_unknown_ones_do_nothing():
+    assert fx("<h1>T</h1><div><table><tr><td></div><p>in cell</p></td></tr></table></div>")["first_paragraph"] == "in cell"
+    assert links('<a href="/1">a</b></section>b</a>c') == [("1", "a b")]
+
+
+def test_strings_join_across_entities_and_stop_at_comments():
+    assert fx("<title>a < b &amp; c</title>")["title"] == "a < b & c"
+    assert fx("<title>a<!-- x -->b</title>")["title"] == ""
+    assert fx("<h1>a < b</h1>")["h1_texts"] == ["a < b"]
+    assert fx("<h1>k<ruby>w<rt>r</rt></ruby><template>t<i>u</i></template><style>s</style></h1>")["h1_texts"] == ["kw"]
+
+
+def test_many_open_elements_are_read_in_one_pass():
+    began = time.time()
+    r = fx('<a href="/x">link ' * 10_000)
+    assert len(r["internal_links"]) == 10_000 and r["internal_links"][0]["anchor"] == "link"
+    r = fx('<a href="/x"><b>link ' * 10_000)
+    assert len(r["internal_links"]) == 10_000 and len(r["internal_links"][0]["anchor"]) == 200
+    fx("<div><span><p>" * 10_000 + "</i></div></em>" * 10_000)
+    assert time.time() - began < 3
+
+
+@given(st.lists(st.sampled_from(["<a href='/1'>", "</a>", "<h1>", "</h1>", "<h2>", "<p>", "</p>", "<td>", "<tr>", "<table>", "</table>", "<b>",
+                                 "</b>", "<div>", "</div>", "<dt>", "<dd>", "<option>", "<br>", "<script>", "</script>", "x", "&amp;", "<"]),
+                max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_any_soup_gives_nested_or_disjoint_elements(parts):
+    b = html_extract.parse_html("".join(parts))
+    open_ends = []
+    for n in b.elements:
+        assert n.first <= n.last <= len(b.strings)
+        while open_ends and open_ends[-1] <= n.first:
+            open_ends.pop()
+        assert not open_ends or n.last <= open_ends[-1] or n.first == n.last
+        open_ends.append(n.last)

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from oracle.catalog import ORACLES
+from siteaudit.plans.catalog import QUERIES
 from tools_compare import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -33,9 +35,10 @@ def test_query_matches_oracle(spark, duck, key):
     assert hs == hd
 
 
-def test_every_query_has_oracle_or_is_rows_only():
+def test_every_query_of_the_audit_has_an_oracle_or_is_rows_only():
     rows_only = {"sitemap_gz", "write_report"}
-    assert set(E.queries()) - set(E.oracle_sql()) == rows_only
+    assert set(QUERIES) - set(ORACLES) == rows_only
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
