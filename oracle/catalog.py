@@ -6,8 +6,8 @@ sitemap_gz (file round trip), write_report (sink).
 
 from __future__ import annotations
 
-from oracle.duck_audit import (GENERIC, ORG_TYPE, RFC, bare, curl, dec, graph, has_type_sql, is_html, is_obj,
-                               netloc, nurl, oracle, path, pipeline_renamed, q, query, scheme, strip, types)
+from oracle.duck_audit import (A_RE, GENERIC, IDX, LD_BLOCKS, ORG_TYPE, RFC, SKIPPED, bare, curl, dec, graph, has_type_sql, is_html,
+                               is_obj, low_headers, netloc, nurl, oracle, path, pipeline_renamed, q, query, scheme, strip, types)
 from siteaudit import schema as S
 from siteaudit.plans.catalog import AUDIT_DATE, CHECK_COLS, CHECK_KEYS
 
@@ -36,9 +36,6 @@ def _task_dim():
     return f"(VALUES {rows}) AS td(check_id, owner, effort, why)"
 
 
-LOCS = ("list_filter(list_transform(regexp_extract_all(coalesce(body, ''), '<loc>(.*?)</loc>', 1), "
-        "lambda x: " + strip(dec("x")) + "), lambda x: x <> '')")
-
 SCHEMA_TYPES = (
     "(CASE WHEN array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(blocks, lambda b: "
     + is_obj('b') + "), lambda b: list_concat(" + types('b', 'xb') + ", flatten(list_transform(list_filter("
@@ -79,52 +76,18 @@ ORACLES: dict[str, str] = {}
 # ---------------------------------------------------------------- sources
 ORACLES["scan_crawl"] = oracle("SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms, "
                                "length(html) AS html_chars FROM crawl")
-ORACLES["page_head"] = oracle("SELECT site, page_id, final_url, status_code, render_ms, 'googlebot' AS fetched_via, "
-                              "status_code > 0 AND status_code < 400 AS parsed FROM crawl")
-ORACLES["robots_source"] = oracle("SELECT site, robots_status, CASE WHEN robots_status = 200 THEN coalesce(robots_txt, '') "
-                                  "ELSE '' END AS robots_txt FROM sites")
-_PARSED = f"""fp AS (SELECT f.site, f.sitemap_url, f.status, f.body, s.domain AS root, {LOCS} AS locs0
-               FROM sitemap_files f JOIN sites s ON s.site = f.site),
-fpl AS (SELECT site, sitemap_url, status, body, root,
-          list_filter(locs0, lambda x: {bare(netloc('x'))} = {bare(netloc('root'))}) AS locs FROM fp)"""
-ORACLES["sitemap_parse"] = with_extra(_PARSED, "SELECT site, sitemap_url, CAST(i - 1 AS BIGINT) AS pos, locs[i] AS loc "
-                                      "FROM (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM fpl)")
-IDX = "len(list_filter(locs[1:5], lambda u: (ends_with(u, '.xml') OR ends_with(u, '.xml.gz')) AND contains(lower(u), 'sitemap'))) >= 2"
-ORACLES["sitemap_is_index"] = with_extra(_PARSED, f"SELECT site, sitemap_url, {IDX} AS is_index, "
-                                         "CAST(len(locs) AS BIGINT) AS n_locs FROM fpl")
-_ROBOTS = "CASE WHEN robots_status = 200 THEN coalesce(robots_txt, '') ELSE '' END"
-_CANDS = f"""smc0 AS (SELECT site, domain, list_concat({'[' + ', '.join(q(p) for p in S.SITEMAP_WELL_KNOWN) + ']'},
-             regexp_extract_all({_ROBOTS}, '(?im)^[^\\S\\r\\n]*sitemap:[^\\S\\r\\n]*(\\S+)', 1)) AS l FROM sites),
-smc1 AS (SELECT site, domain, l[i] AS candidate, i FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM smc0)),
-smc2 AS (SELECT site, domain, candidate, min(i) AS i FROM smc1 GROUP BY site, domain, candidate),
-smcands AS (SELECT site, domain, CAST(row_number() OVER (PARTITION BY site ORDER BY i) - 1 AS BIGINT) AS cand_pos, candidate,
-            CASE WHEN candidate LIKE 'http%' THEN candidate ELSE domain || candidate END AS cand_url FROM smc2)"""
-ORACLES["sitemap_candidates"] = with_extra(_CANDS, "SELECT site, cand_pos, candidate, cand_url FROM smcands")
-_CHOICE = _CANDS + ",\n" + _PARSED + f""",
-cf AS (SELECT c.site, c.cand_pos, c.cand_url, f.status, f.locs, {IDX.replace('locs', 'f.locs')} AS is_index
-       FROM smcands c JOIN fpl f ON f.site = c.site AND f.sitemap_url = c.cand_url
-       WHERE f.status = 200 AND {strip("coalesce(f.body, '')")} <> ''),
-kids AS (SELECT c.site, c.cand_pos, c.locs[i] AS child_url, i AS k FROM
-           (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM cf WHERE is_index) c),
-kidf AS (SELECT k.site, k.cand_pos, k.k, k.child_url,
-           coalesce(f.status = 200 AND {strip("coalesce(f.body, '')")} <> '', false) AS ok,
-           coalesce(list_filter(f.locs0, lambda x: {bare(netloc('x'))} = {bare(netloc('k.child_url'))}), []) AS locs
-         FROM kids k LEFT JOIN fp f ON f.site = k.site AND f.sitemap_url = k.child_url),
-kidc AS (SELECT *, coalesce(sum(CASE WHEN ok THEN len(locs) ELSE 0 END) OVER (PARTITION BY site, cand_pos ORDER BY k
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_before FROM kidf),
-flat AS (SELECT site, cand_pos, k, child_url, ok, locs FROM kidc WHERE k <= 25 AND cum_before < 60 AND ok),
-flatn AS (SELECT site, cand_pos, sum(len(locs)) AS n FROM flat GROUP BY site, cand_pos),
-cfn AS (SELECT cf.*, CASE WHEN is_index THEN coalesce(flatn.n, 0) ELSE len(locs) END AS n_urls
-        FROM cf LEFT JOIN flatn USING (site, cand_pos)),
-good AS (SELECT site, arg_min(cand_url, cand_pos) AS g_url, arg_min(status, cand_pos) AS g_status,
-           arg_min(n_urls, cand_pos) AS g_n FROM cfn WHERE n_urls > 0 GROUP BY site),
-last AS (SELECT site, arg_max(cand_url, cand_pos) AS l_url, arg_max(status, cand_pos) AS l_status FROM cfn GROUP BY site)"""
-ORACLES["sitemap_choice"] = with_extra(_CHOICE, """SELECT s.site, coalesce(g_url, l_url, '') AS sitemap_url,
-  coalesce(g_status, l_status, 0) AS sitemap_status, CAST(coalesce(g_n, 0) AS BIGINT) AS n_urls
-  FROM sites s LEFT JOIN good USING (site) LEFT JOIN last USING (site)""")
-ORACLES["sitemap_flatten"] = with_extra(_CHOICE, """SELECT site, cand_pos, CAST(row_number() OVER (PARTITION BY site, cand_pos
-  ORDER BY k, j) AS BIGINT) AS seq, loc FROM (SELECT site, cand_pos, k, locs[j] AS loc, j FROM
-  (SELECT *, unnest(generate_series(1, len(locs))) AS j FROM flat))""")
+ORACLES["page_head"] = oracle(f"""SELECT site, page_id, final_url, status_code, render_ms,
+  CASE WHEN contains(lower(ua), 'googlebot') THEN 'googlebot' ELSE 'default' END AS fetched_via,
+  array_to_string(list_transform(list_sort({low_headers('headers')}), lambda e: e.key || '=' || e.value), '; ') AS headers,
+  coalesce(list_filter({low_headers('headers')}, lambda e: e.key = 'content-type')[1].value, '') AS content_type,
+  status_code > 0 AND status_code < 400 AS parsed FROM crawl""")
+ORACLES["robots_source"] = oracle("SELECT site, robots_status, robots_txt FROM sites0")
+ORACLES["sitemap_parse"] = oracle("SELECT site, sitemap_url, CAST(i - 1 AS BIGINT) AS pos, locs[i] AS loc "
+                                  "FROM (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM fpl)")
+ORACLES["sitemap_is_index"] = oracle(f"SELECT site, sitemap_url, {IDX} AS is_index, CAST(len(locs) AS BIGINT) AS n_locs FROM fpl")
+ORACLES["sitemap_candidates"] = oracle("SELECT site, cand_pos, candidate, cand_url FROM smcands")
+ORACLES["sitemap_choice"] = oracle("SELECT site, sitemap_url, sitemap_status, n_urls FROM choice")
+ORACLES["sitemap_flatten"] = oracle("SELECT site, cand_pos, seq, loc FROM flatu")
 ORACLES["sitemap_filter"] = oracle(f"""SELECT r.site, t.path_prefix, r.pos, r.loc FROM sitemap_urls_raw r
   JOIN sites s ON s.site = r.site JOIN targets t ON t.site = r.site
   WHERE s.sitemap_status = 200 AND {is_html('r.loc')} AND (t.path_prefix = '' OR (
@@ -133,13 +96,12 @@ ORACLES["sitemap_filter"] = oracle(f"""SELECT r.site, t.path_prefix, r.pos, r.lo
             THEN regexp_replace({path('r.loc')}, '/+$', '') ELSE {path('r.loc')} END) = t.path_prefix
       OR starts_with(CASE WHEN {path('r.loc')} = '' THEN '/' WHEN {path('r.loc')} <> '/' AND {path('r.loc')} LIKE '%/'
             THEN regexp_replace({path('r.loc')}, '/+$', '') ELSE {path('r.loc')} END, t.path_prefix || '/'))))""")
-ORACLES["spa_detect"] = oracle("""SELECT site, CASE WHEN googlebot_ua_len = 0 THEN false ELSE
-  abs(default_ua_len - googlebot_ua_len) / greatest(default_ua_len, googlebot_ua_len, 1) > 0.30 END AS spa_detected FROM sites""")
-ORACLES["root_page"] = oracle(f"""SELECT t.site, t.path_prefix, CASE WHEN rp.blocks IS NOT NULL THEN 200 END AS root_status,
-  CAST(len(rp.blocks) AS BIGINT) AS root_blocks
-  FROM targets t LEFT JOIN (SELECT site, {nurl('final_url')} AS nkey, arg_min(blocks, crawl_order) AS blocks
-    FROM px GROUP BY site, nkey) rp
-  ON rp.site = t.site AND rp.nkey = {nurl('t.root')} WHERE t.path_prefix <> ''""")
+ORACLES["spa_detect"] = oracle("""SELECT site, CASE WHEN default_ua_len IS NULL OR googlebot_ua_len IS NULL OR googlebot_ua_len = 0
+  THEN false ELSE abs(default_ua_len - googlebot_ua_len) / greatest(default_ua_len, googlebot_ua_len, 1) > 0.30 END AS spa_detected
+  FROM sites""")
+ORACLES["root_page"] = oracle(f"""SELECT t.site, t.path_prefix, CASE WHEN r.blocks IS NOT NULL THEN 200 END AS root_status,
+  CAST(len(r.blocks) AS BIGINT) AS root_blocks
+  FROM targets t LEFT JOIN (SELECT site, {LD_BLOCKS} AS blocks FROM homes) r ON r.site = t.site WHERE t.path_prefix <> ''""")
 
 # -------------------------------------------------------------- extraction
 for key, expr in {
@@ -342,6 +304,12 @@ def _gate(prev, cond):
 
 _SEED = "CASE WHEN path_prefix = '' THEN root ELSE root || path_prefix || '/' END"
 _FR = HUB + f""",
+homeh0 AS (SELECT site, domain AS root, {strip(dec('a[i]'))} AS href, i
+           FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM (SELECT site, domain, regexp_extract_all(h, {q(A_RE)}, 1) AS a FROM homes))),
+homeh1 AS (SELECT site, root, CAST(row_number() OVER (PARTITION BY site ORDER BY i) - 1 AS BIGINT) AS lpos,
+             split_part(CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN href WHEN href LIKE '/%' THEN root || href
+                        ELSE root || '/' || href END, '#', 1) AS link FROM homeh0 WHERE href <> '' AND NOT {SKIPPED}),
+homeh AS (SELECT site, min(lpos) AS lpos, link FROM homeh1 WHERE {bare(netloc('link'))} = {bare(netloc('root'))} GROUP BY site, link),
 fcache AS (SELECT site, {curl(PK)} AS fkey, arg_min(page_id, crawl_order) AS page_id FROM px WHERE status_code = 200
            GROUP BY ALL),
 st0 AS (SELECT '' AS site, '' AS path_prefix, '' AS url, '' AS key, CAST(0 AS BIGINT) AS pos, 0 AS stage WHERE false),
@@ -355,7 +323,11 @@ fc1 AS (SELECT t.site, t.path_prefix, u.url, u.o1, u.o2 FROM targets t JOIN (
 fh2 AS (SELECT g.site, g.path_prefix, h.link AS url, 0 AS o1, h.lpos AS o2 FROM ({_gate('st1', '@N < t.max_pages')}) g
         JOIN fcache f ON f.site = g.site AND f.fkey = {curl(_SEED.replace('path_prefix', 'g.path_prefix').replace('root', 'g.root'))}
         JOIN hub h ON h.page_id = f.page_id
-        WHERE {is_html('h.link')} AND {_mp('h.link', 'g.root', 'g.path_prefix')}),
+        WHERE {is_html('h.link')} AND {_mp('h.link', 'g.root', 'g.path_prefix')}
+          AND NOT (g.path_prefix = '' AND EXISTS (SELECT 1 FROM homes x WHERE x.site = g.site))
+        UNION ALL
+        SELECT g.site, g.path_prefix, h.link, 0, h.lpos FROM ({_gate('st1', '@N < t.max_pages')}) g
+        JOIN homeh h ON h.site = g.site WHERE g.path_prefix = '' AND {is_html('h.link')}),
 {_stage_sql(2, 'st1', 'fh2', _gate('st1', '@N < t.max_pages'))},
 fh3 AS (SELECT g.site, g.path_prefix, h.link AS url, s.pos AS o1, h.lpos AS o2
         FROM ({_gate('st2', '@N < greatest(3, floor(t.max_pages / 2))')}) g
@@ -392,18 +364,16 @@ ORACLES["x_first_paragraph"] = oracle(
 _SCOPED_BASE = f"""sc_t AS (SELECT site, root, path_prefix, site || path_prefix AS audit_id FROM targets WHERE path_prefix <> ''),
 sc_key AS (SELECT * FROM (SELECT c.*, {curl(PK)} AS key,
              row_number() OVER (PARTITION BY site, {curl(PK)} ORDER BY crawl_order) AS rk FROM crawl c) WHERE rk = 1),
-s_crawl AS (SELECT t.audit_id AS site, k.page_id, f.pos AS crawl_order, f.url, k.final_url, k.status_code, k.render_ms, k.html
+s_crawl AS (SELECT t.audit_id AS site, k.page_id, f.pos AS crawl_order, f.url, coalesce(k.final_url, '') AS final_url,
+              coalesce(k.status_code, 0) AS status_code, coalesce(k.render_ms, 0) AS render_ms, k.html
             FROM st5 f JOIN sc_t t ON t.site = f.site AND t.path_prefix = f.path_prefix
-            JOIN sc_key k ON k.site = f.site AND k.key = f.key),
+            LEFT JOIN sc_key k ON k.site = f.site AND k.key = f.key),
 s_sites AS (SELECT t.audit_id AS site, t.root || t.path_prefix AS domain, s.robots_status, s.robots_txt, s.hsts,
-              s.sitemap_status, s.default_ua_len, s.googlebot_ua_len, t.path_prefix,
-              CASE WHEN s.sitemap_status = 200 THEN t.root || '/sitemap.xml' ELSE '' END AS sitemap_url
+              s.sitemap_status, s.default_ua_len, s.googlebot_ua_len, t.path_prefix, s.sitemap_url
             FROM sites s JOIN sc_t t ON t.site = s.site),
 s_sitemap_urls_raw AS (SELECT t.audit_id AS site, r.pos, r.loc FROM sitemap_urls_raw r JOIN sc_t t ON t.site = r.site),
 s_probes AS (SELECT t.audit_id AS site, p.target, p.status FROM probes p JOIN sc_t t ON t.site = p.site),
-s_rootp AS (SELECT t.audit_id AS site, t.root AS final_url, arg_min(p.blocks, p.crawl_order) AS blocks
-            FROM px p JOIN sc_t t ON t.site = p.site AND {nurl('p.final_url')} = {nurl('t.root')}
-            GROUP BY t.audit_id, t.root)"""
+s_rootp AS (SELECT t.audit_id AS site, t.root AS final_url, {LD_BLOCKS} AS blocks FROM homes p JOIN sc_t t ON t.site = p.site)"""
 _SCOPED_ALL = _FR + ",\n" + _SCOPED_BASE + ",\n" + pipeline_renamed("s_")
 _SC_COLS = ", ".join(("site AS audit_id" if c == "site" else c) for c in CHECK_COLS)
 ORACLES["scoped_checks"] = with_extra(_SCOPED_ALL, f"SELECT {_SC_COLS} FROM s_check_results")

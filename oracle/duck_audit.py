@@ -234,6 +234,91 @@ CHECK_CASES = {
 }
 
 
+LOCS = ("list_filter(list_transform(regexp_extract_all(coalesce(body, ''), '<loc>(.*?)</loc>', 1), "
+        "lambda x: " + strip(dec("x")) + "), lambda x: x <> '')")
+IDX = "len(list_filter(locs[1:5], lambda u: (ends_with(u, '.xml') OR ends_with(u, '.xml.gz')) AND contains(lower(u), 'sitemap'))) >= 2"
+LD_BLOCKS = (f"flatten(list_transform(list_filter(list_transform(regexp_extract_all(h, {q(LD_RE)}, 1), "
+             f"lambda x: {strip('x')}), lambda x: x <> ''), lambda x: CASE WHEN NOT json_valid(x) THEN "
+             f"['{{\"__parse_error\": true}}'::JSON] WHEN json_type(x) = 'ARRAY' THEN json_extract(x, '$[*]') "
+             f"ELSE [x::JSON] END))")
+SKIPPED = "(href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'tel:%' OR href LIKE 'javascript:%')"
+
+
+def latest(table, keys):
+    """The fetches of ``table`` that the audit of AS_OF sees."""
+    return (f"SELECT * FROM {table} WHERE fetched_at <= {fx.AS_OF} "
+            f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY fetched_at DESC, status DESC) = 1")
+
+
+def low_headers(h):
+    """Entries (key, value) with lower-cased keys; the last of equal ones."""
+    e = f"map_entries({h})"
+    return (f"list_transform(list_filter({e}, lambda e, i: NOT list_contains(list_transform({e}[i + 1:], lambda x: lower(x.key)), "
+            f"lower(e.key))), lambda e: {{'key': lower(e.key), 'value': e.value}})")
+
+
+def source_ctes() -> str:
+    """Raw fetches to the site tables of the audit: latest fetches, sitemap choice, whole index trees."""
+    cands = "[" + ", ".join(q(p) for p in S.SITEMAP_WELL_KNOWN) + "]"
+    return f"""rb_now AS ({latest('robots', 'site')}),
+sm_now AS ({latest('sitemap_files', 'site, sitemap_url')}),
+home_all AS (SELECT *, CASE WHEN contains(lower(ua), 'googlebot') THEN 'googlebot' ELSE 'default' END AS via FROM homepages),
+home_now AS ({latest('home_all', 'site, via')}),
+homef AS (SELECT site, max(list_filter({low_headers('headers')}, lambda e: e.key = 'strict-transport-security')[1].value)
+            FILTER (via = 'googlebot') AS hsts,
+          max(length(html)) FILTER (via = 'default' AND status > 0) AS default_ua_len,
+          max(length(html)) FILTER (via = 'googlebot' AND status > 0) AS googlebot_ua_len FROM home_now GROUP BY site),
+homes AS (SELECT n.site, l.domain, n.html AS h FROM home_now n JOIN site_list l ON l.site = n.site
+          WHERE n.via = 'googlebot' AND n.status > 0 AND coalesce(n.html, '') <> ''),
+sites0 AS (SELECT l.site, l.domain, coalesce(r.status, 0) AS robots_status,
+             CASE WHEN r.status = 200 THEN coalesce(r.body, '') ELSE '' END AS robots_txt,
+             coalesce(f.hsts, '') AS hsts, f.default_ua_len, f.googlebot_ua_len
+           FROM site_list l LEFT JOIN rb_now r ON r.site = l.site LEFT JOIN homef f ON f.site = l.site),
+smc0 AS (SELECT site, domain, list_concat({cands},
+           regexp_extract_all(robots_txt, '(?im)^[^\\S\\r\\n]*sitemap:[^\\S\\r\\n]*(\\S+)', 1)) AS l FROM sites0),
+smc1 AS (SELECT site, domain, l[i] AS candidate, i FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM smc0)),
+smc2 AS (SELECT site, domain, candidate, min(i) AS i FROM smc1 GROUP BY site, domain, candidate),
+smcands AS (SELECT site, domain, CAST(row_number() OVER (PARTITION BY site ORDER BY i) - 1 AS BIGINT) AS cand_pos, candidate,
+              CASE WHEN candidate LIKE 'http%' THEN candidate ELSE domain || candidate END AS cand_url FROM smc2),
+fp AS (SELECT f.site, f.sitemap_url, f.status, f.body, s.domain AS root, {LOCS} AS locs0,
+         f.status = 200 AND {strip("coalesce(f.body, '')")} <> '' AS ok
+       FROM sm_now f JOIN site_list s ON s.site = f.site),
+fpl AS (SELECT site, sitemap_url, status, body, root, ok,
+          list_filter(locs0, lambda x: {bare(netloc('x'))} = {bare(netloc('root'))}) AS locs FROM fp),
+fown AS (SELECT site, url, ok, locs, ok AND {IDX} AS is_index FROM (SELECT site, sitemap_url AS url, ok,
+           list_filter(locs0, lambda x: {bare(netloc('x'))} = {bare(netloc('sitemap_url'))}) AS locs FROM fp)),
+fkids AS (SELECT site, url, i, locs[i] AS child FROM (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM fown WHERE is_index)),
+cf AS (SELECT c.site, c.cand_pos, c.cand_url, f.status, f.locs, {IDX.replace('locs', 'f.locs')} AS is_index
+       FROM smcands c JOIN fpl f ON f.site = c.site AND f.sitemap_url = c.cand_url WHERE f.ok),
+walk AS (SELECT site, cand_pos, [i] AS path, [cand_url, locs[i]] AS seen, locs[i] AS url
+         FROM (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM cf WHERE is_index) WHERE locs[i] <> cand_url
+         UNION ALL
+         SELECT w.site, w.cand_pos, list_append(w.path, k.i), list_append(w.seen, k.child), k.child
+         FROM walk w JOIN fkids k ON k.site = w.site AND k.url = w.url WHERE NOT list_contains(w.seen, k.child)),
+visits AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY site, cand_pos, url ORDER BY len(path), path) = 1),
+flat AS (SELECT v.site, v.cand_pos, v.path, f.locs FROM visits v JOIN fown f ON f.site = v.site AND f.url = v.url
+         WHERE f.ok AND NOT f.is_index),
+flatu AS (SELECT site, cand_pos, locs[j] AS loc, CAST(row_number() OVER (PARTITION BY site, cand_pos ORDER BY path, j) AS BIGINT) AS seq
+          FROM (SELECT *, unnest(generate_series(1, len(locs))) AS j FROM flat)),
+flatn AS (SELECT site, cand_pos, count(*) AS n FROM flatu GROUP BY site, cand_pos),
+cfn AS (SELECT cf.*, CASE WHEN is_index THEN coalesce(flatn.n, 0) ELSE len(locs) END AS n_urls
+        FROM cf LEFT JOIN flatn USING (site, cand_pos)),
+good AS (SELECT * FROM cfn WHERE n_urls > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY cand_pos) = 1),
+last AS (SELECT site, arg_max(cand_url, cand_pos) AS l_url, arg_max(status, cand_pos) AS l_status FROM cfn GROUP BY site),
+choice AS (SELECT s.site, coalesce(g.cand_url, l.l_url, '') AS sitemap_url, coalesce(g.status, l.l_status, 0) AS sitemap_status,
+             CAST(coalesce(g.n_urls, 0) AS BIGINT) AS n_urls
+           FROM site_list s LEFT JOIN good g ON g.site = s.site LEFT JOIN last l ON l.site = s.site),
+sites AS (SELECT s.*, c.sitemap_url, c.sitemap_status FROM sites0 s JOIN choice c ON c.site = s.site),
+sitemap_urls_raw AS (
+  SELECT site, CAST(i - 1 AS BIGINT) AS pos, locs[i] AS loc
+  FROM (SELECT *, unnest(generate_series(1, len(locs))) AS i FROM good WHERE NOT is_index)
+  UNION ALL SELECT f.site, f.seq - 1, f.loc FROM flatu f JOIN good g ON g.site = f.site AND g.cand_pos = f.cand_pos AND g.is_index)"""
+
+
+def base_ctes() -> str:
+    return fx.duck_fixture_ctes() + ",\n" + source_ctes()
+
+
 def audit_ctes(scoped: bool = False) -> str:
     """Every audit table as a CTE; the caller appends the final SELECT.
 
@@ -247,10 +332,7 @@ def audit_ctes(scoped: bool = False) -> str:
     a_href = f"regexp_extract_all({links}, {q(A_RE)}, 1)"
     a_txt = f"list_transform(regexp_extract_all({links}, {q(A_RE)}, 2), lambda x: replace(x, '<div>', ''))"
     og = {k: f"regexp_matches(h, {q('<meta property=\"' + k + '\" content=\"[^\"]+\"')})" for k in S.OG_TAGS}
-    blocks = (f"flatten(list_transform(list_filter(list_transform(regexp_extract_all(h, {q(LD_RE)}, 1), "
-              f"lambda x: {strip('x')}), lambda x: x <> ''), lambda x: CASE WHEN NOT json_valid(x) THEN "
-              f"['{{\"__parse_error\": true}}'::JSON] WHEN json_type(x) = 'ARRAY' THEN json_extract(x, '$[*]') "
-              f"ELSE [x::JSON] END))")
+    blocks = LD_BLOCKS
     href = strip(dec("a_href[i]"))
     base = "src"
     hc = "href"
@@ -266,11 +348,11 @@ def audit_ctes(scoped: bool = False) -> str:
     checks_union = "\nUNION ALL\n".join(
         f"SELECT site, {q(cid)} AS check_id, ({CHECK_CASES[cid]}) AS r FROM w" for _, cid, _, _ in S.CHECKS)
     cats = ", ".join(f"({q(c)}, {i + 1}, {w}, {int(round(w * 100))})" for i, (c, w) in enumerate(S.CATEGORIES))
-    return f"""WITH {fx.duck_fixture_ctes()},
+    return f"""WITH RECURSIVE {base_ctes()},
 {_checks_dim()},
 {_fix_dim()},
 catd(category, cat_order, weight, weight_pct) AS (VALUES {cats}),
-{_sites2(scoped)},
+sites2 AS (SELECT * FROM sites),
 pe AS (SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms,
          CASE WHEN status_code > 0 AND status_code < 400 THEN html ELSE '' END AS h FROM crawl),
 px AS (SELECT site, page_id, crawl_order, url, final_url, status_code, render_ms,
@@ -445,12 +527,6 @@ def _root_union(scoped: bool) -> str:
     return "UNION ALL SELECT site, -1, 200, final_url, blocks, true FROM rootp"
 
 
-def _sites2(scoped: bool) -> str:
-    if scoped:  # scoped site rows carry the root's sitemap URL already
-        return "sites2 AS (SELECT * FROM sites)"
-    return "sites2 AS (SELECT *, CASE WHEN sitemap_status = 200 THEN domain || '/sitemap.xml' ELSE '' END AS sitemap_url FROM sites)"
-
-
 def _prefix_cond(scoped: bool) -> str:
     if not scoped:
         return ""
@@ -469,7 +545,7 @@ def pipeline_renamed(prefix: str, scoped: bool = True) -> str:
     """The audit pipeline CTEs (without the fixture CTEs) as a second instance: every CTE
     name and the four input tables get ``prefix``; string literals are left alone."""
     full = audit_ctes(scoped)
-    body = full[len("WITH " + fx.duck_fixture_ctes() + ",\n"):]
+    body = full[len("WITH RECURSIVE " + base_ctes() + ",\n"):]
     names = re.findall(r"(?m)^(\w+)(?:\([^)]*\))? AS \(", body)
     names += ["crawl", "sites", "sitemap_urls_raw", "probes", "rootp"]
     pat = re.compile(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b")

@@ -438,3 +438,11 @@ def extract_pages(crawl: DataFrame, html_col: str = "html") -> DataFrame:
             yield res
 
     return src.mapInPandas(run, out_schema)
+
+
+def with_empty_facts(pages: DataFrame) -> DataFrame:
+    """Rows without extracted facts get those of a page that wasn't parsed."""
+    empty = {"string": F.lit(""), "int": F.lit(0)}
+    return pages.withColumns({f.name: F.coalesce(F.col(f.name), empty[f.dataType.simpleString()]) if f.dataType.simpleString() in empty
+                              else F.coalesce(F.col(f.name), F.from_json(F.lit("{}" if isinstance(f.dataType, T.MapType) else "[]"), f.dataType))
+                              for f in EXTRACTED_FIELDS.fields})

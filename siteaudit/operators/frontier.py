@@ -95,8 +95,13 @@ def _hub_candidates(hubs: DataFrame, links: DataFrame, targets: DataFrame, in_pr
     return c.filter(keep).select(*T, "url", "o1", "o2")
 
 
-def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto: int = 5) -> DataFrame:
-    """(site, path_prefix, pos, url, key, stage) for stages 1..``upto`` (5 = final list)."""
+def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto: int = 5,
+             homes: DataFrame | None = None) -> DataFrame:
+    """(site, path_prefix, pos, url, key, stage) for stages 1..``upto`` (5 = final list).
+
+    ``homes``: extracted homepages that were fetched apart from the crawl; where a site has one, whole-site targets take
+    the hub links of stage 2 from it.
+    """
     checkpoint_dir(pages.sparkSession)
     cache = _link_cache(pages, targets) if upto >= 2 else None
     seed = F.when(F.col("path_prefix") == "", F.col("root")).otherwise(
@@ -113,7 +118,16 @@ def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto
     if upto >= 2:  # hub links of the seed page
         g = _gate(chosen, t, lambda n, m, p: n < m)
         hubs = g.select(*T, seed.alias("hub_url"), F.lit(0).alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 2, most)
+        if homes is not None:
+            whole = g.filter("path_prefix = ''")
+            fetched = hub_links(homes.select("site", "raw_links").join(whole.select(*T, "root"), "site"))
+            from_homes = fetched.filter(U.is_html_url("link") & U.matches_prefix("link", "root", "path_prefix")).select(
+                *T, F.col("link").alias("url"), F.lit(0).alias("o1"), F.col("lpos").alias("o2"))
+            hubs = hubs.join(whole.join(homes.select("site"), "site", "left_semi").select(*T), T, "left_anti")
+            cands = _hub_candidates(hubs, cache, t, True).unionByName(from_homes)
+        else:
+            cands = _hub_candidates(hubs, cache, t, True)
+        chosen = _stage(chosen, cands, g, 2, most)
     if upto >= 3:  # depth-2 from the first min(5, n) chosen URLs
         g = _gate(chosen, t, lambda n, m, p: n < F.greatest(F.lit(3), F.floor(m / 2)))
         hubs = chosen.join(g.select(*T), T).filter(F.col("pos") < 5).select(*T, F.col("url").alias("hub_url"),

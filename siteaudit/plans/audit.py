@@ -1,6 +1,7 @@
 """audit(inputs) -> AuditTables: the whole audit as one lazy DataFrame DAG.
 
-snapshot scan -> extract_pages (the one Arrow step) -> pages, edges
+raw fetches -> site_context (latest fetches, sitemap choice) -> sites, sitemap URLs
+crawl and homepages -> extract_pages (the one Arrow step) -> pages, edges
 -> URL-keyed link joins -> per-site fact row -> check_results -> scores.
 
 The extracted ``pages`` table is the only expensive intermediate: it is cut
@@ -24,6 +25,7 @@ from siteaudit.operators import links as L
 from siteaudit.operators import scoring as A
 from siteaudit.session import checkpoint_dir
 from siteaudit.sources import fixtures as fx
+from siteaudit.sources.context import SiteContext, site_context
 
 
 @dataclass
@@ -32,6 +34,7 @@ class AuditInputs:
     sites: DataFrame          # site, domain, robots_status, robots_txt, hsts, sitemap_status, ...
     sitemap_urls_raw: DataFrame  # site, pos, loc  (URLs of the chosen sitemap)
     probes: DataFrame         # site, target, status
+    homepages: DataFrame | None = None   # site, html: homepages fetched apart from the crawl
 
 
 @dataclass
@@ -47,14 +50,59 @@ class AuditTables:
     check_results: DataFrame
     category_scores: DataFrame
     site_scores: DataFrame
+    homes: DataFrame | None = None       # extracted homepages, one row per site
     extra: dict = field(default_factory=dict)
 
 
-def fixture_inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
-    """Crawl snapshot derived from the driver's ``pages`` table (see sources.fixtures)."""
+@dataclass
+class Snapshot:
+    """Raw fetches, as a crawler leaves them (see ``sources.context`` for the columns)."""
+
+    sites: DataFrame             # site, domain
+    crawl: DataFrame             # site, crawl_order, url, final_url, status_code, render_ms, html
+    robots: DataFrame
+    sitemap_files: DataFrame
+    homepages: DataFrame
+    probes: DataFrame
+
+    def context(self, as_of=None) -> SiteContext:
+        return site_context(self.sites, self.robots, self.sitemap_files, self.homepages, as_of)
+
+
+#: The date of the fixture's audit; its snapshot holds fetches before and after it.
+FIXTURE_DATE = "2026-05-20"
+_CONTEXTS: dict = {}
+
+
+def fixture_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     snap = fx.snapshot(spark, sf_dir)
-    return AuditInputs(crawl=snap["crawl"], sites=snap["sites"], sitemap_urls_raw=snap["sitemap_urls_raw"],
-                       probes=snap["probes"])
+    return Snapshot(sites=snap["site_list"], crawl=snap["crawl"], robots=snap["robots"], sitemap_files=snap["sitemap_files"],
+                    homepages=snap["homepages"], probes=snap["probes"])
+
+
+def fixture_context(spark: SparkSession, sf_dir: str) -> SiteContext:
+    """The site tables of the fixture's snapshot, memoised per session and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTEXTS:
+        found = fixture_snapshot(spark, sf_dir).context(FIXTURE_DATE)
+        checkpoint_dir(spark)
+        _CONTEXTS[key] = SiteContext(*(df.checkpoint(eager=True) for df in (found.sites, found.sitemap_urls_raw, found.homepages)))
+    return _CONTEXTS[key]
+
+
+def context_inputs(snapshot: Snapshot, context: SiteContext) -> AuditInputs:
+    return AuditInputs(crawl=snapshot.crawl, sites=context.sites, sitemap_urls_raw=context.sitemap_urls_raw,
+                       probes=snapshot.probes, homepages=context.homepages)
+
+
+def fixture_inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
+    """Inputs of the audit of the driver's ``pages`` table (see sources.fixtures)."""
+    return context_inputs(fixture_snapshot(spark, sf_dir), fixture_context(spark, sf_dir))
+
+
+def audit_snapshot(snapshot: Snapshot, as_of=None, **options) -> AuditTables:
+    """Audit raw fetches as of a date: the latest fetch of each resource counts, sitemaps are found and read here."""
+    return audit(context_inputs(snapshot, snapshot.context(as_of)), **options)
 
 
 def prepare_sites(sites: DataFrame) -> DataFrame:
@@ -78,18 +126,35 @@ def filter_sitemap_urls(raw: DataFrame, sites: DataFrame) -> DataFrame:
     return j.filter(cond).select("site", "pos", "loc")
 
 
-def build_pages(crawl: DataFrame, cut_lineage: bool = True, partitions: int | None = None) -> DataFrame:
-    """Extraction job. A snapshot is parsed where it lies, split as its reader
-    split it; ``partitions`` spreads the rows round-robin first (for an input
-    known to arrive in fewer parts than there are cores)."""
-    spark = crawl.sparkSession
+#: What a page carries through the extraction besides its HTML.
+PAGE_KEYS = ["site", "page_id", "crawl_order", "url", "final_url", "status_code", "render_ms"]
+
+
+def build_pages(crawl: DataFrame, cut_lineage: bool = True, partitions: int | None = None,
+                homepages: DataFrame | None = None, sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The one extraction job, over crawled pages and homepages: (pages, extracted homepages).
+
+    A snapshot is parsed where it lies, split as its reader split it; ``partitions`` spreads the rows round-robin first (for an
+    input known to arrive in fewer parts than there are cores). Homepages (S12) count as answered 200 at the site's
+    domain, whatever their fetch answered, if they have a body.
+    """
+    rows = crawl.select(*[c for c in PAGE_KEYS if c in crawl.columns], "html")
+    if homepages is not None:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        given = {"site": F.col("site"), "url": F.col("domain"), "final_url": F.col("domain"), "status_code": F.lit(200),
+                 "render_ms": F.lit(0), "html": F.col("html")}
+        home = homepages.join(sites.select("site", "domain"), "site").select(
+            *[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rows.columns], F.lit("home").alias("role"))
+        rows = rows.withColumn("role", F.lit("page")).unionByName(home)
     if partitions is not None:
-        crawl = crawl.repartition(partitions)
-    pages = extract_pages(crawl)
+        rows = rows.repartition(partitions)
+    found = extract_pages(rows)
     if cut_lineage:
-        checkpoint_dir(spark)
-        pages = pages.checkpoint(eager=True)
-    return pages
+        checkpoint_dir(crawl.sparkSession)
+        found = found.checkpoint(eager=True)
+    if homepages is None:
+        return found, None
+    return found.filter("role = 'page'").drop("role"), found.filter("role = 'home'").drop("role")
 
 
 def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool = True,
@@ -98,8 +163,9 @@ def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool =
     """The audit DAG. ``pages``: already extracted page rows (then ``inputs.crawl`` is not parsed again);
     ``partitions``: see ``build_pages``."""
     sites = prepare_sites(inputs.sites)
+    homes = None
     if pages is None:
-        pages = build_pages(inputs.crawl, cut_lineage, partitions)
+        pages, homes = build_pages(inputs.crawl, cut_lineage, partitions, inputs.homepages, sites)
     elif cut_lineage:
         checkpoint_dir(pages.sparkSession)
         pages = pages.checkpoint(eager=True)
@@ -117,7 +183,7 @@ def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool =
     cats, scores = A.site_scorecard(results, sites)
     return AuditTables(pages=pages, sites=sites, sitemap_urls=sitemap_urls, edges=edges, probe_targets=selected,
                        link_status=status, edge_status=edges_st, facts=facts, check_results=results,
-                       category_scores=cats, site_scores=scores)
+                       category_scores=cats, site_scores=scores, homes=homes)
 
 
 _CACHE: dict = {}

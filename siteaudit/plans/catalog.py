@@ -20,12 +20,13 @@ from siteaudit.operators import frontier as FR
 from siteaudit.operators import links as L
 from siteaudit.operators import scoring as A
 from siteaudit.plans import report as V
-from siteaudit.plans.audit import audit_fixture
+from siteaudit.plans.audit import FIXTURE_DATE, audit_fixture, fixture_context
 from siteaudit.session import checkpoint_dir
 from siteaudit.sources import fixtures as fx
 from siteaudit.sources import sitemaps as SM
+from siteaudit.sources.context import fetched_via, latest, lower_headers, site_fetches
 
-AUDIT_DATE = "2026-05-20"   # audit parameter: the snapshot's date
+AUDIT_DATE = FIXTURE_DATE   # audit parameter: the snapshot's date
 
 CHECK_COLS = ["site", "check_order", "check_id", "category", "name", "verdict", "severity", "message", "fix_text",
               "evidence_url", "evidence_snippet", "pages_affected", "total_pages"]
@@ -43,7 +44,9 @@ def _a(spark, sf):
 
 
 def _s(spark, sf):
-    return fx.snapshot(spark, sf)
+    """Raw tables of the snapshot, and what the audit takes from them as of its date."""
+    found = fixture_context(spark, sf)
+    return fx.snapshot(spark, sf) | {"sites": found.sites, "sitemap_urls_raw": found.sitemap_urls_raw}
 
 
 def _results(spark, sf):
@@ -54,19 +57,20 @@ def _n_pages(spark, sf):
     return _a(spark, sf).pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def _files(spark, sf):
+    return latest(_s(spark, sf)["sitemap_files"], ["site", "sitemap_url"], "body", FIXTURE_DATE)
+
+
 def _files_with_root(spark, sf):
-    snap = _s(spark, sf)
-    return snap["sitemap_files"].join(snap["sites"].select("site", F.col("domain").alias("root")), "site")
+    return _files(spark, sf).join(_s(spark, sf)["site_list"].select("site", F.col("domain").alias("root")), "site")
 
 
 def _robots(spark, sf):
-    s = _s(spark, sf)["sites"]
-    return SM.robots_source(s.select("site", F.col("robots_status").alias("status"), F.col("robots_txt").alias("body")))
+    return SM.robots_source(latest(_s(spark, sf)["robots"], ["site"], "body", FIXTURE_DATE))
 
 
 def _sites_robots(spark, sf):
-    s = _s(spark, sf)["sites"].select("site", "domain")
-    return s.join(_robots(spark, sf), "site")
+    return _s(spark, sf)["site_list"].join(_robots(spark, sf), "site", "left")
 
 
 # ---------------------------------------------------------------- sources
@@ -77,8 +81,10 @@ def scan_crawl(spark, sf):
 
 
 def page_head(spark, sf):
-    c = _s(spark, sf)["crawl"]
-    return c.select("site", "page_id", "final_url", "status_code", "render_ms", F.lit("googlebot").alias("fetched_via"),
+    c = _s(spark, sf)["crawl"].withColumn("h", lower_headers("headers"))
+    shown = F.transform(F.array_sort(F.map_entries("h")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return c.select("site", "page_id", "final_url", "status_code", "render_ms", fetched_via("ua").alias("fetched_via"),
+                    F.array_join(shown, "; ").alias("headers"), F.coalesce(F.col("h")["content-type"], F.lit("")).alias("content_type"),
                     ((F.col("status_code") > 0) & (F.col("status_code") < 400)).alias("parsed"))
 
 
@@ -98,17 +104,9 @@ def sitemap_is_index(spark, sf):
                     F.size("locs").cast("bigint").alias("n_locs"))
 
 
-def _index_starts(spark, sf):
-    cands = SM.sitemap_candidates(_sites_robots(spark, sf))
-    files = _s(spark, sf)["sitemap_files"].select("site", F.col("sitemap_url").alias("cand_url"), "status", "body")
-    c = cands.join(files, ["site", "cand_url"]).filter(F.col("status") == 200)
-    c = SM.parse_files(c.withColumn("root", F.col("domain"))).filter(SM.is_sitemap_index("locs"))
-    return c.select("site", "cand_pos", F.posexplode("locs").alias("child_pos", "child_url"),
-                    F.lit(3 * S.DEFAULT_MAX_PAGES).alias("target"))
-
-
 def sitemap_flatten(spark, sf):
-    flat = SM.flatten_index(_index_starts(spark, sf), _s(spark, sf)["sitemap_files"])
+    parsed = SM.parsed_files(_files(spark, sf)).checkpoint(eager=True)
+    flat = SM.flatten_index(SM.index_starts(SM.candidate_files(_sites_robots(spark, sf), parsed)), parsed)
     return flat.select("site", F.col("cand_pos").cast("bigint").alias("cand_pos"), "seq", "loc")
 
 
@@ -118,7 +116,7 @@ def sitemap_candidates(spark, sf):
 
 
 def sitemap_choice(spark, sf):
-    choice, _ = SM.choose_sitemap(_sites_robots(spark, sf), _s(spark, sf)["sitemap_files"])
+    choice, _ = SM.choose_sitemap(_sites_robots(spark, sf), _files(spark, sf))
     return choice.select("site", "sitemap_url", "sitemap_status", F.col("n_urls").cast("bigint").alias("n_urls"))
 
 
@@ -139,21 +137,15 @@ def sitemap_gz(spark, sf):
     return back.select(F.length("body").cast("bigint").alias("body_chars"))
 
 
-def _site_fetches(spark, sf):
-    s = _s(spark, sf)["sites"]
-    return s.select("site", F.lit("default").alias("ua"), F.col("default_ua_len").alias("body_len")).unionByName(
-        s.select("site", F.lit("googlebot").alias("ua"), F.col("googlebot_ua_len").alias("body_len")))
-
-
 def spa_detect(spark, sf):
-    return SM.spa_detect(_site_fetches(spark, sf))
+    return SM.spa_detect(site_fetches(_s(spark, sf)["sites"]))
 
 
 def root_page(spark, sf):
-    """For scoped targets, the root homepage parsed as a successful fetch (when the snapshot has it)."""
+    """For scoped targets, the site's homepage parsed as a successful fetch (when the snapshot has it)."""
     from siteaudit.plans.scoped import root_pages
     t = _s(spark, sf)["targets"]
-    rp = root_pages(t, _a(spark, sf).pages).select(
+    rp = root_pages(t, _a(spark, sf).homes).select(
         F.col("site").alias("audit_id"), F.col("status_code").alias("root_status"),
         F.size("schema_blocks").cast("bigint").alias("root_blocks"))
     scoped = t.filter(F.col("path_prefix") != "").select("site", "path_prefix",
@@ -432,7 +424,7 @@ def _scoped(spark, sf):
     if key not in _SCOPED:
         snap, a = _s(spark, sf), _a(spark, sf)
         _SCOPED[key] = scoped_audit(snap["targets"], snap["crawl"], snap["sites"], snap["sitemap_urls_raw"],
-                                    snap["probes"], a.pages, a.sitemap_urls, _final_frontier(spark, sf))
+                                    snap["probes"], a.pages, a.sitemap_urls, _final_frontier(spark, sf), a.homes)
     return _SCOPED[key]
 
 
@@ -454,7 +446,7 @@ def _final_frontier(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FRONTIERS:
         a = _a(spark, sf)
-        _FRONTIERS[key] = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=5)
+        _FRONTIERS[key] = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=5, homes=a.homes)
     return _FRONTIERS[key]
 
 
@@ -464,7 +456,7 @@ def _frontier(upto):
             fr = _final_frontier(spark, sf)
         else:
             a = _a(spark, sf)
-            fr = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=upto)
+            fr = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=upto, homes=a.homes)
         return fr.select("site", "path_prefix", "pos", "url", "stage")
     return run
 

@@ -65,6 +65,8 @@ CRAWL_SQL = """WITH b AS (
   FROM o
 )
 SELECT page_id, site, crawl_order, url, final_url,
+  CASE WHEN page_id % 5 = 3 THEN 'Mozilla/5.0 (X11; Linux)' ELSE 'Mozilla/5.0 (compatible; GoogleBot/2.1)' END AS ua,
+  {page_headers} AS headers,
   CASE WHEN page_id % 23 = 7 THEN 404 WHEN page_id % 47 = 3 THEN 500 WHEN page_id % 53 = 2 THEN 0 ELSE 200 END AS status_code,
   CASE WHEN page_id % 53 = 2 THEN 0 ELSE CAST(200 + (length(site) * 977 + page_id * 131) % 6200 AS INT) END AS render_ms,
   replace(replace(replace(
@@ -74,9 +76,13 @@ SELECT page_id, site, crawl_order, url, final_url,
      '<title>', CASE WHEN page_id % 13 = 5 THEN concat('<title>', repeat('long ', 9)) ELSE '<title>' END) AS html
 FROM h"""
 
-SITES_SQL = """WITH g AS (SELECT site, min(page_id) AS seed, count(*) AS n FROM {crawl} GROUP BY site)
-SELECT site, concat('https://', site) AS domain,
-  CASE seed % 10 WHEN 0 THEN 404 WHEN 7 THEN 403 ELSE 200 END AS robots_status,
+# The sites of the snapshot. What is known of them comes from raw fetches, of which several dates exist:
+# AS_OF is the date of the audit, STALE lies before it, LATER after it.
+SITE_LIST_SQL = """SELECT site, concat('https://', site) AS domain FROM {crawl} GROUP BY site"""
+AS_OF, STALE, LATER = "DATE '2026-05-20'", "DATE '2026-04-02'", "DATE '2026-06-30'"
+
+ROBOTS_SQL = f"""WITH g AS (SELECT site, min(page_id) AS seed FROM {{crawl}} GROUP BY site)
+SELECT site, {AS_OF} AS fetched_at, CASE seed % 10 WHEN 0 THEN 404 WHEN 7 THEN 403 ELSE 200 END AS status,
   CASE seed % 10
     WHEN 1 THEN concat('User-agent: *', chr(10), 'Disallow: /', chr(10))
     WHEN 2 THEN concat('User-agent:*', chr(10), 'Disallow: /', chr(10), chr(10), 'User-agent: GPTBot', chr(10), 'Allow: /', chr(10))
@@ -86,60 +92,86 @@ SELECT site, concat('https://', site) AS domain,
     WHEN 6 THEN '   '
     WHEN 8 THEN concat('# note', chr(13), chr(10), 'user-agent: google-extended', chr(13), chr(10), 'disallow: /private', chr(13), chr(10))
     WHEN 9 THEN concat('User-agent: OAI-SearchBot', chr(10), 'Allow: /', chr(10), 'User-agent: *', chr(10), 'Allow: /', chr(10))
-    ELSE '' END AS robots_txt,
-  CASE seed % 5 WHEN 0 THEN '' WHEN 1 THEN 'max-age=31536000; includeSubDomains' WHEN 2 THEN 'max-age=3600'
-    WHEN 3 THEN 'includeSubDomains' ELSE 'MAX-AGE = 99999999999999999999' END AS hsts,
-  CASE WHEN seed % 4 = 0 THEN 404 ELSE 200 END AS sitemap_status,
-  CAST(1000 + seed * 37 % 4000 AS BIGINT) AS default_ua_len,
-  CAST(1000 + seed * 37 % 4000 + CASE WHEN seed % 3 = 0 THEN 900 ELSE 0 END AS BIGINT) AS googlebot_ua_len
-FROM g"""
+    ELSE '' END AS body
+FROM g WHERE seed % 17 <> 16
+UNION ALL SELECT site, {STALE}, 500, 'an older answer' FROM g
+UNION ALL SELECT site, {LATER}, 200, concat('User-agent: *', chr(10), 'Disallow: /', chr(10)) FROM g"""
+
+HOMEPAGES_SQL = f"""WITH g AS (SELECT site, min(page_id) AS seed, min(final_url) AS lo, max(final_url) AS hi FROM {{crawl}} GROUP BY site),
+f AS (SELECT *, 'Mozilla/5.0 (compatible; Googlebot/2.1)' AS ua, {AS_OF} AS fetched_at FROM g WHERE seed % 19 <> 18
+  UNION ALL SELECT *, 'Mozilla/5.0 (X11; Linux)' AS ua, {AS_OF} AS fetched_at FROM g
+  UNION ALL SELECT *, 'Mozilla/5.0 (compatible; Googlebot/2.1)' AS ua, {STALE} AS fetched_at FROM g WHERE seed % 19 <> 18
+  UNION ALL SELECT *, 'Mozilla/5.0 (compatible; Googlebot/2.1)' AS ua, {LATER} AS fetched_at FROM g),
+h AS (SELECT *, fetched_at = {AS_OF} AS now, ua LIKE '%Googlebot%' AS bot FROM f)
+SELECT site, ua, fetched_at, CASE WHEN now AND seed % 11 = 10 AND bot THEN 0 WHEN seed % 13 = 5 THEN 503 ELSE 200 END AS status,
+  {{home_headers}} AS headers,
+  CASE WHEN now AND seed % 11 = 10 AND bot THEN ''
+    WHEN NOT now THEN '<html><body><a href="/outdated">Outdated</a></body></html>'
+    ELSE concat('<html lang="en"><head><title>Home</title>',
+      CASE seed % 4 WHEN 0 THEN '<script type="application/ld+json">{{"@type":"Organization","name":"n","url":"u","logo":"l","sameAs":["x"]}}</script>'
+        WHEN 1 THEN '<script type="application/ld+json">[{{"@type":"Corporation","name":"n"}},{{"@type":"WebSite"}}]</script>'
+        WHEN 2 THEN '<script type="application/ld+json">{{bad</script>' ELSE '' END,
+      '</head><body><h1>Home</h1><a href="', lo, '">First</a><a href="/hub/', CAST(seed AS STRING), '#part">Hub</a><a href="', hi,
+      '">Last</a><a href="hub/more">More</a><a href="https://elsewhere.example/h">Off site</a><p>',
+      repeat('x', CAST(1000 + seed * 37 % 4000 + CASE WHEN bot AND seed % 3 = 0 THEN 900 ELSE 0 END AS INT)), '</p></body></html>') END AS html
+FROM h"""
 
-SITEMAP_URLS_RAW_SQL = """SELECT c.site, c.crawl_order AS pos, c.final_url AS loc FROM {crawl} c WHERE c.page_id % 9 <> 8
+# Header maps, as (name, SQL value or NULL); each engine builds its own map type.
+PAGE_HEADERS = [
+    ("Content-Type", "CASE WHEN page_id % 11 = 4 THEN NULL ELSE 'text/html; charset=utf-8' END"),
+    ("content-TYPE", "CASE WHEN page_id % 37 = 1 THEN 'application/xhtml+xml' END"),
+    ("X-Robots-Tag", "CASE WHEN page_id % 9 = 2 THEN 'noindex' END")]
+HOME_HEADERS = [
+    ("Server", "'test'"),
+    ("Strict-Transport-Security", "CASE WHEN NOT now THEN 'max-age=1' ELSE CASE seed % 5 WHEN 0 THEN NULL "
+     "WHEN 1 THEN 'max-age=31536000; includeSubDomains' WHEN 2 THEN 'max-age=3600' WHEN 3 THEN 'includeSubDomains' "
+     "ELSE 'MAX-AGE = 99999999999999999999' END END")]
+
+# What the sitemaps list: pages, unlinked pages, documents (more of them on sites whose sitemap is an index).
+SITEMAP_ENTRIES_SQL = """WITH g AS (SELECT site, min(page_id) AS seed FROM {crawl} GROUP BY site)
+SELECT c.site, c.crawl_order AS pos, c.final_url AS loc FROM {crawl} c WHERE c.page_id % 9 <> 8
 UNION ALL
 SELECT c.site, 100000 + c.crawl_order, concat('https://', c.site, '/ghost/', CAST(c.page_id AS STRING)) FROM {crawl} c WHERE c.page_id % 6 = 1
 UNION ALL
-SELECT c.site, 200000 + c.crawl_order, concat('https://', c.site, '/doc/', CAST(c.page_id AS STRING), '.pdf') FROM {crawl} c WHERE c.page_id % 25 = 0"""
+SELECT c.site, 200000 + c.crawl_order, concat('https://', c.site, '/doc/', CAST(c.page_id AS STRING), '.pdf') FROM {crawl} c WHERE c.page_id % 25 = 0
+UNION ALL
+SELECT c.site, 300000 + c.crawl_order, concat('https://', c.site, '/scan/', CAST(c.page_id AS STRING), '.pdf') FROM {crawl} c JOIN g ON g.site = c.site WHERE g.seed % 3 = 1
+UNION ALL
+SELECT c.site, 400000 + c.crawl_order, concat('https://', c.site, '/sheet/', CAST(c.page_id AS STRING), '.xlsx') FROM {crawl} c JOIN g ON g.site = c.site WHERE g.seed % 3 = 1"""
 
 PROBES_SQL = """SELECT c.site, concat('https://', c.site, '/old/', CAST(c.page_id AS STRING)) AS target,
   CASE c.page_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 200 WHEN 2 THEN 0 ELSE 503 END AS status
 FROM {crawl} c WHERE c.page_id % 12 < 4"""
 
-# Sitemap files derived from the sitemap entries, so the XML operators
-# run over data that grows with the snapshot. Sites alternate between a plain
-# urlset at /sitemap.xml, a two-level sitemap index, and a malformed file at
-# /sitemap.xml whose URLs are then found at /sitemap_index.xml. Every file is
-# one bounded group: index children hold 50,000 positions, plain and fallback
-# files at most 3 x 16,000 entries (pages, unlinked pages, PDFs); further parts
-# of a very large plain sitemap are written but not referenced, as the sitemap
-# protocol caps a single file.
-SITEMAP_FILES_SQL = """WITH g AS (SELECT site, min(page_id) AS seed FROM {crawl} GROUP BY site),
-e AS (
-  SELECT r.site, r.pos, r.loc, g.seed,
-         concat('<url><loc>', replace(r.loc, '&', '&amp;'), '</loc></url>') AS x
-  FROM {sitemap_urls_raw} r JOIN g ON r.site = g.site
-), live AS (SELECT e.* FROM e JOIN {sites} s ON e.site = s.site WHERE s.sitemap_status = 200)
-SELECT site, concat('https://', site, CASE WHEN k = 0 THEN '/sitemap.xml'
-         ELSE concat('/sitemap-p', CAST(k AS STRING), '.xml') END) AS sitemap_url, 200 AS status,
-       concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
-              {agg_x}, '</urlset>') AS body
-FROM (SELECT *, CAST(floor((pos % 100000) / 16000) AS BIGINT) AS k FROM live WHERE seed % 3 = 0) GROUP BY site, k
-UNION ALL
-SELECT site, concat('https://', site, '/sitemap.xml'), 200,
-       concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">',
-              {agg_child}, '</sitemapindex>')
-FROM (SELECT DISTINCT site, CAST(floor(pos / 50000) AS BIGINT) AS k FROM live WHERE seed % 3 = 1) GROUP BY site
-UNION ALL
-SELECT site, concat('https://', site, '/sitemap-', CAST(CAST(floor(pos / 50000) AS BIGINT) AS STRING), '.xml'), 200,
-       concat('<urlset xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">', {agg_x}, '</urlset>')
-FROM live WHERE seed % 3 = 1 GROUP BY site, CAST(floor(pos / 50000) AS BIGINT)
-UNION ALL
-SELECT site, concat('https://', site, '/sitemap.xml'), 200, '<urlset><url><loc>broken'
-FROM live WHERE seed % 3 = 2 GROUP BY site
-UNION ALL
-SELECT site, concat('https://', site, CASE WHEN k = 0 THEN '/sitemap_index.xml'
-         ELSE concat('/sitemap_index-p', CAST(k AS STRING), '.xml') END), 200,
-       concat('<urlset>', {agg_x}, '</urlset>')
-FROM (SELECT *, CAST(floor((pos % 100000) / 16000) AS BIGINT) AS k FROM live WHERE seed % 3 = 2) GROUP BY site, k"""
+# Sitemap files. A quarter of the sites has none. Layout 0: one plain file. Layout 2: a malformed /sitemap.xml, the URLs are in
+# /sitemap_index.xml. Layout 1 (and every site of 16,000 pages or more): an index of indexes of files of four
+# positions; the root lists itself, every inner index lists the root and the first file again, and one file is missing.
+SITEMAP_FILES_SQL = f"""WITH g AS (SELECT site, min(page_id) AS seed, CASE WHEN count(*) >= 16000 THEN 1 ELSE min(page_id) % 3 END AS layout
+  FROM {{crawl}} GROUP BY site),
+live AS (
+  SELECT r.site, r.pos, g.seed, g.layout, concat('<url><loc>', replace(r.loc, '&', '&amp;'), '</loc></url>') AS x,
+    CAST(floor(r.pos / 4) AS BIGINT) AS leaf, CAST(floor(r.pos / 32) AS BIGINT) AS mid
+  FROM {{sitemap_entries}} r JOIN g ON r.site = g.site WHERE g.seed % 4 <> 0),
+lines AS (
+  SELECT site, '/sitemap.xml' AS f, pos, x FROM live WHERE layout = 0
+  UNION ALL SELECT site, '/sitemap_index.xml', pos, x FROM live WHERE layout = 2
+  UNION ALL SELECT site, concat('/sitemap-', CAST(leaf AS STRING), '.xml'), pos, x FROM live WHERE layout = 1 AND leaf <> 1
+  UNION ALL SELECT DISTINCT site, concat('/sitemap-m', CAST(mid AS STRING), '.xml'), leaf,
+    concat('<sitemap><loc>https://', site, '/sitemap-', CAST(leaf AS STRING), '.xml</loc></sitemap>') FROM live WHERE layout = 1
+  UNION ALL SELECT DISTINCT site, concat('/sitemap-m', CAST(mid AS STRING), '.xml'), CAST(-1 AS BIGINT),
+    concat('<sitemap><loc>https://', site, '/sitemap.xml</loc></sitemap><sitemap><loc>https://', site, '/sitemap-0.xml</loc></sitemap>')
+    FROM live WHERE layout = 1
+  UNION ALL SELECT DISTINCT site, '/sitemap.xml', mid, concat('<sitemap><loc>https://', site, '/sitemap-m', CAST(mid AS STRING), '.xml</loc></sitemap>')
+    FROM live WHERE layout = 1
+  UNION ALL SELECT DISTINCT site, '/sitemap.xml', CAST(-1 AS BIGINT), concat('<sitemap><loc>https://', site, '/sitemap.xml</loc></sitemap>')
+    FROM live WHERE layout = 1)
+SELECT site, concat('https://', site, f) AS sitemap_url, {AS_OF} AS fetched_at, 200 AS status,
+  concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', {{agg_x}}, '</urlset>') AS body FROM lines GROUP BY site, f
+UNION ALL SELECT DISTINCT site, concat('https://', site, '/sitemap.xml'), {AS_OF}, 200, '<urlset><url><loc>broken' FROM live WHERE layout = 2
+UNION ALL SELECT DISTINCT site, concat('https://', site, '/sitemap.xml'), {STALE}, 200,
+  concat('<urlset><url><loc>https://', site, '/outdated</loc></url></urlset>') FROM live
+UNION ALL SELECT site, concat('https://', site, '/sitemap.xml'), {LATER}, 200,
+  concat('<urlset><url><loc>https://', site, '/too-new</loc></url></urlset>') FROM g"""
 
 # Audit requests: whole-site audits of every site, plus a scoped audit of the
 # first page's top-level folder for every fifth site.
@@ -152,17 +184,19 @@ WHERE g.seed % 5 = 2 AND f.seg <> '' AND instr(f.seg, '?') = 0"""
 
 _counter = [0]
 
-
-_CHILD_X = ("concat('<sitemap><loc>https://', site, '/sitemap-', CAST(k AS STRING), "
-            "'.xml</loc></sitemap>')")
-_CHILD = "{AGG}"
+#: Every table of the snapshot, in an order in which each uses only those before it.
+TABLES = {"crawl": CRAWL_SQL, "site_list": SITE_LIST_SQL, "robots": ROBOTS_SQL, "homepages": HOMEPAGES_SQL,
+          "sitemap_entries": SITEMAP_ENTRIES_SQL, "probes": PROBES_SQL, "sitemap_files": SITEMAP_FILES_SQL, "targets": TARGETS_SQL}
 
 
 def spark_sql_text(sql: str) -> str:
     # Ordered string aggregation; written with collect_list + array_sort since
     # listagg ... WITHIN GROUP trips an analyzer error inside these CTEs.
     sql = sql.replace("{agg_x}", "array_join(transform(array_sort(collect_list(struct(pos, x))), e -> e.x), '')")
-    return sql.replace("{agg_child}", "array_join(transform(array_sort(collect_list(struct(k, %s AS x))), e -> e.x), '')" % _CHILD_X)
+    for name, headers in (("page_headers", PAGE_HEADERS), ("home_headers", HOME_HEADERS)):
+        pairs = ", ".join(f"'{k}', {v}" for k, v in headers)
+        sql = sql.replace("{%s}" % name, f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")
+    return sql
 
 
 def bind(spark: SparkSession, sql: str, **dfs: DataFrame) -> DataFrame:
@@ -179,98 +213,23 @@ def bind(spark: SparkSession, sql: str, **dfs: DataFrame) -> DataFrame:
 def duck(sql: str) -> str:
     """The same fixture SQL for DuckDB, placeholders bound to CTE names."""
     sql = sql.replace("{agg_x}", "string_agg(x, '' ORDER BY pos)")
-    sql = sql.replace("{agg_child}", _CHILD.replace("{AGG}", "string_agg(%s, '' ORDER BY k)" % _CHILD_X))
-    for name in ("pages", "crawl", "sites", "sitemap_urls_raw"):
+    for name, headers in (("page_headers", PAGE_HEADERS), ("home_headers", HOME_HEADERS)):
+        pairs = ", ".join(f"{{'key': '{k}', 'value': {v}}}" for k, v in headers)
+        sql = sql.replace("{%s}" % name, f"map_from_entries(list_filter([{pairs}], lambda e: e.value IS NOT NULL))")
+    for name in ("pages", *TABLES):
         sql = sql.replace("{%s}" % name, name)
     return sql
 
 
 # CTE prefix for oracle SQL: every fixture table as a named CTE.
 def duck_fixture_ctes() -> str:
-    return (
-        "crawl AS (" + duck(CRAWL_SQL) + "),\n"
-        "sites AS (" + duck(SITES_SQL) + "),\n"
-        "sitemap_urls_raw AS (" + duck(SITEMAP_URLS_RAW_SQL) + "),\n"
-        "probes AS (" + duck(PROBES_SQL) + "),\n"
-        "sitemap_files AS (" + duck(SITEMAP_FILES_SQL) + "),\n"
-        "targets AS (" + duck(TARGETS_SQL) + ")"
-    )
+    return ",\n".join(f"{name} AS ({duck(sql)})" for name, sql in TABLES.items())
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind(spark, CRAWL_SQL, pages=read_pages(spark, sf_dir))
-
-
-def sites(spark: SparkSession, crawl_df: DataFrame) -> DataFrame:
-    return bind(spark, SITES_SQL, crawl=crawl_df)
-
-
-def sitemap_urls_raw(spark: SparkSession, crawl_df: DataFrame) -> DataFrame:
-    return bind(spark, SITEMAP_URLS_RAW_SQL, crawl=crawl_df)
-
-
-def probes(spark: SparkSession, crawl_df: DataFrame) -> DataFrame:
-    return bind(spark, PROBES_SQL, crawl=crawl_df)
-
-
-def sitemap_files(spark: SparkSession, crawl_df: DataFrame, sites_df: DataFrame,
-                  raw_df: DataFrame) -> DataFrame:
-    """Spark side of SITEMAP_FILES_SQL, written with the DataFrame API."""
-    from pyspark.sql import functions as F
-
-    def ordered_concat(order_col: str, text) -> "F.Column":
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), text.alias("x")))),
-                                        lambda e: e["x"]), "")
-
-    g = crawl_df.groupBy("site").agg(F.min("page_id").alias("seed"))
-    live = (raw_df.join(g, "site")
-            .join(sites_df.filter("sitemap_status = 200").select("site"), "site")
-            .withColumn("x", F.concat(F.lit("<url><loc>"), F.replace(F.col("loc"), F.lit("&"), F.lit("&amp;")),
-                                      F.lit("</loc></url>")))
-            .withColumn("k", F.expr("CAST(floor(pos / 50000) AS BIGINT)")))
-    root = F.concat(F.lit("https://"), F.col("site"))
-    part = F.floor((F.col("pos") % 100000) / 16000).cast("bigint")
-
-    def part_name(first: str, rest: str):
-        return F.concat(root, F.when(F.col("p") == 0, F.lit(first))
-                        .otherwise(F.concat(F.lit(rest), F.col("p").cast("string"), F.lit(".xml"))))
-
-    plain = (live.filter("seed % 3 = 0").withColumn("p", part).groupBy("site", "p")
-             .agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
-                           ordered_concat("pos", F.col("x")), F.lit("</urlset>")).alias("body"))
-             .select("site", part_name("/sitemap.xml", "/sitemap-p").alias("sitemap_url"),
-                     F.lit(200).alias("status"), "body"))
-    child_loc = F.concat(F.lit("<sitemap><loc>https://"), F.col("site"), F.lit("/sitemap-"),
-                         F.col("k").cast("string"), F.lit(".xml</loc></sitemap>"))
-    index = (live.filter("seed % 3 = 1").select("site", "k").distinct().groupBy("site")
-             .agg(F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
-                           ordered_concat("k", child_loc), F.lit("</sitemapindex>")).alias("body"))
-             .select("site", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap_url"),
-                     F.lit(200).alias("status"), "body"))
-    children = (live.filter("seed % 3 = 1").groupBy("site", "k")
-                .agg(F.concat(F.lit('<urlset xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">'),
-                              ordered_concat("pos", F.col("x")), F.lit("</urlset>")).alias("body"))
-                .select("site", F.concat(root, F.lit("/sitemap-"), F.col("k").cast("string"),
-                                         F.lit(".xml")).alias("sitemap_url"),
-                        F.lit(200).alias("status"), "body"))
-    broken = (live.filter("seed % 3 = 2").select("site").distinct()
-              .select("site", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap_url"),
-                      F.lit(200).alias("status"), F.lit("<urlset><url><loc>broken").alias("body")))
-    fallback = (live.filter("seed % 3 = 2").withColumn("p", part).groupBy("site", "p")
-                .agg(F.concat(F.lit("<urlset>"), ordered_concat("pos", F.col("x")), F.lit("</urlset>")).alias("body"))
-                .select("site", part_name("/sitemap_index.xml", "/sitemap_index-p").alias("sitemap_url"),
-                        F.lit(200).alias("status"), "body"))
-    return plain.unionByName(index).unionByName(children).unionByName(broken).unionByName(fallback)
-
-
-def targets(spark: SparkSession, crawl_df: DataFrame) -> DataFrame:
-    return bind(spark, TARGETS_SQL, crawl=crawl_df)
-
-
 _SNAPSHOTS: dict = {}
 
 
@@ -286,13 +245,9 @@ def snapshot(spark: SparkSession, sf_dir: str) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SNAPSHOTS:
         checkpoint_dir(spark)
-        c = crawl(spark, sf_dir).checkpoint(eager=True)
-        s = sites(spark, c).checkpoint(eager=True)
-        raw = sitemap_urls_raw(spark, c).checkpoint(eager=True)
-        _SNAPSHOTS[key] = {
-            "crawl": c, "sites": s, "sitemap_urls_raw": raw,
-            "probes": probes(spark, c).checkpoint(eager=True),
-            "sitemap_files": sitemap_files(spark, c, s, raw).checkpoint(eager=True),
-            "targets": targets(spark, c).checkpoint(eager=True),
-        }
+        tables = {"pages": read_pages(spark, sf_dir)}
+        for name, sql in TABLES.items():
+            used = {n: df for n, df in tables.items() if "{%s}" % n in sql}
+            tables[name] = bind(spark, sql, **used).checkpoint(eager=True)
+        _SNAPSHOTS[key] = tables
     return _SNAPSHOTS[key]

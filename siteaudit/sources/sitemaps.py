@@ -1,6 +1,7 @@
 """Robots, sitemap and homepage-fetch sources over snapshot tables.
 
-Snapshot tables (what a crawler wrote, one row per fetched resource):
+Snapshot tables (what a crawler wrote, one row per fetched resource; ``sources.context`` picks the
+latest of several fetches):
 
 * ``robots(site, status, body)``
 * ``sitemap_files(site, sitemap_url, status, body)``  (``.xml`` or decompressed ``.gz``)
@@ -8,10 +9,10 @@ Snapshot tables (what a crawler wrote, one row per fetched resource):
 
 Sitemap XML is read by one parser per body, in Arrow batches, which alone
 decides whether a body is well formed; one bad file gives no URLs and cannot
-end the job. Per-file URL lists stay arrays inside their row (a sitemap file is
-bounded by the protocol's 50,000 URLs), and only the chosen lists are
-exploded. Index flattening is a bounded loop of joins (at most 25 fetches,
-so at most 25 levels), pruned to 25 nodes per site and level.
+end the job. Bodies are parsed once; per-file URL lists stay arrays inside
+their row (a sitemap file is bounded by the protocol's 50,000 URLs), and only
+chosen lists are exploded. Index trees are walked level by level to their end,
+each file once however often it is listed, by joins keyed by URL.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit import schema as S
 from siteaudit.functions import urls as U
+from siteaudit.operators.ordering import running
+from siteaudit.session import checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,18 +54,26 @@ def _xml_locs(bodies: pd.Series) -> pd.Series:
     return bodies.map(locs_of)
 
 
-def sitemap_locs(body_col: str, root) -> Column:
-    """Every <loc> text (any namespace prefix), stripped, non-empty, same host as ``root``.
-    Malformed or blank XML gives an empty list."""
+def parsed_files(files: DataFrame) -> DataFrame:
+    """(site, url, status, ok, raw_locs): every file parsed once. ``ok``: answered 200 with a body that isn't blank."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    raw = F.transform(F.pandas_udf(_xml_locs, "array<string>")(F.col("_body")), lambda x: U.strip_ws(x))
+    return files.select("site", F.col("sitemap_url").alias("url"), "status", body.alias("_body")).select(
+        "site", "url", "status", ((F.col("status") == 200) & (U.strip_ws("_body") != "")).alias("ok"),
+        F.filter(raw, lambda x: x != "").alias("raw_locs"))
+
+
+def locs_on(root) -> Column:
+    """The ``raw_locs`` on the host of ``root``."""
     r = F.col(root) if isinstance(root, str) else root
-    raw = F.pandas_udf(_xml_locs, "array<string>")(F.col(body_col))
-    return F.filter(F.transform(raw, lambda x: U.strip_ws(x)), lambda x: (x != "") & U.same_host(x, r))
+    return F.filter("raw_locs", lambda x: U.same_host(x, r))
 
 
 def parse_files(files: DataFrame, root_col: str = "root") -> DataFrame:
-    """files(+root) -> files with ``locs`` array<string>."""
-    f = files.withColumn("__sm_body", F.coalesce(F.col("body"), F.lit("")))
-    return f.withColumn("locs", sitemap_locs("__sm_body", root_col)).drop("__sm_body")
+    """files(+root) -> (site, sitemap_url, root, locs)."""
+    roots = files.select("site", F.col("sitemap_url").alias("url"), F.col(root_col).alias("root"))
+    return parsed_files(files).join(roots, ["site", "url"]).select(
+        "site", F.col("url").alias("sitemap_url"), "status", "root", locs_on("root").alias("locs"))
 
 
 # S5
@@ -87,68 +98,70 @@ def sitemap_candidates(sites: DataFrame) -> DataFrame:
 
 
 # S6
-def flatten_index(starts: DataFrame, files: DataFrame, max_fetch: int = S.SITEMAP_FETCH_CAP) -> DataFrame:
-    """Depth-first flattening of sitemap indexes.
-
-    ``starts(site, cand_pos, child_pos, child_url, target)``: the children of each
-    index candidate. Returns ``(site, cand_pos, seq, loc)``: the URLs collected
-    in fetch order, stopping once ``target`` URLs are collected or ``max_fetch``
-    files were fetched. Each fetch step is a join with ``files``; a child
-    sitemap's same-host test uses the child's own URL as root.
+def flatten_index(starts: DataFrame, parsed: DataFrame, target: int | None = None,
+                  max_fetch: int | None = None) -> DataFrame:
+    """URLs of whole sitemap index trees, in document order.
+
+    ``starts(site, cand_pos, cand_url, child_pos, child_url)``: the children of each index candidate; ``parsed``: see
+    ``parsed_files``. Returns ``(site, cand_pos, seq, loc)``. A child's same-host test uses the child's own URL as root.
+
+    Each level is one join with the files. A file is read once for a candidate, where it stands nearest to the top, and there in the
+    order of the listing; files listed again, the candidate itself among them, are left out, so that cycles end. ``target`` stops
+    once so many URLs are collected and ``max_fetch`` after so many files, both in document order; neither is set by default.
     """
-    fetched = files.select(F.col("sitemap_url").alias("url"), "site", "status", "body")
-    fetched = parse_files(fetched.withColumn("root", F.col("url")))
-    ok = (F.col("status") == 200) & (U.strip_ws(F.coalesce("body", F.lit(""))) != "")
-    fetched = fetched.select("site", "url", "status", ok.alias("ok"), "locs")
-    frontier = starts.select("site", "cand_pos", "target", F.array(F.col("child_pos").cast("int")).alias("path"),
-                             F.col("child_url").alias("url"))
     key = ["site", "cand_pos"]
-    levels = []
-    for _ in range(max_fetch):
-        lvl_rank = Window.partitionBy(*key).orderBy("path")
-        frontier = frontier.withColumn("lr", F.row_number().over(lvl_rank)).filter(F.col("lr") <= max_fetch).drop("lr")
-        node = frontier.join(fetched, ["site", "url"], "left").select(
-            *key, "target", "path", "url", F.coalesce("ok", F.lit(False)).alias("ok"),
-            F.coalesce("locs", F.array().cast("array<string>")).alias("locs"))
-        node = node.withColumn("is_index", F.col("ok") & is_sitemap_index("locs"))
-        levels.append(node.select(*key, "target", "path", "ok", "is_index", "locs"))
-        children = node.filter("is_index").select(*key, "target", "path", F.posexplode("locs").alias("i", "url")) \
-            .select(*key, "target", F.concat("path", F.array(F.col("i").cast("int"))).alias("path"), "url")
-        if children.isEmpty():
-            break
-        frontier = children
-    nodes = levels[0]
-    for lv in levels[1:]:
-        nodes = nodes.unionByName(lv)
-    order = Window.partitionBy(*key).orderBy("path")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    leaf_n = F.when(F.col("ok") & ~F.col("is_index"), F.size("locs")).otherwise(F.lit(0))
-    nodes = nodes.withColumn("k", F.row_number().over(order)) \
-        .withColumn("cum_before", F.coalesce(F.sum(leaf_n).over(before), F.lit(0)))
-    taken = nodes.filter((F.col("k") <= max_fetch) & (F.col("cum_before") < F.col("target"))
-                         & F.col("ok") & ~F.col("is_index"))
-    out = taken.select(*key, "k", F.posexplode("locs").alias("i", "loc"))
-    seq = Window.partitionBy(*key).orderBy("k", "i")
-    return out.select(*key, F.row_number().over(seq).cast("bigint").alias("seq"), "loc")
+    checkpoint_dir(starts.sparkSession)
+    own = parsed.withColumn("locs", locs_on("url"))
+    own = own.withColumn("is_index", F.col("ok") & is_sitemap_index("locs"))
+    indexes = own.filter("is_index").select("site", "url", "locs")
+    facts = own.select("site", "url", "ok", "is_index", F.size("locs").cast("bigint").alias("n"))
+    seen = starts.select(*key, F.col("cand_url").alias("url")).distinct()
+    listed = starts.select(*key, F.array(F.col("child_pos").cast("int")).alias("path"), F.col("child_url").alias("url"))
+    nodes = None
+    while nodes is None or not listed.isEmpty():
+        level = listed.groupBy(*key, "url").agg(F.min("path").alias("path")).join(seen, [*key, "url"], "left_anti")
+        level = level.join(facts, ["site", "url"], "left").select(
+            *key, "url", "path", F.coalesce("is_index", F.lit(False)).alias("is_index"),
+            F.when(F.col("ok") & ~F.col("is_index"), F.col("n")).otherwise(0).cast("bigint").alias("n")).checkpoint(eager=True)
+        nodes = level if nodes is None else nodes.unionByName(level)
+        seen = seen.unionByName(level.select(*key, "url"))
+        listed = level.filter("is_index").join(indexes, ["site", "url"]) \
+            .select(*key, "path", F.posexplode("locs").alias("i", "url")) \
+            .select(*key, F.concat("path", F.array(F.col("i").cast("int"))).alias("path"), "url")
+    placed = running(nodes.select(*key, "url", "path", "n"), key, ["path"], "n")
+    if max_fetch is not None:
+        placed = placed.filter(F.col("place") <= max_fetch)
+    if target is not None:
+        placed = placed.filter(F.col("before") < target)
+    leaves = placed.filter("n > 0").join(own.select("site", "url", "locs"), ["site", "url"])
+    return leaves.select(*key, "before", F.posexplode("locs").alias("i", "loc")).select(
+        *key, (F.col("before") + F.col("i") + 1).alias("seq"), "loc")
 
 
 # S8
-def choose_sitemap(sites: DataFrame, files: DataFrame, max_pages: int = S.DEFAULT_MAX_PAGES) -> tuple[DataFrame, DataFrame]:
+def candidate_files(sites: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Candidates that answered: (site, cand_pos, cand_url, status, locs, is_index); missing ones count as not found."""
+    found = sitemap_candidates(sites).join(parsed.filter("ok").withColumnRenamed("url", "cand_url"), ["site", "cand_url"])
+    found = found.withColumn("locs", locs_on("domain"))
+    return found.select("site", "cand_pos", "cand_url", "status", "locs", is_sitemap_index("locs").alias("is_index"))
+
+
+def index_starts(found: DataFrame) -> DataFrame:
+    return found.filter("is_index").select("site", "cand_pos", "cand_url", F.posexplode("locs").alias("child_pos", "child_url"))
+
+
+def choose_sitemap(sites: DataFrame, files: DataFrame, target: int | None = None,
+                   max_fetch: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pick each site's sitemap: the first candidate answering 200 with a non-blank body that
     yields URLs (index files flattened); else the last such candidate, with no URLs.
 
     Returns (choice(site, sitemap_url, sitemap_status, n_urls), urls(site, pos, loc)).
-    Candidates missing from the snapshot count as not found.
+    ``target`` and ``max_fetch``: see ``flatten_index``.
     """
-    cands = sitemap_candidates(sites)
-    f = files.select("site", F.col("sitemap_url").alias("cand_url"), "status", "body")
-    c = cands.join(f, ["site", "cand_url"], "left")
-    c = c.withColumn("ok", (F.col("status") == 200) & (U.strip_ws(F.coalesce("body", F.lit(""))) != ""))
-    c = parse_files(c.filter("ok").withColumn("root", F.col("domain")))
-    c = c.withColumn("is_index", is_sitemap_index("locs"))
-    starts = c.filter("is_index").select("site", "cand_pos", F.posexplode("locs").alias("child_pos", "child_url"),
-                                         F.lit(3 * max_pages).alias("target"))
-    flat = flatten_index(starts, files)
+    checkpoint_dir(sites.sparkSession)
+    parsed = parsed_files(files).checkpoint(eager=True)      # read at every level
+    c = candidate_files(sites, parsed).checkpoint(eager=True)
+    flat = flatten_index(index_starts(c), parsed, target, max_fetch)
     flat_n = flat.groupBy("site", "cand_pos").agg(F.count(F.lit(1)).alias("n_flat"))
     c = c.join(flat_n, ["site", "cand_pos"], "left").withColumn(
         "n_urls", F.when(F.col("is_index"), F.coalesce("n_flat", F.lit(0))).otherwise(F.size("locs")))
@@ -160,8 +173,9 @@ def choose_sitemap(sites: DataFrame, files: DataFrame, max_pages: int = S.DEFAUL
         "site",
         F.coalesce(F.col("good.cand_url"), F.col("last.cand_url"), F.lit("")).alias("sitemap_url"),
         F.coalesce(F.col("good.status"), F.col("last.status"), F.lit(0)).alias("sitemap_status"),
-        F.coalesce(F.col("good.n_urls"), F.lit(0)).alias("n_urls"),
-        F.col("good.cand_pos").alias("cand_pos"), F.coalesce(F.col("good.is_index"), F.lit(False)).alias("is_index"))
+        F.coalesce(F.col("good.n_urls"), F.lit(0)).cast("bigint").alias("n_urls"),
+        F.col("good.cand_pos").alias("cand_pos"), F.coalesce(F.col("good.is_index"), F.lit(False)).alias("is_index")) \
+        .checkpoint(eager=True)
     plain = c.join(choice.filter(~F.col("is_index")).select("site", "cand_pos"), ["site", "cand_pos"], "left_semi") \
         .select("site", F.posexplode("locs").alias("pos", "loc")).select("site", F.col("pos").cast("bigint"), "loc")
     flat_urls = flat.join(choice.filter("is_index").select("site", "cand_pos"), ["site", "cand_pos"], "left_semi") \

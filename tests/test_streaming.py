@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from siteaudit.plans.audit import audit, fixture_inputs
+from siteaudit.plans.audit import audit, fixture_context, fixture_inputs
 from siteaudit.sources import fixtures as fx
 from siteaudit.streaming.incremental import CRAWL_SCHEMA, start_incremental_audit
 
@@ -21,7 +21,8 @@ def test_stream_matches_batch(spark):
     first.write.parquet(os.path.join(crawl_dir, "part1"))
     crawl.join(first.select("site").distinct(), "site", "left_anti").select(*crawl.columns) \
         .write.parquet(os.path.join(crawl_dir, "part2"))
-    q = start_incremental_audit(spark, crawl_dir + "/*", snap["sites"], snap["sitemap_urls_raw"], snap["probes"],
+    known = fixture_context(spark, sf)
+    q = start_incremental_audit(spark, crawl_dir + "/*", known.sites, known.sitemap_urls_raw, snap["probes"],
                                 os.path.join(work, "out"), os.path.join(work, "ckpt"))
     q.awaitTermination(300)
     got = spark.read.parquet(os.path.join(work, "out", "check_results")).drop("batch_id")
