@@ -72,7 +72,8 @@ def test_fetches_at_the_same_time_and_headers_that_differ_in_case(spark):
                                "k string, fetched_at date, status int, body string")
     assert [(r.k, r.status) for r in latest(df, ["k"], "body").orderBy("k").collect()] == [("a", 404), ("b", 200)]
     assert [r.k for r in latest(df, ["k"], "body", JUNE).collect()] == ["a"]
-    h = spark.createDataFrame([({"A": "1", "b": "2", "a": "3"}, BOT), ({}, PLAIN), (None, None)], "h map<string, string>, ua string")
+    h = spark.sql(f"""SELECT * FROM VALUES (map('A', '1', 'b', '2', 'a', '3'), '{BOT}'), (map_from_arrays(array(), array()), '{PLAIN}'),
+                      (CAST(NULL AS map<string, string>), CAST(NULL AS string)) AS t(h, ua)""")
     got = h.select(lower_headers("h").alias("h"), fetched_via("ua").alias("v")).collect()
     assert [(r.h, r.v) for r in got] == [({"b": "2", "a": "3"}, "googlebot"), ({}, "default"), (None, "default")]
 
