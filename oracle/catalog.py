@@ -1,7 +1,6 @@
 """DuckDB oracle SQL for every query of ``siteaudit.plans.catalog`` that SQL can express.
 
-Omitted (rows-only check):
-sitemap_gz (file round trip), write_report (sink).
+Every query has one; the file round trips are held against the tables they store.
 """
 
 from __future__ import annotations
@@ -9,7 +8,7 @@ from __future__ import annotations
 from oracle.duck_audit import (A_RE, GENERIC, IDX, LD_BLOCKS, ORG_TYPE, RFC, SKIPPED, bare, curl, dec, graph, has_type_sql, is_html,
                                is_obj, low_headers, netloc, nurl, oracle, path, pipeline_renamed, q, query, scheme, strip, types)
 from siteaudit import schema as S
-from siteaudit.plans.catalog import AUDIT_DATE, CHECK_COLS, CHECK_KEYS
+from siteaudit.plans.catalog import AUDIT_DATE, CHECK_COLS, CHECK_KEYS, REPORT_COLUMNS
 
 COLS = ", ".join(CHECK_COLS)
 PK = "coalesce(nullif(final_url, ''), url)"
@@ -36,16 +35,12 @@ def _task_dim():
     return f"(VALUES {rows}) AS td(check_id, owner, effort, why)"
 
 
-SCHEMA_TYPES = (
-    "(CASE WHEN array_to_string(list_sort(list_distinct(flatten(list_transform(list_filter(blocks, lambda b: "
-    + is_obj('b') + "), lambda b: list_concat(" + types('b', 'xb') + ", flatten(list_transform(list_filter("
-    + graph('b') + ", lambda g: " + is_obj('g') + "), lambda g: list_concat(" + types('g', 'xg')
-    + ", flatten(list_transform(list_filter(" + graph('g') + ", lambda h2: " + is_obj('h2') + "), lambda h2: "
-    + types('h2', 'xh') + "))))))))))[1:8], ', ') = '' THEN '(none)' ELSE array_to_string(list_sort(list_distinct("
-    "flatten(list_transform(list_filter(blocks, lambda b: " + is_obj('b') + "), lambda b: list_concat("
-    + types('b', 'xb') + ", flatten(list_transform(list_filter(" + graph('b') + ", lambda g: " + is_obj('g')
-    + "), lambda g: list_concat(" + types('g', 'xg') + ", flatten(list_transform(list_filter(" + graph('g')
-    + ", lambda h2: " + is_obj('h2') + "), lambda h2: " + types('h2', 'xh') + "))))))))))[1:8], ', ') END)")
+# Nodes of JSON-LD trees, level by level through lists of @graph; a page's distinct types, sorted, first 8.
+SCHEMA_NODES = f"""jnodes AS (SELECT site, page_id, unnest(blocks) AS n FROM px
+  UNION ALL SELECT site, page_id, unnest(CASE WHEN json_type(n) = 'ARRAY' THEN json_extract(n, '$[*]') ELSE {graph('n')} END) FROM jnodes),
+jtypes AS (SELECT site, page_id, array_to_string(list_sort(list_distinct(flatten(list({types('n', 'xn')}))))[1:8], ', ') AS label
+  FROM jnodes WHERE {is_obj('n')} GROUP BY site, page_id)"""
+SCHEMA_LABEL = "CASE WHEN coalesce(j.label, '') = '' THEN '(none)' ELSE j.label END"
 
 PAGE_ISSUES = f"""pi AS (SELECT p.site, p.page_id, {PK.replace('final_url', 'p.final_url').replace(' url)', ' p.url)')} AS page_url,
     count(r.name) AS issues,
@@ -96,6 +91,8 @@ ORACLES["sitemap_filter"] = oracle(f"""SELECT r.site, t.path_prefix, r.pos, r.lo
             THEN regexp_replace({path('r.loc')}, '/+$', '') ELSE {path('r.loc')} END) = t.path_prefix
       OR starts_with(CASE WHEN {path('r.loc')} = '' THEN '/' WHEN {path('r.loc')} <> '/' AND {path('r.loc')} LIKE '%/'
             THEN regexp_replace({path('r.loc')}, '/+$', '') ELSE {path('r.loc')} END, t.path_prefix || '/'))))""")
+ORACLES["sitemap_gz"] = oracle("SELECT site, sitemap_url, CASE WHEN length(body) % 7 = 3 THEN '' ELSE body END AS body, "
+                               "CASE WHEN length(body) % 7 = 3 THEN 'broken' ELSE '' END AS error FROM sm_now")
 ORACLES["spa_detect"] = oracle("""SELECT site, CASE WHEN default_ua_len IS NULL OR googlebot_ua_len IS NULL OR googlebot_ua_len = 0
   THEN false ELSE abs(default_ua_len - googlebot_ua_len) / greatest(default_ua_len, googlebot_ua_len, 1) > 0.30 END AS spa_detected
   FROM sites""")
@@ -113,11 +110,14 @@ for key, expr in {
     "x_img_alt": "CAST(image_alt_total AS BIGINT) AS image_alt_total, CAST(image_alt_missing AS BIGINT) AS image_alt_missing",
 }.items():
     ORACLES[key] = oracle(f"SELECT site, page_id, {expr} FROM px")
-ORACLES["x_og"] = oracle("SELECT site, page_id, " + ", ".join(
-    f"{strip(dec(chr(39).join(['regexp_extract(h, ', '<meta property=\"' + k + '\" content=\"([^\"]*)\"', ', 1)'])))} AS {k.replace(':', '_')}"
-    for k in S.OG_TAGS) + " FROM pe")
-ORACLES["x_hreflang"] = oracle("SELECT site, page_id, CAST(len(regexp_extract_all(h, '<link [^>]*hreflang=')) AS BIGINT) "
-                               "AS n_hreflang FROM pe")
+ORACLES["x_og"] = oracle(f"""SELECT site, page_id, property, {strip(dec('arg_max(content, i)'))} AS content
+  FROM (SELECT site, page_id, k[i] AS property, c[i] AS content, i FROM (SELECT *, unnest(generate_series(1, len(k))) AS i FROM (
+    SELECT site, page_id, regexp_extract_all(h, '<meta property="(og:[^"]*)" content="([^"]+)"', 1) AS k,
+           regexp_extract_all(h, '<meta property="(og:[^"]*)" content="([^"]+)"', 2) AS c FROM pe))) GROUP BY site, page_id, property""")
+_ALT = '<link rel="alternate" hreflang="([^"]+)" href="([^"]+)"'
+ORACLES["x_hreflang"] = oracle(f"""SELECT site, page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS lang, {strip(dec('u[i]'))} AS href
+  FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (
+    SELECT site, page_id, regexp_extract_all(h, '{_ALT}', 1) AS l, regexp_extract_all(h, '{_ALT}', 2) AS u FROM pe))""")
 ORACLES["x_jsonld"] = oracle(f"""SELECT site, page_id, CAST(i - 1 AS BIGINT) AS pos,
   array_to_string({types('blocks[i]', 'xt')}, ',') AS types,
   coalesce(json_extract(blocks[i], '$.__parse_error')::VARCHAR = 'true', false) AS is_parse_error
@@ -161,8 +161,7 @@ ORACLES["orphan_urls"] = oracle("SELECT site, nkey FROM orph")
 for key, cid in CHECK_KEYS.items():
     ORACLES[key] = oracle(f"SELECT {COLS} FROM check_results WHERE check_id = '{cid}'")
 ORACLES["all_checks"] = oracle(f"SELECT {COLS} FROM check_results")
-ORACLES["check_error_rows"] = oracle(f"SELECT site, domain, contains({netloc('domain')}, '[') = contains({netloc('domain')}, ']') "
-                                     "AS domain_ok FROM sites")
+ORACLES["check_error_rows"] = oracle("SELECT site, check_id, kind, message FROM errs")
 ORACLES["has_schema_type"] = oracle(f"SELECT site, page_id, {has_type_sql('faqpage')} AS has_faq, "
                                     f"{has_type_sql('organization')} AS has_org FROM px")
 ORACLES["is_qa_content"] = oracle("SELECT site, page_id, qa FROM pf")
@@ -182,8 +181,11 @@ ORACLES["priority_bucket"] = oracle(f"SELECT site, check_id, verdict, severity,
 ORACLES["task_dimensions"] = oracle(f"""SELECT r.site, r.check_id, coalesce(td.owner, {q(S.DEFAULT_OWNER)}) AS owner,
   coalesce(td.effort, {q(S.DEFAULT_EFFORT)}) AS effort, coalesce(td.why, {q(S.DEFAULT_WHY)}) AS why
   FROM check_results r LEFT JOIN {_task_dim()} ON td.check_id = r.check_id""")
-ORACLES["recommend_resource"] = oracle(f"""SELECT site, top_issue_check_id AS check_id, '' AS resource_url,
-  {q('Follow the fix text of the check in the action list.')} AS resource_blurb FROM site_scores WHERE top_issue_check_id <> ''""")
+ORACLES["recommend_resource"] = oracle(f"""SELECT s.site, s.top_issue_check_id AS check_id, coalesce(x.url, '') AS resource_url,
+  coalesce(x.blurb, {q('Follow the fix text of the check in the action list.')}) AS resource_blurb FROM site_scores s
+  LEFT JOIN (SELECT check_id, min(evidence_url) AS url, count(*)::VARCHAR || ' site(s) pass this check.' AS blurb FROM check_results
+             WHERE verdict = 'pass' AND evidence_url <> '' GROUP BY check_id) x ON x.check_id = s.top_issue_check_id
+  WHERE s.top_issue_check_id <> ''""")
 ORACLES["action_plan"] = oracle(f"""SELECT r.site, r.bucket, row_number() OVER (PARTITION BY r.site, r.bucket ORDER BY {SEV.replace('severity', 'r.severity')}, r.check_id) AS item_no,
   r.check_id, CASE WHEN r.fix_text <> '' THEN r.fix_text ELSE r.message END AS what,
   coalesce(td.owner, {q(S.DEFAULT_OWNER)}) AS owner, coalesce(td.effort, {q(S.DEFAULT_EFFORT)}) AS effort,
@@ -212,13 +214,14 @@ ORACLES["top_actions"] = oracle(f"""SELECT site, rank, check_id, severity, categ
 ORACLES["action_list"] = oracle(f"""SELECT site, row_number() OVER (PARTITION BY site ORDER BY {SEV},
   CASE WHEN verdict = 'fail' THEN 0 WHEN verdict = 'warn' THEN 1 ELSE 2 END, check_id) AS position, check_id, category,
   severity, verdict, name || ': ' || message AS issue, pages_affected, fix_text FROM check_results WHERE verdict <> 'na'""")
-ORACLES["page_schema_types"] = oracle(f"SELECT site, page_id, {SCHEMA_TYPES} AS schema_types FROM px")
+ORACLES["page_schema_types"] = with_extra(SCHEMA_NODES, f"SELECT p.site, p.page_id, {SCHEMA_LABEL} AS schema_types FROM px p "
+                                          "LEFT JOIN jtypes j ON j.site = p.site AND j.page_id = p.page_id")
 ORACLES["page_issues"] = with_extra(PAGE_ISSUES, "SELECT site, page_id, page_url, issues, top_issue FROM pi")
-ORACLES["page_detail"] = with_extra(PAGE_ISSUES, f"""SELECT p.site, p.page_id, p.crawl_order, {PK.replace('final_url', 'p.final_url').replace(' url)', ' p.url)')} AS url,
+ORACLES["page_detail"] = with_extra(PAGE_ISSUES + ",\n" + SCHEMA_NODES, f"""SELECT p.site, p.page_id, p.crawl_order, {PK.replace('final_url', 'p.final_url').replace(' url)', ' p.url)')} AS url,
   substr(p.title, 1, 120) AS title, p.status_code, p.render_ms, CASE WHEN p.canonical <> '' THEN 'yes' ELSE 'no' END AS has_canonical,
   p.og_title::INT + p.og_description::INT + p.og_image::INT + p.og_url::INT AS og_tags,
-  {SCHEMA_TYPES.replace('blocks', 'p.blocks')} AS schema_types, pi.issues, pi.top_issue
-  FROM px p JOIN pi ON pi.site = p.site AND pi.page_id = p.page_id""")
+  {SCHEMA_LABEL} AS schema_types, pi.issues, pi.top_issue
+  FROM px p JOIN pi ON pi.site = p.site AND pi.page_id = p.page_id LEFT JOIN jtypes j ON j.site = p.site AND j.page_id = p.page_id""")
 ORACLES["score_breakdown"] = oracle(f"""SELECT site, CAST(cat_order AS BIGINT) AS row_no, category AS label,
   CAST(weight_pct AS VARCHAR) || '%' AS weight, checks, passes, warns, fails, na_unv,
   CASE WHEN score_tenths IS NULL THEN 'n/a' ELSE {fmt0('score_tenths / 10.0')} END AS score_text,
@@ -247,14 +250,12 @@ ORACLES["open_issues"] = oracle(f"SELECT {COLS} FROM check_results WHERE verdict
 ORACLES["compare_sites"] = oracle("""SELECT p.site_a, p.site_b, ca.category, ca.cat_order, ca.score_tenths / 10.0 AS score_a,
     cb.score_tenths / 10.0 AS score_b, abs(ca.score_tenths - cb.score_tenths) / 10.0 AS score_gap,
     coalesce(g.gaps, '') AS largest_check_gaps
-  FROM (SELECT site AS site_a, lead(site) OVER (PARTITION BY core ORDER BY site) AS site_b FROM
-         (SELECT site, substr(regexp_replace(regexp_replace(site, '^(www|blog|m)\\.', ''), '\\.[^.]+\\.[^.]+$', ''), 1, 4) AS core FROM sites)) p
+  FROM (SELECT site AS site_a, lead(site) OVER (ORDER BY site) AS site_b FROM sites) p
   JOIN category_scores ca ON ca.site = p.site_a JOIN category_scores cb ON cb.site = p.site_b AND cb.category = ca.category
   LEFT JOIN (SELECT site_a, site_b, string_agg(check_id, ',' ORDER BY rk) AS gaps FROM (
       SELECT p2.site_a, p2.site_b, ra.check_id, row_number() OVER (PARTITION BY p2.site_a, p2.site_b
         ORDER BY abs(ra.pts - rb.pts) DESC, ra.check_order) AS rk
-      FROM (SELECT site AS site_a, lead(site) OVER (PARTITION BY core ORDER BY site) AS site_b FROM
-             (SELECT site, substr(regexp_replace(regexp_replace(site, '^(www|blog|m)\\.', ''), '\\.[^.]+\\.[^.]+$', ''), 1, 4) AS core FROM sites)) p2
+      FROM (SELECT site AS site_a, lead(site) OVER (ORDER BY site) AS site_b FROM sites) p2
       JOIN (SELECT site, check_id, check_order, CASE verdict WHEN 'pass' THEN 2 WHEN 'warn' THEN 1 WHEN 'fail' THEN 0 END AS pts
             FROM check_results) ra ON ra.site = p2.site_a
       JOIN (SELECT site, check_id, CASE verdict WHEN 'pass' THEN 2 WHEN 'warn' THEN 1 WHEN 'fail' THEN 0 END AS pts
@@ -303,9 +304,9 @@ def _gate(prev, cond):
 
 
 _SEED = "CASE WHEN path_prefix = '' THEN root ELSE root || path_prefix || '/' END"
-_FR = HUB + f""",
+_FR = HUB.replace("s.domain AS root", "'https://' || s.site AS root") + f""",
 homeh0 AS (SELECT site, domain AS root, {strip(dec('a[i]'))} AS href, i
-           FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM (SELECT site, domain, regexp_extract_all(h, {q(A_RE)}, 1) AS a FROM homes))),
+           FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM (SELECT site, 'https://' || site AS domain, regexp_extract_all(h, {q(A_RE)}, 1) AS a FROM homes))),
 homeh1 AS (SELECT site, root, CAST(row_number() OVER (PARTITION BY site ORDER BY i) - 1 AS BIGINT) AS lpos,
              split_part(CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN href WHEN href LIKE '/%' THEN root || href
                         ELSE root || '/' || href END, '#', 1) AS link FROM homeh0 WHERE href <> '' AND NOT {SKIPPED}),
@@ -388,3 +389,8 @@ ORACLES["audit_json"] = oracle(f"""SELECT s.site, to_json({{'site': s.site, 'ove
     'open_issues': list_filter(c.checks, lambda x: x.verdict IN ('fail', 'warn', 'unverified'))}})::VARCHAR AS summary_json
   FROM site_scores s LEFT JOIN (SELECT site, list({_CHECK_STRUCT} ORDER BY check_order) AS checks
                                 FROM check_results GROUP BY site) c ON c.site = s.site""")
+
+# K1: every sheet of the report, a line of text for each row
+ORACLES["write_report"] = "\nUNION ALL\n".join(
+    f"SELECT '{view}' AS view, site, concat_ws('|', {', '.join(f'coalesce({c}::VARCHAR, {chr(39) * 2})' for c in columns)}) AS line "
+    f"FROM ({ORACLES['audit_summary' if view == 'summary' else view]})" for view, columns in REPORT_COLUMNS.items())

@@ -319,6 +319,18 @@ def base_ctes() -> str:
     return fx.duck_fixture_ctes() + ",\n" + source_ctes()
 
 
+def parseable(u):
+    return f"(contains({netloc(u)}, '[') = contains({netloc(u)}, ']'))"
+
+
+#: Inputs that a check can't interpret: (kind, condition, message).
+ERRORS = {
+    "C-05": ("page_url", "c05_bad_url IS NOT NULL", "'the canonical ' || c05_bad_canon || ' of ' || c05_bad_url || ' is no URL.'"),
+    "C-15": ("domain", f"NOT {parseable('domain')} AND coalesce(n_pages, 0) > 0", "'the domain ' || domain || ' is no URL.'"),
+    "C-19": ("number", "length(hsts_digits) > 4300", "'the max-age of the HSTS header has ' || length(hsts_digits)::VARCHAR || ' digits.'"),
+}
+
+
 def audit_ctes(scoped: bool = False) -> str:
     """Every audit table as a CTE; the caller appends the final SELECT.
 
@@ -409,6 +421,8 @@ pf AS (SELECT *, status_code = 200 AS valid,
 pc AS (SELECT site, count(*) AS n_pages, count(*) FILTER (valid) AS n_valid,
          count(*) FILTER (valid AND cc = 'missing') AS c05_missing, count(*) FILTER (valid AND cc = 'cross') AS c05_cross,
          count(*) FILTER (valid AND cc = 'self') AS c05_self, count(*) FILTER (valid AND cc = 'mismatch') AS c05_mismatch,
+         arg_min(final_url, crawl_order) FILTER (valid AND canonical <> '' AND NOT ({parseable('canonical')} AND {parseable('final_url')})) AS c05_bad_url,
+         arg_min(canonical, crawl_order) FILTER (valid AND canonical <> '' AND NOT ({parseable('canonical')} AND {parseable('final_url')})) AS c05_bad_canon,
          arg_min(final_url, crawl_order) FILTER (valid AND cc = 'missing') AS c05_missing_url,
          arg_min(final_url, crawl_order) FILTER (valid AND cc = 'cross') AS c05_cross_url,
          arg_min(canonical, crawl_order) FILTER (valid AND cc = 'cross') AS c05_cross_canon,
@@ -477,8 +491,12 @@ w AS (SELECT s.*, rb2.* EXCLUDE (site), pc.* EXCLUDE (site), md.* EXCLUDE (site)
         LEFT JOIN dup USING (site) LEFT JOIN hp2 USING (site) LEFT JOIN smn USING (site) LEFT JOIN l22a USING (site)
         LEFT JOIN l22b USING (site) LEFT JOIN l23 USING (site) LEFT JOIN l23b USING (site) LEFT JOIN l24 USING (site)
         LEFT JOIN l24b USING (site)),
-res0 AS ({checks_union}),
-check_results AS (SELECT r0.site, chk.check_order, chk.check_id, chk.category, chk.name, r0.r.verdict AS verdict,
+errs AS ({" UNION ALL ".join(f"SELECT site, {q(cid)} AS check_id, {q(k)} AS kind, {m} AS message FROM w WHERE {c}" for cid, (k, c, m) in ERRORS.items())}),
+res0 AS (SELECT r.site, r.check_id, e.kind IS NOT NULL AS broken, CASE WHEN e.kind IS NULL THEN r.r ELSE
+           {{'verdict': 'unverified', 'severity': 'INFO', 'message': 'Check could not run: ' || e.message, 'evidence_url': '',
+             'evidence_snippet': '', 'pages_affected': 0::BIGINT, 'total_pages': 0::BIGINT}} END AS r
+         FROM ({checks_union}) r LEFT JOIN errs e ON e.site = r.site AND e.check_id = r.check_id),
+check_results AS (SELECT r0.site, chk.check_order, chk.check_id, CASE WHEN r0.broken THEN 'Crawlability' ELSE chk.category END AS category, chk.name, r0.r.verdict AS verdict,
                     r0.r.severity AS severity, r0.r.message AS message, coalesce(fixd.fix_text, '') AS fix_text,
                     r0.r.evidence_url AS evidence_url, r0.r.evidence_snippet AS evidence_snippet,
                     r0.r.pages_affected AS pages_affected, r0.r.total_pages AS total_pages

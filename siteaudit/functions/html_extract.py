@@ -265,7 +265,7 @@ def extract_fields(html: str | None, page_url: str) -> dict:
     """All page facts of one HTML document."""
     out = {
         "title": "", "meta_description": "", "html_lang": "", "h1_texts": [], "h2_texts": [],
-        "canonical": "", "og": {}, "hreflang": [], "schema_blocks": [], "schema_raw_count": 0,
+        "canonical": "", "og": {}, "hreflang": [], "schema_blocks": [], "schema_types": [], "schema_raw_count": 0,
         "image_alt_total": 0, "image_alt_missing": 0, "first_paragraph": "",
         "raw_links": [], "internal_links": [],
     }
@@ -350,7 +350,8 @@ def extract_fields(html: str | None, page_url: str) -> dict:
     p = first.get("p")
     if p is not None:
         out["first_paragraph"] = doc.text(p, " ")
-    out.update(h1_texts=h1s, h2_texts=h2s, og=og, hreflang=hreflang, schema_blocks=blocks,
+    out.update(h1_texts=h1s, h2_texts=h2s, og=og, hreflang=hreflang, schema_blocks=[text for text, _ in blocks],
+               schema_types=sorted({t for _, types in blocks for t in types}),
                schema_raw_count=len(blocks), image_alt_total=img_total,
                image_alt_missing=img_missing, raw_links=raw, internal_links=links)
     return out
@@ -375,14 +376,29 @@ def _whole(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _jsonld_blocks(text: str) -> list[str]:
-    """JSON-LD script body to strict JSON strings (NaN and Infinity as null); a top-level list is flattened."""
+def _types_of(tree) -> set[str]:
+    """The @type strings of a JSON-LD tree: of its node, and of those in lists of @graph, to any depth."""
+    found, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo.extend(node)
+        elif isinstance(node, dict):
+            kinds = node.get("@type")
+            found.update(_whole(t) for t in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(t, str))
+            if isinstance(node.get("@graph"), list):
+                todo.extend(node["@graph"])
+    return found
+
+
+def _jsonld_blocks(text: str) -> list[tuple[str, set[str]]]:
+    """JSON-LD script body to strict JSON strings (NaN and Infinity as null) with their types; a top-level list is flattened."""
     try:
         data = json.loads(text.strip(), parse_constant=lambda _: None)
         items = data if isinstance(data, list) else [data]
-        return [_whole(json.dumps(x, ensure_ascii=False)) for x in items]
+        return [(_whole(json.dumps(x, ensure_ascii=False)), _types_of(x)) for x in items]
     except (ValueError, RecursionError):
-        return [_whole(json.dumps({"__parse_error": True, "_raw_snippet": text[:SNIPPET_CHARS]}, ensure_ascii=False))]
+        return [(_whole(json.dumps({"__parse_error": True, "_raw_snippet": text[:SNIPPET_CHARS]}, ensure_ascii=False)), set())]
 
 
 EXTRACTED_FIELDS = T.StructType([
@@ -396,6 +412,7 @@ EXTRACTED_FIELDS = T.StructType([
     T.StructField("hreflang", T.ArrayType(T.StructType([
         T.StructField("lang", T.StringType()), T.StructField("href", T.StringType())]))),
     T.StructField("schema_blocks", T.ArrayType(T.StringType())),
+    T.StructField("schema_types", T.ArrayType(T.StringType())),
     T.StructField("schema_raw_count", T.IntegerType()),
     T.StructField("image_alt_total", T.IntegerType()),
     T.StructField("image_alt_missing", T.IntegerType()),

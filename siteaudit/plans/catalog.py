@@ -20,6 +20,7 @@ from siteaudit.operators import frontier as FR
 from siteaudit.operators import links as L
 from siteaudit.operators import scoring as A
 from siteaudit.plans import report as V
+from siteaudit.plans import sink
 from siteaudit.plans.audit import FIXTURE_DATE, audit_fixture, fixture_context
 from siteaudit.session import checkpoint_dir
 from siteaudit.sources import fixtures as fx
@@ -130,11 +131,10 @@ def sitemap_filter(spark, sf):
 
 
 def sitemap_gz(spark, sf):
-    """Sitemap bodies written gzip-compressed, read back whole (decompressed by codec)."""
-    base = os.path.join(checkpoint_dir(spark), "sitemap-gz-" + uuid.uuid4().hex)
-    _s(spark, sf)["sitemap_files"].select("body").write.mode("overwrite").option("compression", "gzip").text(base)
-    back = SM.read_gz_sitemaps(spark, base)
-    return back.select(F.length("body").cast("bigint").alias("body_chars"))
+    """Sitemap files as compressed bytes in storage, inflated; streams that end early are error rows."""
+    path = os.path.join(checkpoint_dir(spark), "sitemap-gz-" + uuid.uuid4().hex)
+    fx.with_content(_files(spark, sf)).select("site", "sitemap_url", "content").write.parquet(path)
+    return SM.inflated_bodies(spark.read.parquet(path)).select("site", "sitemap_url", "body", "error")
 
 
 def spa_detect(spark, sf):
@@ -172,6 +172,16 @@ def x_jsonld(spark, sf):
         "site", "page_id", F.col("pos").cast("bigint").alias("pos"), types.alias("types"), err.alias("is_parse_error"))
 
 
+def x_og(spark, sf):
+    """A row for each Open Graph property of a page."""
+    return _pages(spark, sf).select("site", "page_id", F.explode("og").alias("property", "content"))
+
+
+def x_hreflang(spark, sf):
+    p = _pages(spark, sf).select("site", "page_id", F.posexplode("hreflang").alias("pos", "h"))
+    return p.select("site", "page_id", F.col("pos").cast("bigint").alias("pos"), "h.lang", "h.href")
+
+
 def x_internal_links(spark, sf):
     p = _pages(spark, sf).select("site", "page_id", F.inline("internal_links"))
     return p.select("site", "page_id", F.col("pos").cast("bigint").alias("pos"), "target", "anchor")
@@ -276,8 +286,7 @@ def all_checks(spark, sf):
 
 
 def check_error_rows(spark, sf):
-    s = _a(spark, sf).sites
-    return s.select("site", "domain", U.url_is_parseable("domain").alias("domain_ok"))
+    return C.error_rows(_a(spark, sf).facts)
 
 
 def has_schema_type(spark, sf):
@@ -330,7 +339,12 @@ def task_dimensions(spark, sf):
 
 
 def recommend_resource(spark, sf):
-    return V.recommend_resource(_a(spark, sf).site_scores)
+    """Resources are the first page that passes a check, as an example to follow."""
+    a = _a(spark, sf)
+    passed = a.check_results.filter((F.col("verdict") == "pass") & (F.col("evidence_url") != ""))
+    resources = passed.groupBy("check_id").agg(F.min("evidence_url").alias("url"), F.concat(
+        F.count(F.lit(1)).cast("string"), F.lit(" site(s) pass this check.")).alias("blurb"))
+    return V.recommend_resource(a.site_scores, resources)
 
 
 def action_plan(spark, sf):
@@ -398,15 +412,31 @@ def open_issues(spark, sf):
 
 def compare_sites(spark, sf):
     a = _a(spark, sf)
-    return V.compare_sites(a.category_scores, a.check_results, V.neighbour_pairs(a.sites))
+    return V.compare_sites(a.category_scores, a.check_results, V.successor_pairs(a.sites))
+
+
+#: The sheets of a report, and the columns of each in the order of the read-back query.
+REPORT_COLUMNS = {
+    "action_plan": ["bucket", "item_no", "check_id", "what", "owner", "effort", "why", "pages_label"],
+    "summary": ["score_text", "category_bands", "top_issue_name", "top_issue_message"],
+    "action_list": ["position", "check_id", "category", "severity", "verdict", "issue", "pages_affected", "fix_text"],
+    "page_detail": ["page_id", "crawl_order", "url", "title", "status_code", "render_ms", "has_canonical", "og_tags", "schema_types",
+                    "issues", "top_issue"],
+    "score_breakdown": ["row_no", "label", "weight", "checks", "passes", "warns", "fails", "na_unv", "score_text", "contribution"]}
 
 
 def write_report(spark, sf):
-    a = _a(spark, sf)
+    """All sheets written and committed together, then read back through the manifest, one line of text for each row."""
     base = os.path.join(checkpoint_dir(spark), "reports-" + uuid.uuid4().hex)
-    views = {"action_list": V.action_list(a.check_results), "scores": a.site_scores}
-    V.write_report(views, base, AUDIT_DATE)
-    return spark.read.parquet(f"{base}/action_list")
+    views = {"action_plan": action_plan, "summary": audit_summary, "action_list": action_list, "page_detail": page_detail,
+             "score_breakdown": score_breakdown}
+    sink.write_report({name: view(spark, sf) for name, view in views.items()}, base, AUDIT_DATE)
+    out = None
+    for name, df in sink.read_report(spark, base, AUDIT_DATE).items():
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REPORT_COLUMNS[name]])
+        part = df.select(F.lit(name).alias("view"), "site", line.alias("line"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def report_id(spark, sf):
@@ -472,8 +502,7 @@ QUERIES = {
     "x_h1": _x(lambda: [F.size("h1_texts").cast("bigint").alias("n_h1"), F.array_join("h1_texts", " | ").alias("h1")]),
     "x_h2": _x(lambda: [F.size("h2_texts").cast("bigint").alias("n_h2"), F.array_join("h2_texts", " | ").alias("h2")]),
     "x_canonical": _x(lambda: [F.col("canonical")]),
-    "x_og": _x(lambda: [F.coalesce(F.col("og").getItem(k), F.lit("")).alias(k.replace(":", "_")) for k in S.OG_TAGS]),
-    "x_hreflang": _x(lambda: [F.size("hreflang").cast("bigint").alias("n_hreflang")]),
+    "x_og": x_og, "x_hreflang": x_hreflang,
     "x_jsonld": x_jsonld,
     "x_jsonld_count": _x(lambda: [F.col("schema_raw_count").cast("bigint").alias("schema_raw_count")]),
     "x_img_alt": _x(lambda: [F.col("image_alt_total").cast("bigint").alias("image_alt_total"),

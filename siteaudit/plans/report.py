@@ -1,4 +1,4 @@
-"""The report views as tables, and the report sink.
+"""The report views as tables (``sink`` writes them).
 
 Inputs are per-site tables (15 check rows and 7 category rows per site) and
 the per-page table. Ordered positions inside a site use ``row_number`` over a
@@ -15,6 +15,7 @@ from siteaudit import schema as S
 from siteaudit.functions import urls as U
 from siteaudit.operators import checks as C
 from siteaudit.operators import scoring as A
+from siteaudit.operators.ordering import running
 
 
 def _c(x) -> Column:
@@ -166,25 +167,22 @@ def page_detail(pages: DataFrame, results: DataFrame) -> DataFrame:
 
 # V13
 def score_breakdown(cat_scores: DataFrame, site_scores: DataFrame) -> DataFrame:
-    s = F.col("score_tenths") / 10.0
-    rows = cat_scores.select(
-        "site", F.col("cat_order").cast("bigint").alias("row_no"), F.col("category").alias("label"),
-        F.concat((F.col("weight_pct")).cast("string"), F.lit("%")).alias("weight"),
+    """A row for each category and a total row, from one aggregate over grouping sets."""
+    tenths, weight = F.col("score_tenths"), F.col("weight_pct")
+    total = F.grouping("cat_order") == 1
+    kept = ["category", "weight_pct", "checks", "passes", "warns", "fails", "na_unv", "score_tenths"]
+    sets = cat_scores.groupingSets([[F.col("site"), F.col("cat_order")], [F.col("site")]], "site", "cat_order").agg(
+        *[F.when(~total, F.max(c)).alias(c) for c in kept], F.sum(tenths * weight).alias("points"), total.alias("is_total"))
+    overall = site_scores.select("site", F.concat(fmt0(F.col("overall_score")), F.lit(" ("), F.col("letter_grade"), F.lit(")"))
+                                 .alias("overall"))
+    contribution = F.format_string("%.1f", F.bround(F.coalesce("points", F.lit(0)) / 1000.0, 1))
+    return sets.join(overall, "site").select(
+        "site", F.coalesce("cat_order", F.lit(len(S.CATEGORIES) + 1)).cast("bigint").alias("row_no"),
+        F.when(F.col("is_total"), "Overall (weighted)").otherwise(F.col("category")).alias("label"),
+        F.when(F.col("is_total"), "").otherwise(F.concat(weight.cast("string"), F.lit("%"))).alias("weight"),
         "checks", "passes", "warns", "fails", "na_unv",
-        F.when(F.col("score_tenths").isNull(), "n/a").otherwise(fmt0(s)).alias("score_text"),
-        F.when(F.col("score_tenths").isNull(), "excluded")
-        .otherwise(F.format_string("%.1f", F.bround(F.col("score_tenths") * F.col("weight_pct") / 1000.0, 1)))
-        .alias("contribution"))
-    tot = cat_scores.groupBy("site").agg(
-        F.sum(F.when(F.col("score_tenths").isNotNull(), F.col("score_tenths") * F.col("weight_pct")))
-        .alias("tc")).join(site_scores, "site").select(
-        "site", F.lit(len(S.CATEGORIES) + 1).cast("bigint").alias("row_no"), F.lit("Overall (weighted)").alias("label"),
-        F.lit("").alias("weight"), F.lit(None).cast("bigint").alias("checks"), F.lit(None).cast("bigint").alias("passes"),
-        F.lit(None).cast("bigint").alias("warns"), F.lit(None).cast("bigint").alias("fails"),
-        F.lit(None).cast("bigint").alias("na_unv"),
-        F.concat(fmt0(F.col("overall_score")), F.lit(" ("), F.col("letter_grade"), F.lit(")")).alias("score_text"),
-        F.format_string("%.1f", F.bround(F.coalesce(F.col("tc"), F.lit(0)) / 1000.0, 1)).alias("contribution"))
-    return rows.unionByName(tot)
+        F.when(F.col("is_total"), F.col("overall")).when(tenths.isNull(), "n/a").otherwise(fmt0(tenths / 10.0)).alias("score_text"),
+        F.when(~F.col("is_total") & tenths.isNull(), "excluded").otherwise(contribution).alias("contribution"))
 
 
 # V14
@@ -259,14 +257,12 @@ def compare_sites(cat_scores: DataFrame, results: DataFrame, pairs: DataFrame, k
         F.coalesce("largest_check_gaps", F.lit("")).alias("largest_check_gaps"))
 
 
-def neighbour_pairs(sites: DataFrame) -> DataFrame:
-    """Pairs of related sites: same first four letters of the core name (host without a leading
-    'www.', 'blog.' or 'm.' label and without the top two labels); each site is paired with the
-    next one by name, so there is one pair per site, never all pairs of a group."""
-    core = F.substring(F.regexp_replace(F.regexp_replace("site", r"^(www|blog|m)\.", ""), r"\.[^.]+\.[^.]+$", ""), 1, 4)
-    w = Window.partitionBy("core").orderBy("site")
-    return sites.select("site", core.alias("core")).withColumn("site_b", F.lead("site").over(w)) \
-        .filter(F.col("site_b").isNotNull()).select(F.col("site").alias("site_a"), "site_b")
+def successor_pairs(sites: DataFrame) -> DataFrame:
+    """(site_a, site_b): each site with the next one by name, so that every site is in a pair. The order is made of ranges; no
+    task holds all sites."""
+    placed = running(sites.select("site").withColumn("one", F.lit(1)), [], ["site"], "one").select("site", "place")
+    after = placed.select(F.col("site").alias("site_b"), (F.col("place") - 1).alias("place"))
+    return placed.withColumnRenamed("site", "site_a").join(after, "place").select("site_a", "site_b")
 
 
 # K2
@@ -275,11 +271,3 @@ def report_id(target_root, path_prefix, audit_date) -> Column:
     pre = F.regexp_replace(F.regexp_replace(_c(path_prefix), "^/+|/+$", ""), "/", "-")
     slug = F.when(_c(path_prefix) != "", F.concat(F.lit("_"), pre)).otherwise(F.lit(""))
     return F.concat(host, slug, F.lit("-"), _c(audit_date))
-
-
-# K1
-def write_report(views: dict[str, DataFrame], path: str, audit_date: str, fmt: str = "parquet") -> None:
-    """Write every view under ``path/<view>/audit_date=<date>/``; only that date's folder is replaced."""
-    for name, df in views.items():
-        (df.withColumn("audit_date", F.lit(audit_date)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("audit_date").format(fmt).save(f"{path}/{name}"))

@@ -4,7 +4,7 @@ Snapshot tables, one row per fetch; a resource may have been fetched on several
 
 * ``sites(site, domain)``
 * ``robots(site, fetched_at, status, body)``
-* ``sitemap_files(site, sitemap_url, fetched_at, status, body)``
+* ``sitemap_files(site, sitemap_url, fetched_at, status, body)``, or ``content`` (the bytes, compressed or not) in place of ``body``
 * ``homepages(site, ua, fetched_at, status, headers map<string, string>, html)``
 
 ``site_context`` takes of each resource the latest fetch up to a date, finds each site's sitemap from its robots file and the
@@ -78,7 +78,10 @@ def site_context(sites: DataFrame, robots: DataFrame, sitemap_files: DataFrame,
         "site", "domain", F.coalesce("robots_status", F.lit(0)).alias("robots_status"),
         F.coalesce("robots_txt", F.lit("")).alias("robots_txt"), F.coalesce("hsts", F.lit("")).alias("hsts"),
         "default_ua_len", "googlebot_ua_len").checkpoint(eager=True)
-    choice, urls = SM.choose_sitemap(known, latest(sitemap_files, ["site", "sitemap_url"], "body", as_of), target, max_fetch)
+    files = latest(sitemap_files, ["site", "sitemap_url"], "content" if "content" in sitemap_files.columns else "body", as_of)
+    if "content" in files.columns:
+        files = SM.inflated_bodies(files)
+    choice, urls = SM.choose_sitemap(known, files, target, max_fetch)
     html = home.filter((F.col("_via") == "googlebot") & (F.col("status") > 0) & (F.coalesce("html", F.lit("")) != ""))
     return SiteContext(sites=known.join(choice.drop("n_urls"), "site"), sitemap_urls_raw=urls, homepages=html.select("site", "html"))
 

@@ -14,7 +14,11 @@ from the crawler, and nothing downstream windows over a whole site.
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CRAWL_SQL = """WITH b AS (
   SELECT page_id, url, html,
@@ -34,11 +38,15 @@ CRAWL_SQL = """WITH b AS (
     concat(
       CASE WHEN page_id % 7 <> 0 THEN concat('<meta name="description" content="', repeat('d', CAST(70 + page_id * 13 % 110 AS INT)), '">') ELSE '' END,
       CASE WHEN page_id % 10 = 8 THEN '' ELSE concat('<link rel="canonical" href="',
-        CASE WHEN page_id % 41 = 5 THEN 'https://other.example/x' WHEN page_id % 23 = 4 THEN '/rel' ELSE final_url END, '">') END,
+        CASE WHEN page_id % 41 = 5 THEN 'https://other.example/x' WHEN page_id % 43 = 6 THEN 'https://[broken/x' WHEN page_id % 23 = 4 THEN '/rel' ELSE final_url END, '">') END,
       CASE WHEN page_id % 5 = 1 THEN '' ELSE '<meta property="og:title" content="t">' END,
       CASE WHEN page_id % 4 = 2 THEN '' ELSE '<meta property="og:description" content="d">' END,
       CASE WHEN page_id % 3 = 0 THEN '' ELSE '<meta property="og:image" content="i.png">' END,
       CASE WHEN page_id % 6 = 5 THEN '' ELSE '<meta property="og:url" content="u">' END,
+      CASE WHEN page_id % 9 = 4 THEN '<meta property="og:site_name" content=" A &amp; B "><meta property="og:title" content="later"><meta property="og:type" content="">' ELSE '' END,
+      CASE WHEN page_id % 4 = 1 THEN '<link rel="alternate" hreflang="de" href="/de"><link rel="alternate" hreflang="x-default" href=" / ">'
+        WHEN page_id % 4 = 3 THEN '<link rel="alternate" hreflang="fr" href=""><link rel="alternate" hreflang="es" href="/es?a=1&amp;b=2">' ELSE '' END,
+      CASE WHEN page_id % 12 = 7 THEN '<script type="application/ld+json">{"@type":"A1","@graph":[{"@type":["B2","B1"],"@graph":[{"@graph":[{"@type":"D4","@graph":[{"@type":"E5"}]},"x"]},{"@type":"C3"}]}]}</script>' ELSE '' END,
       CASE page_id % 6
         WHEN 0 THEN '<script type="application/ld+json">{"@type":"FAQPage"}</script>'
         WHEN 1 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"n","url":"u"},{"@type":"WebSite"}]}</script>'
@@ -78,7 +86,8 @@ FROM h"""
 
 # The sites of the snapshot. What is known of them comes from raw fetches, of which several dates exist:
 # AS_OF is the date of the audit, STALE lies before it, LATER after it.
-SITE_LIST_SQL = """SELECT site, concat('https://', site) AS domain FROM {crawl} GROUP BY site"""
+SITE_LIST_SQL = """SELECT site, concat(CASE WHEN min(page_id) % 13 = 6 THEN 'https://[' ELSE 'https://' END, site) AS domain
+FROM {crawl} GROUP BY site"""
 AS_OF, STALE, LATER = "DATE '2026-05-20'", "DATE '2026-04-02'", "DATE '2026-06-30'"
 
 ROBOTS_SQL = f"""WITH g AS (SELECT site, min(page_id) AS seed FROM {{crawl}} GROUP BY site)
@@ -125,7 +134,7 @@ HOME_HEADERS = [
     ("Server", "'test'"),
     ("Strict-Transport-Security", "CASE WHEN NOT now THEN 'max-age=1' ELSE CASE seed % 5 WHEN 0 THEN NULL "
      "WHEN 1 THEN 'max-age=31536000; includeSubDomains' WHEN 2 THEN 'max-age=3600' WHEN 3 THEN 'includeSubDomains' "
-     "ELSE 'MAX-AGE = 99999999999999999999' END END")]
+     "ELSE CASE WHEN seed % 3 = 1 THEN concat('max-age=', repeat('9', 4400)) ELSE 'MAX-AGE = 99999999999999999999' END END END")]
 
 # What the sitemaps list: pages, unlinked pages, documents (more of them on sites whose sitemap is an index).
 SITEMAP_ENTRIES_SQL = """WITH g AS (SELECT site, min(page_id) AS seed FROM {crawl} GROUP BY site)
@@ -251,3 +260,11 @@ def snapshot(spark: SparkSession, sf_dir: str) -> dict:
             tables[name] = bind(spark, sql, **used).checkpoint(eager=True)
         _SNAPSHOTS[key] = tables
     return _SNAPSHOTS[key]
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Sitemap files as fetched bytes: gzip streams, of which those with a body of 7 n + 3 characters end early."""
+    def packed(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: gzip.compress(b.encode()) if len(b) % 7 != 3 else gzip.compress(b.encode())[:-9])
+
+    return files.withColumn("content", F.pandas_udf(packed, "binary")("body")).drop("body")

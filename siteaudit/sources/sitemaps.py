@@ -18,6 +18,8 @@ each file once however often it is listed, by joins keyed by URL.
 from __future__ import annotations
 
 import sys
+import zlib
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -54,13 +56,17 @@ def _xml_locs(bodies: pd.Series) -> pd.Series:
     return bodies.map(locs_of)
 
 
+def _with_raw_locs(files: DataFrame) -> DataFrame:
+    """``files`` with ``raw_locs``: every <loc> text, stripped, non-empty; none for malformed or blank XML."""
+    raw = F.transform(F.pandas_udf(_xml_locs, "array<string>")(F.coalesce(F.col("body"), F.lit(""))), lambda x: U.strip_ws(x))
+    return files.withColumn("raw_locs", F.filter(raw, lambda x: x != ""))
+
+
 def parsed_files(files: DataFrame) -> DataFrame:
     """(site, url, status, ok, raw_locs): every file parsed once. ``ok``: answered 200 with a body that isn't blank."""
-    body = F.coalesce(F.col("body"), F.lit(""))
-    raw = F.transform(F.pandas_udf(_xml_locs, "array<string>")(F.col("_body")), lambda x: U.strip_ws(x))
-    return files.select("site", F.col("sitemap_url").alias("url"), "status", body.alias("_body")).select(
-        "site", "url", "status", ((F.col("status") == 200) & (U.strip_ws("_body") != "")).alias("ok"),
-        F.filter(raw, lambda x: x != "").alias("raw_locs"))
+    ok = (F.col("status") == 200) & (U.strip_ws(F.coalesce("body", F.lit(""))) != "")
+    return _with_raw_locs(files.select("site", F.col("sitemap_url").alias("url"), "status", "body")).select(
+        "site", "url", "status", ok.alias("ok"), "raw_locs")
 
 
 def locs_on(root) -> Column:
@@ -70,10 +76,8 @@ def locs_on(root) -> Column:
 
 
 def parse_files(files: DataFrame, root_col: str = "root") -> DataFrame:
-    """files(+root) -> (site, sitemap_url, root, locs)."""
-    roots = files.select("site", F.col("sitemap_url").alias("url"), F.col(root_col).alias("root"))
-    return parsed_files(files).join(roots, ["site", "url"]).select(
-        "site", F.col("url").alias("sitemap_url"), "status", "root", locs_on("root").alias("locs"))
+    """files(+root) -> files with ``locs`` array<string>."""
+    return _with_raw_locs(files).withColumn("locs", locs_on(root_col)).drop("raw_locs")
 
 
 # S5
@@ -184,9 +188,51 @@ def choose_sitemap(sites: DataFrame, files: DataFrame, target: int | None = None
 
 
 # S10
-def read_gz_sitemaps(spark, path: str) -> DataFrame:
-    """Whole-file text of (possibly .gz) sitemap files; the codec decompresses by extension."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+#: A sitemap file has 50 MB at most; a stream that gives more is no sitemap.
+MAX_BODY_BYTES = 50 * 1024 * 1024
+INFLATED = "struct<body: string, error: string>"
+
+
+def inflate(content: bytes | None, limit: int = MAX_BODY_BYTES) -> tuple[str, str]:
+    """Text and error of a fetched body: gzip members are inflated piece by piece, anything else is text already.
+
+    Errors: ``too large`` beyond ``limit`` bytes of text, ``broken`` for a stream that ends early or isn't valid; both give no text.
+    Bytes that are no UTF-8 become replacement characters.
+    """
+    content = content or b""
+    if content[:2] != b"\x1f\x8b":
+        return (content.decode("utf-8", "replace"), "") if len(content) <= limit else ("", "too large")
+    parts, size, rest = [], 0, content
+    try:
+        while rest[:2] == b"\x1f\x8b":       # several members are one body
+            stream, todo = zlib.decompressobj(wbits=31), rest
+            while not stream.eof and todo:
+                parts.append(stream.decompress(todo, 1 << 16))
+                todo = stream.unconsumed_tail
+                size += len(parts[-1])
+                if size > limit:
+                    return "", "too large"
+            if not stream.eof:
+                return "", "broken"
+            rest = stream.unused_data
+    except zlib.error:
+        return "", "broken"
+    return b"".join(parts).decode("utf-8", "replace"), ""
+
+
+def inflated_bodies(files: DataFrame, content: str = "content", limit: int = MAX_BODY_BYTES) -> DataFrame:
+    """``files`` with ``body`` and ``error`` in place of the fetched bytes ``content``."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([inflate(c, limit) for c in batch], columns=["body", "error"])
+
+    return files.withColumn("_text", F.pandas_udf(run, INFLATED)(F.col(content))) \
+        .withColumns({"body": F.col("_text.body"), "error": F.col("_text.error")}).drop("_text", content)
+
+
+def read_gz_sitemaps(spark, path: str, limit: int = MAX_BODY_BYTES) -> DataFrame:
+    """(file, body, error) of stored sitemap files, compressed or not."""
+    return inflated_bodies(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), limit=limit)
 
 
 # S11

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.html_extract import extract_pages
 from siteaudit.operators import links as L
-from siteaudit.plans import report as V
-from siteaudit.session import checkpoint_dir
 from siteaudit.sources.sitemaps import locs_of, parse_files
 
 BAD_HREFS = ["http://[x", "https://[abc]/", "http://a℀b.c/", "//[", "http://x:port/"]
@@ -52,14 +50,6 @@ def test_one_parser_judges_sitemaps(spark, body, locs):
     assert sorted(map(list, (r.locs for r in got))) == sorted([locs, ["https://s.example/a"]])
 
 
-def test_reports_of_two_dates_stay(spark):
-    path = checkpoint_dir(spark) + "/two-dates"
-    view = spark.createDataFrame([("s", 1)], "site string, n int")
-    for date in ("2026-05-20", "2026-05-21", "2026-05-21"):
-        V.write_report({"v": view}, path, date)
-    assert sorted(str(r.audit_date) for r in spark.read.parquet(path + "/v").collect()) == ["2026-05-20", "2026-05-21"]
-
-
 def test_no_known_status_is_dropped(spark):
     probes = spark.createDataFrame([("s", f"https://s/{i}", 404) for i in range(200)], "site string, target string, status int")
     pages = spark.createDataFrame([("s", "https://s/", "https://s/", 200, 1)],

@@ -35,9 +35,8 @@ def test_query_matches_oracle(spark, duck, key):
     assert hs == hd
 
 
-def test_every_query_of_the_audit_has_an_oracle_or_is_rows_only():
-    rows_only = {"sitemap_gz", "write_report"}
-    assert set(QUERIES) - set(ORACLES) == rows_only
+def test_every_query_of_the_audit_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
