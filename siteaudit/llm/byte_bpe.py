@@ -29,6 +29,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.llm.common import bounded_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 12 << 20
@@ -188,6 +190,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     ``keep_ids`` adds the identifiers (``ids``) and the decoded bytes (``decoded``) themselves. The vocabulary file is read on
     the driver and sent to tasks; its size is fixed.
     """
+    bounded_batches(docs.sparkSession)
     with open(path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siteaudit.llm.common import blocks
+from siteaudit.llm.common import blocks, bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -162,23 +163,31 @@ def fit(labelled: DataFrame, rows_per_language: int = LANGUAGE_ROWS, windows_per
     return train([c for _, c in sample], [x for x, _ in sample]) if sample else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with ``lang_pred`` and ``score``. Only ``text`` goes into a prediction."""
+def judged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc, lang_pred, score): each row as a struct of its own columns, beside its prediction, so that no name clashes.
+
+    The struct goes through the workers as it is, whatever types it holds; only its ``text`` goes into a prediction.
+    """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))    # some hundred kilobytes, whatever the input
+    rows = docs.select(F.struct("*").alias("doc"))
+    at = docs.columns.index("text")
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value and Model(**sent.value)
         for batch in batches:
-            language, score = predict(known, batch["_text"].tolist())
-            yield batch.drop(columns="_text").assign(_language=language, _score=score)
-
-    kept = [F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*kept, F.col("text").alias("_text"))
-    names = [f"_k{i}" for i in range(len(keep))]
-    out = rows.mapInPandas(task, ", ".join(f"{n} string" for n in names) + ", _language string, _score double")
-    kinds = dict(docs.dtypes)
-    return out.select(*[F.col(n).cast(kinds[c]).alias(c) for n, c in zip(names, keep, strict=True)],
-                      F.col("_language").alias("lang_pred"), F.col("_score").alias("score"))
+            language, score = predict(known, batch.column("doc").field(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(language, pa.string()), pa.array(score, pa.float64())],
+                                             ["doc", "lang_pred", "score"])
+
+    kind = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(task, kind)
+
+
+def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns with ``lang_pred`` and ``score``."""
+    return judged(docs.select(*dict.fromkeys([*keep, "text"])), model).select(
+        *[F.col("doc")[c].alias(c) for c in keep], "lang_pred", "score")
 
 
 def held_out(docs: DataFrame) -> DataFrame:

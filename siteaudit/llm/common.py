@@ -41,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session sets no limit of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: texts differ in length by orders of magnitude, so a number of rows bounds nothing."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 # ---------------------------------------------------------------- scanning bytes with numpy
 def _splitmix(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import WordScanner, blocks, word_bytes, written
+from siteaudit.llm.common import WordScanner, blocks, bounded_batches, word_bytes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -251,6 +251,7 @@ def _matches(keep: list[str]) -> str:
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """op2: (doc_id, item_id, score, cosine, answer): the items that a document holds, with the best share of an item's passage
     found in it. Documents without a match have no row. ``keep`` names the columns that tell a document."""
+    bounded_batches(docs.sparkSession)
     keep, found = list(keep), None
     for block in _item_blocks(benchmark):
         part = written(_search(docs.select(*keep, "text"), block, keep), "matches")

@@ -42,7 +42,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import WordScanner, blocks, mix64, word_bytes, written
+from siteaudit.llm.common import WordScanner, blocks, bounded_batches, mix64, word_bytes, written
 from siteaudit.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -365,6 +365,7 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     ``n_links`` counts the links found of the row's set to other sets (all within a star, and those between components);
     components are whole.
     """
+    bounded_batches(docs.sparkSession)
     told = docs.select(*keep, F.xxhash64("text").alias("text_hash"), "text")
     facts = written(_facts(told, rule, [*keep, "text_hash"]), "sets")
     nodes = written(facts.where("n > 0").select("node", "n", "sample", "extra").distinct(), "nodes")

@@ -180,10 +180,11 @@ def report(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; spans that overlap go as one.
 
-    ``n_chars`` follows the new text if it is there. Texts without spans stay as they are.
+    ``n_chars`` follows the new text if it is there. Texts without spans stay as they are. A row is kept as a struct beside the
+    columns that are worked on, so that columns of any name and type may be there.
     """
     held = may_hold(F.col("text"))
-    hits = _numbered(docs.where(held), *docs.columns)
+    hits = written(docs.where(held).select(F.struct("*").alias("doc"), "text", F.monotonically_increasing_id().alias("row")), "rows")
     spans = all_spans(hits.select("row", "text"))
     order = Window.partitionBy("row").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -201,8 +202,9 @@ def mask(docs: DataFrame) -> DataFrame:
     tail = F.substring(F.col("text"), (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length("text"))
     masked = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(F.transform("cuts", piece), ""), tail))
-    changed = hits.join(merged, "row", "left").withColumn("text", masked)
+    changed = hits.join(merged, "row", "left").select("doc", "cuts", masked.alias("masked"))
+    now = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars"))
-                                     .otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return changed.select(docs.columns).union(docs.where(~held))
+        now["n_chars"] = F.when(F.col("cuts").isNull(), F.col("doc")["n_chars"]).otherwise(
+            F.length("masked").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[now.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]).union(docs.where(~held))
