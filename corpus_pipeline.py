@@ -2,8 +2,10 @@
 
 Each stage works on all documents that the one before kept, takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet in the shared folder and read again as the next stage's documents. All but the last return the columns of
-documents. Nulls, repeats and empty tables: as each operator's docstring says; rows that repeat a document as a whole
-go with its near copies, of which the one with the smallest doc_id stays.
+documents, whatever their names and types: a row goes through a stage as one struct, beside the columns that the stage
+works on. Null and empty texts: language rejects them, the other stages keep them. Null and repeated ids: documents are
+told by id and text. Rows that repeat a document as a whole go with its near copies, of which the one with the smallest doc_id
+stays. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,20 +25,25 @@ NEAR = ngram_join.Rule(5, 80)
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows that aren't held out; documents without a letter or a likely language go."""
-    model = byte_cnn.fit(byte_cnn.held_out(docs).where(~F.col("held_out")))
-    judged = byte_cnn.identify(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != byte_cnn.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    model = byte_cnn.fit(byte_cnn.held_out(docs.select("doc_id", "text", "lang")).where(~F.col("held_out")))
+    found = byte_cnn.judged(docs, model)
+    return found.where((F.col("lang_pred") != byte_cnn.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def told(docs: DataFrame) -> DataFrame:
-    """``docs`` with the hash of each text: a document is told by its doc_id and that, as ids may repeat or be null."""
-    return docs.withColumn("_text", F.xxhash64("text"))
+    """(doc, id, hash): each row with its doc_id and the hash of its text; ids may repeat or be null."""
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
 
 def among(rows: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
-    """The semi or anti join of ``rows`` with the documents of ``keys``."""
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
-    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), kind)
+    """The semi or anti join of ``rows`` with the documents (id, hash) of ``keys``."""
+    keys = keys.select(F.col("id").alias("key_id"), F.col("hash").alias("key_hash"))
+    return rows.join(keys, rows["id"].eqNullSafe(keys["key_id"]) & (rows["hash"] == keys["key_hash"]), kind)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash): what the operators on texts read."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,21 +53,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id (or none, where all are null) the one with the smallest hash stays, and of rows that repeat doc_id and text, one.
     """
     rows = told(docs)
-    groups = written(ngram_join.near_duplicates(rows, NEAR, ("doc_id", "_text")), "groups")
-    empty = groups.where("n_shingles = 0").groupBy("doc_id", "_text").agg(F.lit(1).cast("bigint").alias("copies"))
-    leaders = (groups.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("component", "doc_id", "_text").agg(F.count(F.lit(1)).alias("copies")))
-    first = leaders.groupBy("component").agg(F.min(F.struct("_text", "doc_id", "copies")).alias("first"))
-    kept = written(first.select("first.doc_id", "first._text", "first.copies").union(empty), "kept")
-    repeated = among(rows, kept.where("copies > 1"), "left_semi").dropDuplicates(["doc_id", "_text"])
-    return among(rows, kept.where("copies = 1"), "left_semi").union(repeated).select(docs.columns)
+    groups = written(ngram_join.near_duplicates(texts(docs), NEAR, ("doc_id", "hash")), "groups").withColumnRenamed("doc_id", "id")
+    empty = groups.where("n_shingles = 0").groupBy("id", "hash").agg(F.lit(1).cast("bigint").alias("copies"))
+    leaders = (groups.where("n_shingles > 0").where(F.col("id").eqNullSafe(F.col("component_id")))
+               .groupBy("component", "id", "hash").agg(F.count(F.lit(1)).alias("copies")))
+    first = leaders.groupBy("component").agg(F.min(F.struct("hash", "id", "copies")).alias("first"))
+    kept = written(first.select("first.id", "first.hash", "first.copies").union(empty), "kept")
+    repeated = among(rows, kept.where("copies > 1"), "left_semi").dropDuplicates(["id", "hash"])
+    return among(rows, kept.where("copies = 1"), "left_semi").union(repeated).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go, not others with their doc_id."""
-    rows = told(docs)
-    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), ("doc_id", "_text"))
-    return among(rows, found.select("doc_id", "_text").distinct(), "left_anti").select(docs.columns)
+    found = decontaminate.contaminated(texts(docs), table(spark, sf_dir, "benchmark"), ("doc_id", "hash"))
+    return among(told(docs), found.select(F.col("doc_id").alias("id"), "hash").distinct(), "left_anti").select("doc.*")
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
