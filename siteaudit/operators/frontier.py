@@ -1,8 +1,7 @@
 """Crawl-set selection, re-aimed as planning over pages already fetched.
 
-A target is ``(site, root, path_prefix, max_pages)``. The frontier is built in
-stages, each a set of ordered candidates that are filtered, de-duplicated by
-the U7 key against everything chosen before, and cut to the room left:
+A target is ``(site, root, path_prefix, max_pages)``. Its frontier is made of ordered candidates that are filtered,
+de-duplicated by the U7 key against everything chosen before, and cut to the room left:
 
 1. seed + sitemap URLs (F1)
 2. hub links of the seed page (F2), when room is left
@@ -11,9 +10,10 @@ the U7 key against everything chosen before, and cut to the room left:
 4. scoped audits only: links of the first 10 chosen URLs, same host, no
    prefix filter (F4)
 
-"Fetching" a URL is a lookup of the snapshot's extracted pages by U7 key
-(status 200 only). Every per-target ordered cut is ``row_number() <= k`` after
-a de-duplication keyed by ``(target, url key)``, so no stage sorts a whole
+Stages 1 and 2 start from what is known beforehand, so they are one pass that ranks candidates with their stage and cuts
+once; stages 3 and 4 each wait for the choice before them. "Fetching" a URL is a lookup of the snapshot's
+extracted pages by U7 key (status 200 only); only the links of those few pages are resolved. Every per-target ordered
+cut is ``row_number() <= k`` after a de-duplication keyed by ``(target, url key)``, so no stage sorts a whole
 site in one task.
 """
 
@@ -41,33 +41,52 @@ def hub_links(pages: DataFrame, root_col: str = "root") -> DataFrame:
     return p.withColumn("rk", F.row_number().over(first)).filter("rk = 1").select(*keys, F.col("i").alias("lpos"), "link")
 
 
-def _fetch_cache(pages: DataFrame) -> DataFrame:
-    """URL key -> fetched page (first by crawl order), for pages answering 200."""
-    p = pages.filter(F.col("status_code") == 200).withColumn(
-        "fkey", U.canonicalize_url(F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))))
-    w = Window.partitionBy("site", "fkey").orderBy("crawl_order")
-    return p.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select("site", "fkey", "raw_links")
-
-
-def _stage(chosen: DataFrame, cands: DataFrame, targets: DataFrame, stage: int, most: int) -> DataFrame:
-    """Append de-duplicated candidates (ordered by ``o1, o2``) to ``chosen`` up to max_pages, which is ``most`` at most."""
-    c = cands.withColumn("key", U.canonicalize_url("url"))
-    c = c.join(chosen.select(*T, "key"), T + ["key"], "left_anti")
-    first = Window.partitionBy(*T, "key").orderBy("o1", "o2")
-    c = c.withColumn("rk", F.row_number().over(first)).filter("rk = 1")
-    n = chosen.groupBy(*T).agg(F.count(F.lit(1)).alias("n_prev"))
-    c = c.join(targets.select(*T, "max_pages"), T).join(n, T, "left")
-    room = F.col("max_pages") - F.coalesce(F.col("n_prev"), F.lit(0))
-    order = Window.partitionBy(*T).orderBy("o1", "o2")
-    # literal bound first (the largest max_pages of all targets): Catalyst plans it as a
-    # map-side WindowGroupLimit, so a site with millions of candidates never
-    # reaches one task whole; then the per-target room
-    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).filter(F.col("r") <= room)
-    add = c.select(*T, "url", "key", (F.coalesce(F.col("n_prev"), F.lit(0)) + F.col("r") - 1).cast("bigint").alias("pos"),
-                   F.lit(stage).alias("stage"))
-    # each stage reads the previous one three times: cut the lineage (at most
-    # max_pages rows per target) so plans stay linear in the number of stages
-    return chosen.unionByName(add).checkpoint(eager=True)
+def _fetched(pages: DataFrame) -> DataFrame:
+    """(site, fkey, crawl_order): the first page fetched under each key, answering 200."""
+    key = U.canonicalize_url(F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url")))
+    return pages.filter(F.col("status_code") == 200).select("site", key.alias("fkey"), "crawl_order") \
+        .groupBy("site", "fkey").agg(F.min("crawl_order").alias("crawl_order")).checkpoint(eager=True)
+
+
+def _hub_links(hubs: DataFrame, pages: DataFrame, fetched: DataFrame, targets: DataFrame, in_prefix: bool, stage: int) -> DataFrame:
+    """Candidates from the hub pages ``hubs(site, path_prefix, hub_url, o1)``, ordered by hub, then link.
+
+    Hubs are a handful for each target; only their links are resolved.
+    """
+    h = hubs.withColumn("fkey", U.canonicalize_url("hub_url")).join(targets.select(*T, "root"), T).join(fetched, ["site", "fkey"])
+    found = pages.filter(F.col("status_code") == 200).select("site", "crawl_order", "raw_links").join(
+        h.select(*T, "root", "o1", "crawl_order"), ["site", "crawl_order"])
+    # cut: the stage's filters would otherwise be pushed into the resolution and repeat it for every use of the link
+    links = hub_links(found.select(*T, "root", "o1", "raw_links")).checkpoint(eager=True)
+    return _candidates(links.select(*T, "root", "o1", F.col("lpos").alias("o2"), F.col("link").alias("url")), in_prefix, stage)
+
+
+def _candidates(links: DataFrame, in_prefix: bool, stage: int) -> DataFrame:
+    """(site, path_prefix, url, stage, o1, o2) of the links that the stage takes."""
+    keep = U.matches_prefix("url", "root", "path_prefix") if in_prefix else U.same_host("url", "root")
+    return links.filter(U.is_html_url("url") & keep).select(*T, "url", F.lit(stage).alias("stage"), F.col("o1").cast("int").alias("o1"),
+                                                            F.col("o2").cast("bigint").alias("o2"))
+
+
+def _choose(chosen: DataFrame | None, cands: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """Append de-duplicated candidates (in order of stage, ``o1``, ``o2``) to ``chosen`` up to max_pages, which is ``most`` at most."""
+    c = cands.withColumn("key", U.canonicalize_url("url")).groupBy(*T, "key").agg(
+        F.min(F.struct("stage", "o1", "o2", "url")).alias("c")).select(*T, "key", "c.*")
+    if chosen is not None:
+        c = c.join(chosen.select(*T, "key"), T + ["key"], "left_anti")
+    order = Window.partitionBy(*T).orderBy("stage", "o1", "o2")
+    # the literal bound (the largest max_pages of all targets) is planned as a map-side WindowGroupLimit, so a site with
+    # millions of candidates never reaches one task whole; then the room of each target
+    c = c.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    room = targets.select(*T, "max_pages")
+    if chosen is not None:
+        room = room.join(chosen.groupBy(*T).agg(F.count(F.lit(1)).alias("n_prev")), T, "left")
+    else:
+        room = room.withColumn("n_prev", F.lit(0).cast("bigint"))
+    c = c.join(room.withColumn("n_prev", F.coalesce("n_prev", F.lit(0))), T).filter(F.col("r") <= F.col("max_pages") - F.col("n_prev"))
+    add = c.select(*T, "url", "key", (F.col("n_prev") + F.col("r") - 1).cast("bigint").alias("pos"), "stage")
+    # read again by the next pass, its gate and its hubs: at most max_pages rows for each target
+    return (add if chosen is None else chosen.unionByName(add)).checkpoint(eager=True)
 
 
 def _gate(chosen: DataFrame, targets: DataFrame, cond) -> DataFrame:
@@ -77,24 +96,6 @@ def _gate(chosen: DataFrame, targets: DataFrame, cond) -> DataFrame:
     return t.filter(cond(F.col("n"), F.col("max_pages"), F.col("path_prefix"))).select(*T, "root", "max_pages")
 
 
-def _link_cache(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Hub links (X14) of every fetched page, per site root, computed once:
-    (site, root, fkey, lpos, url, is_html). Stages only join it."""
-    cache = _fetch_cache(pages)
-    roots = targets.select("site", "root").distinct()
-    links = hub_links(cache.join(roots, "site").select("site", "root", "fkey", "raw_links"))
-    return links.select("site", "root", "fkey", F.col("lpos").alias("o2"), F.col("link").alias("url"),
-                        U.is_html_url("link").alias("is_html")).checkpoint(eager=True)
-
-
-def _hub_candidates(hubs: DataFrame, links: DataFrame, targets: DataFrame, in_prefix: bool) -> DataFrame:
-    """Links of the hub pages (ordered by hub, then link) passing the stage filter."""
-    h = hubs.withColumn("fkey", U.canonicalize_url("hub_url")).join(targets.select(*T, "root"), T)
-    c = h.join(links, ["site", "root", "fkey"]).filter("is_html")
-    keep = (U.matches_prefix("url", "root", "path_prefix") if in_prefix else U.same_host("url", "root"))
-    return c.filter(keep).select(*T, "url", "o1", "o2")
-
-
 def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto: int = 5,
              homes: DataFrame | None = None) -> DataFrame:
     """(site, path_prefix, pos, url, key, stage) for stages 1..``upto`` (5 = final list).
@@ -103,43 +104,34 @@ def frontier(targets: DataFrame, sitemap_urls: DataFrame, pages: DataFrame, upto
     the hub links of stage 2 from it.
     """
     checkpoint_dir(pages.sparkSession)
-    cache = _link_cache(pages, targets) if upto >= 2 else None
-    seed = F.when(F.col("path_prefix") == "", F.col("root")).otherwise(
-        F.concat(F.col("root"), F.col("path_prefix"), F.lit("/")))
-    t = targets.select(*T, "root", "max_pages")
+    t = targets.select(*T, "root", "max_pages").checkpoint(eager=True)
     most = int(t.agg(F.max("max_pages")).first()[0] or 0)
-    seeds = t.select(*T, seed.alias("url"), F.lit(0).alias("o1"), F.lit(0).cast("bigint").alias("o2"))
-    sm = sitemap_urls.join(t.select(*T), "site").select(*T, F.col("loc").alias("url"), F.lit(1).alias("o1"),
-                                                        F.col("pos").cast("bigint").alias("o2"))
-    c1 = seeds.unionByName(sm).join(t, T).filter(U.is_html_url("url") & U.matches_prefix("url", "root", "path_prefix"))
-    empty = c1.select(*T, "url", F.lit("").alias("key"), F.lit(0).cast("bigint").alias("pos"),
-                      F.lit(0).alias("stage")).limit(0)
-    chosen = _stage(empty, c1.select(*T, "url", "o1", "o2"), t, 1, most)
+    seed = F.when(F.col("path_prefix") == "", F.col("root")).otherwise(F.concat(F.col("root"), F.col("path_prefix"), F.lit("/")))
+    seeds = t.select(*T, "root", seed.alias("url"), F.lit(0).alias("o1"), F.lit(0).alias("o2"))
+    listed = sitemap_urls.join(t, "site").select(*T, "root", F.col("loc").alias("url"), F.lit(1).alias("o1"), F.col("pos").alias("o2"))
+    cands = _candidates(seeds.unionByName(listed), True, 1)
+    fetched = _fetched(pages) if upto >= 2 else None
     if upto >= 2:  # hub links of the seed page
-        g = _gate(chosen, t, lambda n, m, p: n < m)
-        hubs = g.select(*T, seed.alias("hub_url"), F.lit(0).alias("o1"))
+        hubs = t.select(*T, seed.alias("hub_url"), F.lit(0).alias("o1"))
         if homes is not None:
-            whole = g.filter("path_prefix = ''")
-            fetched = hub_links(homes.select("site", "raw_links").join(whole.select(*T, "root"), "site"))
-            from_homes = fetched.filter(U.is_html_url("link") & U.matches_prefix("link", "root", "path_prefix")).select(
-                *T, F.col("link").alias("url"), F.lit(0).alias("o1"), F.col("lpos").alias("o2"))
-            hubs = hubs.join(whole.join(homes.select("site"), "site", "left_semi").select(*T), T, "left_anti")
-            cands = _hub_candidates(hubs, cache, t, True).unionByName(from_homes)
-        else:
-            cands = _hub_candidates(hubs, cache, t, True)
-        chosen = _stage(chosen, cands, g, 2, most)
+            known = homes.select("site", "raw_links").join(t.filter("path_prefix = ''"), "site")
+            links = hub_links(known.select(*T, "root", "raw_links")).checkpoint(eager=True)
+            cands = cands.unionByName(_candidates(links.select(*T, "root", F.lit(0).alias("o1"), F.col("lpos").alias("o2"),
+                                                               F.col("link").alias("url")), True, 2))
+            hubs = hubs.join(known.select(*T), T, "left_anti")
+        cands = cands.unionByName(_hub_links(hubs, pages, fetched, t, True, 2))
+    chosen = _choose(None, cands, t, most)
     if upto >= 3:  # depth-2 from the first min(5, n) chosen URLs
         g = _gate(chosen, t, lambda n, m, p: n < F.greatest(F.lit(3), F.floor(m / 2)))
-        hubs = chosen.join(g.select(*T), T).filter(F.col("pos") < 5).select(*T, F.col("url").alias("hub_url"),
-                                                                            F.col("pos").alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, True), g, 3, most)
+        hubs = chosen.join(g.select(*T), T).filter(F.col("pos") < 5).select(*T, F.col("url").alias("hub_url"), F.col("pos").alias("o1"))
+        chosen = _choose(chosen, _hub_links(hubs, pages, fetched, t, True, 3), g, most)
     if upto >= 4:  # scoped 1-hop from the first 10 in-prefix URLs, same host only
         g = _gate(chosen, t, lambda n, m, p: (p != "") & (n < m))
-        inpre = chosen.join(t, T).filter(U.matches_prefix("url", "root", "path_prefix"))
+        inpre = chosen.join(g, T).filter(U.matches_prefix("url", "root", "path_prefix"))
         w = Window.partitionBy(*T).orderBy("pos")
-        hubs = inpre.join(g.select(*T), T).withColumn("hr", F.row_number().over(w)).filter("hr <= 10") \
+        hubs = inpre.withColumn("hr", F.row_number().over(w)).filter("hr <= 10") \
             .select(*T, F.col("url").alias("hub_url"), F.col("pos").alias("o1"))
-        chosen = _stage(chosen, _hub_candidates(hubs, cache, t, False), g, 4, most)
+        chosen = _choose(chosen, _hub_links(hubs, pages, fetched, t, False, 4), g, most)
     if upto >= 5:  # final cut
         chosen = chosen.join(t.select(*T, "max_pages"), T).filter(F.col("pos") < F.col("max_pages")).drop("max_pages")
     return chosen.select(*T, "pos", "url", "key", "stage")

@@ -159,12 +159,14 @@ def build_pages(crawl: DataFrame, cut_lineage: bool = True, partitions: int | No
 
 def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool = True,
           root_pages: DataFrame | None = None, pages: DataFrame | None = None,
-          partitions: int | None = None) -> AuditTables:
-    """The audit DAG. ``pages``: already extracted page rows (then ``inputs.crawl`` is not parsed again);
-    ``partitions``: see ``build_pages``."""
+          partitions: int | None = None, extracted: tuple[DataFrame, DataFrame | None] | None = None) -> AuditTables:
+    """The audit DAG. ``extracted``: what ``build_pages`` gave, and ``pages``: page rows made from that (then ``inputs.crawl`` is
+    not parsed again); ``partitions``: see ``build_pages``."""
     sites = prepare_sites(inputs.sites)
     homes = None
-    if pages is None:
+    if extracted is not None:
+        pages, homes = extracted
+    elif pages is None:
         pages, homes = build_pages(inputs.crawl, cut_lineage, partitions, inputs.homepages, sites)
     elif cut_lineage:
         checkpoint_dir(pages.sparkSession)
@@ -187,12 +189,21 @@ def audit(inputs: AuditInputs, probe_cap: int | None = None, cut_lineage: bool =
 
 
 _CACHE: dict = {}
+_PAGES: dict = {}
 
 
-def audit_fixture(spark: SparkSession, sf_dir: str, cut_lineage: bool = True) -> AuditTables:
+def fixture_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None]:
+    """Extracted pages and homepages of the fixture, memoised per session and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PAGES:
+        inputs = fixture_inputs(spark, sf_dir)
+        _PAGES[key] = build_pages(inputs.crawl, True, spark.sparkContext.defaultParallelism, inputs.homepages, inputs.sites)
+    return _PAGES[key]
+
+
+def audit_fixture(spark: SparkSession, sf_dir: str) -> AuditTables:
     """Audit of the fixture snapshot of ``sf_dir``, memoised per session and directory."""
-    key = (spark.sparkContext.applicationId, sf_dir, cut_lineage)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = audit(fixture_inputs(spark, sf_dir), cut_lineage=cut_lineage,
-                            partitions=spark.sparkContext.defaultParallelism)
+        _CACHE[key] = audit(fixture_inputs(spark, sf_dir), extracted=fixture_pages(spark, sf_dir))
     return _CACHE[key]

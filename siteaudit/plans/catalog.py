@@ -21,7 +21,7 @@ from siteaudit.operators import links as L
 from siteaudit.operators import scoring as A
 from siteaudit.plans import report as V
 from siteaudit.plans import sink
-from siteaudit.plans.audit import FIXTURE_DATE, audit_fixture, fixture_context
+from siteaudit.plans.audit import FIXTURE_DATE, audit_fixture, filter_sitemap_urls, fixture_context, fixture_pages
 from siteaudit.session import checkpoint_dir
 from siteaudit.sources import fixtures as fx
 from siteaudit.sources import sitemaps as SM
@@ -145,7 +145,7 @@ def root_page(spark, sf):
     """For scoped targets, the site's homepage parsed as a successful fetch (when the snapshot has it)."""
     from siteaudit.plans.scoped import root_pages
     t = _s(spark, sf)["targets"]
-    rp = root_pages(t, _a(spark, sf).homes).select(
+    rp = root_pages(t, _homes(spark, sf)).select(
         F.col("site").alias("audit_id"), F.col("status_code").alias("root_status"),
         F.size("schema_blocks").cast("bigint").alias("root_blocks"))
     scoped = t.filter(F.col("path_prefix") != "").select("site", "path_prefix",
@@ -155,7 +155,11 @@ def root_page(spark, sf):
 
 # -------------------------------------------------------------- extraction
 def _pages(spark, sf):
-    return _a(spark, sf).pages
+    return fixture_pages(spark, sf)[0]
+
+
+def _homes(spark, sf):
+    return fixture_pages(spark, sf)[1]
 
 
 def _x(col_exprs):
@@ -471,22 +475,23 @@ def scoped_scorecard(spark, sf):
 _FRONTIERS: dict = {}
 
 
+def _planned(spark, sf, upto):
+    snap = _s(spark, sf)
+    urls = filter_sitemap_urls(snap["sitemap_urls_raw"], snap["sites"])
+    return FR.frontier(snap["targets"], urls, _pages(spark, sf), upto=upto, homes=_homes(spark, sf))
+
+
 def _final_frontier(spark, sf):
     """F5 frontier of all targets, computed once per session (its stages are checkpointed)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FRONTIERS:
-        a = _a(spark, sf)
-        _FRONTIERS[key] = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=5, homes=a.homes)
+        _FRONTIERS[key] = _planned(spark, sf, 5)
     return _FRONTIERS[key]
 
 
 def _frontier(upto):
     def run(spark, sf):
-        if upto == 5:
-            fr = _final_frontier(spark, sf)
-        else:
-            a = _a(spark, sf)
-            fr = FR.frontier(_s(spark, sf)["targets"], a.sitemap_urls, a.pages, upto=upto, homes=a.homes)
+        fr = _final_frontier(spark, sf) if upto == 5 else _planned(spark, sf, upto)
         return fr.select("site", "path_prefix", "pos", "url", "stage")
     return run
 
