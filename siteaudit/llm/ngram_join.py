@@ -21,7 +21,8 @@ cost nothing further. For the nodes:
    m missing, two sets differ by at least r + r' + the sum of |m - m'| over the buckets, and linked ones by at most
    (1 - t) / (1 + t) of their sizes' sum.
 
-Comparisons read the texts again, packed and grouped by hub in blocks of bounded size. Nothing is capped.
+Comparisons read the texts again, packed and grouped by hub in blocks of bounded size. Nothing is capped. The number of links is
+counted last, within components, block by block.
 
 Words: runs of bytes other than ASCII white space, A-Z lower-cased. With fewer than n words the whole sequence is the one
 n-gram; a null or empty text has none and is linked with nothing. Rows may repeat: each row keeps a row. Rows with the same
@@ -52,6 +53,8 @@ BUCKETS = 32
 #: Width of a class of sizes, in factors of 1 / t.
 CLASS_WIDTH = 3
 BLOCK_MEMBERS = 256
+#: N-grams that are looked at together when the pairs of two blocks are counted.
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -358,12 +361,84 @@ def _rest(members: DataFrame, stars: DataFrame, found: DataFrame, rule: Rule) ->
     return pairs.select(F.greatest("node", "y_node").alias("hub"), F.least("node", "y_node").alias("node")).distinct()
 
 
-def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row of ``docs`` as its ``keep`` columns (doc_id among them), n_shingles, component_id, component and n_links.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``left`` shares with each of ``right``."""
+    flat = np.concatenate(left + right)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(g) for g in left + right])
+    _, gram, times = np.unique(flat, return_inverse=True, return_counts=True)
+    held = times[gram] > 1
+    gram, owner = gram[held], owner[held]
+    column = np.cumsum(times > 1) - 1                   # n-grams of more than one set, numbered
+    gram, width = column[gram], int((times > 1).sum())
+    out = np.zeros((len(left), len(right)), np.int64)
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    bounds = np.searchsorted(gram, np.arange(0, width + COLUMNS, COLUMNS))
+    for i in range(len(bounds) - 1):
+        part = slice(bounds[i], bounds[i + 1])
+        has = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        has[owner[part], gram[part] - i * COLUMNS] = 1
+        out += (has[:len(left)] @ has[len(left):].T).astype(np.int64)
+    return out
+
+
+def _link_counts(found: DataFrame, texts: DataFrame, weights: DataFrame, rule: Rule) -> DataFrame:
+    """(node, links): how many texts of other nodes each node of a component is linked with.
+
+    Links lie within components. A component's nodes are dealt into blocks of about ``BLOCK_MEMBERS``, and each pair of blocks is
+    counted at once in one task, so that no pair becomes a row and no task holds a component.
+    """
+    sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).alias("blocks"))
+    partner = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("partner")
+    laid = (found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .join(weights, "node").join(texts, "node").select("component", "block", "node", "texts", "packed", partner)
+            .select("component", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"),
+                    "block", "node", "texts", "packed"))
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    laid = laid.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")
+
+    def counted(low: int, high: int, rows: list[tuple]) -> pd.DataFrame:
+        sides = []
+        for block in dict.fromkeys((low, high)):
+            mine = [r for r in rows if r[0] == block]
+            sets = list(_unpacked_sets(pd.Series([r[3] for r in mine]), rule))
+            same = [i for i, g in enumerate(sets) if set_key(g) == mine[i][1]]      # not another text of this doc_id and hash
+            sides.append(([mine[i][1] for i in same], np.array([mine[i][2] for i in same], np.int64), [sets[i] for i in same]))
+        left, right = sides[0], sides[-1]
+        if not left[0] or not right[0]:
+            return pd.DataFrame({"node": [], "links": []}).astype("int64")
+        common = common_counts(left[2], right[2])
+        n, m = np.array([len(g) for g in left[2]]), np.array([len(g) for g in right[2]])
+        linked = 100 * common >= rule.share * (n[:, None] + m - common)
+        if low == high:
+            np.fill_diagonal(linked, False)
+        links = [(left[0], linked @ right[1])] + ([(right[0], linked.T @ left[1])] if low != high else [])
+        return pd.DataFrame({"node": np.concatenate([k for k, _ in links]), "links": np.concatenate([x for _, x in links])})
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows = None, []
+        for batch in batches:
+            done = []
+            for key, row in zip(zip(batch["component"].tolist(), batch["low"].tolist(), batch["high"].tolist(), strict=True),
+                                zip(*(batch[c].tolist() for c in ("block", "node", "texts", "packed")), strict=True), strict=True):
+                if key != now:
+                    if rows:
+                        done.append(counted(*now[1:], rows))
+                    now, rows = key, []
+                rows.append(row)
+            if done:
+                yield pd.concat(done)
+        if rows:
+            yield counted(*now[1:], rows)
+
+    return laid.mapInPandas(task, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_id",), count_links: bool = False) -> DataFrame:
+    """Every row of ``docs`` as its ``keep`` columns (doc_id among them), n_shingles, component_id and component.
 
     ``component`` names the row's group where ids repeat or are null; it is null for a row without words.
-    ``n_links`` counts the links found of the row's set to other sets (all within a star, and those between components);
-    components are whole.
+    With ``count_links`` also ``n_links``: with how many different texts the row's text is linked, exactly.
     """
     bounded_batches(docs.sparkSession)
     told = docs.select(*keep, F.xxhash64("text").alias("text_hash"), "text")
@@ -384,19 +459,20 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     more = written(_rest(members, again, found, rule), "open-pairs")
     others = written(_compare(more, texts, rule), "compared")
     links = links.union(_links(others, rule)).distinct()
-    found = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    found = written(components(links), "components") if count_links else components(links)
     named = places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").join(counts, "node", "left").select("node", "component", "component_id", "n_links")
-    rows = facts.select(*keep, "n", "node")
-    return rows.join(named, "node", "left").select(
-        *keep, F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "component",
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    named = named.join(least, "component").select("node", "component", "component_id")
+    shown = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+             "component"]
+    if count_links:
+        weights = facts.where("n > 0").groupBy("node", "text_hash").agg(F.lit(1)).groupBy("node").agg(F.count(F.lit(1)).alias("texts"))
+        named = (named.join(weights, "node").join(_link_counts(found, texts, weights, rule), "node", "left")
+                 .withColumn("n_links", F.col("texts") - 1 + F.coalesce("links", F.lit(0).cast("bigint"))))
+        shown.append(F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return facts.select(*keep, "n", "node").join(named, "node", "left").select(*keep, *shown)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """op1: 3-word shingles, similarity 0.9."""
-    return near_duplicates(docs.select("doc_id", "text"), Rule(3, 90)).drop("component")
+    return near_duplicates(docs.select("doc_id", "text"), Rule(3, 90), count_links=True).drop("component")

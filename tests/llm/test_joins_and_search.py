@@ -282,3 +282,38 @@ def test_mask(spark):
         spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, row string").drop("row")
         .selectExpr("*")).selectExpr("*", "1 as row").collect()}
     assert got == {1: ("<EMAIL>, <IP>!", 14, 1), 2: ("nothing", 7, 1), 3: (None, None, 1), 4: ("ü <PHONE>", 9, 1)}
+
+
+def test_number_of_links_against_brute_force(spark, monkeypatch):
+    """60 near copies, a pair that differs in capitals, chains of variants, exact copies: links to different texts, all counted."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        t = list(base)
+        t[rng.randrange(200)] = f"v{i}"
+        texts.append(" ".join(t))
+    texts += ["One two three four FIVE six", "one two three four five six", "one two three four five six"]
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(25):
+        chain = chain[4:] + [f"c{i}x{j}" for j in range(4)]
+        texts.append(" ".join(chain))
+    texts += [None, "", "alone", "two words", "Two words"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = word_sets(texts, 3)
+    want = []
+    for s, t in zip(sets, texts):
+        others = {u for u, r in zip(texts, sets) if u != t and r and s and 100 * len(s & r) >= 90 * len(s | r)}
+        want.append(len(others))
+    assert sum(want[:60]) == 60 * 59 and want[60:63] == [1, 1, 1] and 0 < sum(want[63:88]) < 25 * 24
+    for members in (256, 7):
+        monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", members)
+        got = {r.doc_id: r.n_links for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_a_group_of_thousands_counts_every_link(spark):
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(base + [f"end{i}"])) for i in range(1500)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(0, 1499)} and len(got) == 1500
