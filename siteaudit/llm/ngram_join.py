@@ -16,10 +16,8 @@ cost nothing further. For the nodes:
 3. Second stars. Where nodes of one signature are still in several components, those that their hub doesn't rule out against
    every other node are compared with the one among them that has the fewest n-grams of its own: the centre of a group of
    copies, where the first hub was a node at its edge. That is linear too.
-4. The rest, exactly. What is still in several components is compared in pairs between components, unless the centre rules a
-   pair out: with r own n-grams (in no other node left, nor in a hub) and, of the centre's n-grams in each of ``BUCKETS`` hash buckets,
-   m missing, two sets differ by at least r + r' + the sum of |m - m'| over the buckets, and linked ones by at most
-   (1 - t) / (1 + t) of their sizes' sum.
+4. The rest, exactly. What is still in several components is compared in pairs of blocks of bounded size: nodes outside the
+   centre's component with each other and with those inside it. Pairs are never rows; a task gives one link for two components.
 
 Comparisons read the texts again, packed and grouped by hub in blocks of bounded size. Nothing is capped. The number of links is
 counted last, within components, block by block.
@@ -49,7 +47,6 @@ from siteaudit.llm.components import components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUPS, PAIRS_FROM, FREQUENT = 16, 40, 32
-BUCKETS = 32
 #: Width of a class of sizes, in factors of 1 / t.
 CLASS_WIDTH = 3
 BLOCK_MEMBERS = 256
@@ -228,8 +225,7 @@ def _unpacked_sets(packed: pd.Series, rule: Rule) -> Iterator[np.ndarray]:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(hub, node, n_hub, n, common, missing) of the distinct (hub, node) pairs; ``missing`` counts the hub's n-grams that
-    the node lacks, by bucket. A hub's members come in blocks, after it."""
+    """(hub, node, n_hub, n, common) of the distinct (hub, node) pairs. A hub's members come in blocks, after it."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("parts"))
     members = (pairs.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
                .join(texts, "node").select("hub", "part", F.lit(1).alias("member"), "node", "packed"))
@@ -255,12 +251,10 @@ def _compare(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                         hub = g
                     elif hub is not None:
                         place = np.minimum(np.searchsorted(g, hub), len(g) - 1)
-                        lacks = hub[g[place] != hub]
-                        missing = np.bincount((lacks % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                        rows.append((h, node, len(hub), len(g), len(hub) - len(lacks), missing.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["hub", "node", "n_hub", "n", "common", "missing"])
+                        rows.append((h, node, len(hub), len(g), int((g[place] == hub).sum())))
+            yield pd.DataFrame(rows, columns=["hub", "node", "n_hub", "n", "common"])
 
-    return laid.mapInPandas(task, "hub bigint, node bigint, n_hub bigint, n bigint, common bigint, missing array<int>").distinct()
+    return laid.mapInPandas(task, "hub bigint, node bigint, n_hub bigint, n bigint, common bigint").distinct()
 
 
 def _links(compared: DataFrame, rule: Rule) -> DataFrame:
@@ -341,26 +335,6 @@ def _open_members(signed: DataFrame, stars: DataFrame, found: DataFrame, texts:
     return near.join(centres, "hub").where("node != centre").select("hub", "node", "n", "own", "centre")
 
 
-def _rest(members: DataFrame, stars: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs between components that the second stars leave open and their centres don't rule out: (hub, node)."""
-    t = rule.share / 100
-    lost = F.col("n_hub") - F.col("common")
-    known = stars.select(F.col("hub").alias("centre"), "node", lost.alias("lost"), "missing")
-    main = found.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-    near = (_placed(members.join(known, ["centre", "node"]), found).join(main, "centre", "left")
-            .select("hub", "node", "n", "component", "own", "missing", (F.col("own") - F.col("lost")).alias("g"),
-                    (F.col("own") + F.col("lost")).alias("s"), F.coalesce("main", "centre").alias("main")))
-    near = written(near, "second-members")
-    aside = (near.where("component != main")
-             .select("hub", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "own", "missing", "g", "s")]))
-    apart = F.aggregate(F.zip_with("missing", "y_missing", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-    bound = F.lit((1 - t) / (1 + t)) * (F.col("n") + F.col("y_n")) + 1e-6
-    pairs = near.join(aside, "hub").where(
-        (F.col("component") != F.col("y_component")) & (F.col("g") + F.col("y_s") <= bound) & (F.col("s") + F.col("y_g") <= bound)
-        & (F.least("n", "y_n") >= F.lit(t) * F.greatest("n", "y_n") - 1e-6) & (F.col("own") + F.col("y_own") + apart <= bound))
-    return pairs.select(F.greatest("node", "y_node").alias("hub"), F.least("node", "y_node").alias("node")).distinct()
-
-
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each set of ``left`` shares with each of ``right``."""
     flat = np.concatenate(left + right)
@@ -382,6 +356,85 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _whole_sets(rows: list[tuple], rule: Rule) -> tuple[list[tuple], list[np.ndarray]]:
+    """The rows (node first, packed text last) whose text is the node's, and not another one of its doc_id and hash; with their sets."""
+    sets = list(_unpacked_sets(pd.Series([r[-1] for r in rows]), rule))
+    same = [i for i, g in enumerate(sets) if set_key(g) == rows[i][0]]
+    return [rows[i] for i in same], [sets[i] for i in same]
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], rule: Rule) -> np.ndarray:
+    common = common_counts(left, right)
+    n, m = np.array([len(g) for g in left]), np.array([len(g) for g in right])
+    return 100 * common >= rule.share * (n[:, None] + m - common)
+
+
+def _block_pairs(laid: DataFrame, group: str, values: list[str], schema: str, handle) -> DataFrame:
+    """``handle(low, high)`` of the rows (``values``) of each pair of blocks of a group, as rows of ``schema``.
+
+    ``laid`` has a group, low, high, block and the values; rows with block = low are the one side, those with block = high the other.
+    """
+    parts = max(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    laid = laid.repartition(parts, group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sides = None, None
+        for batch in batches:
+            done = []
+            for key, block, row in zip(zip(*(batch[c].tolist() for c in (group, "low", "high")), strict=True), batch["block"].tolist(),
+                                       zip(*(batch[c].tolist() for c in values), strict=True), strict=True):
+                if key != now:
+                    if now:
+                        done.append(handle(now[1] == now[2], *sides))
+                    now, sides = key, ([], [])
+                if block == key[1]:
+                    sides[0].append(row)
+                if block == key[2]:
+                    sides[1].append(row)
+            if done:
+                yield pd.concat(done)
+        if now:
+            yield handle(now[1] == now[2], *sides)
+
+    return laid.select(group, "low", "high", "block", *values).mapInPandas(task, schema)
+
+
+def _open_links(members: DataFrame, found: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a link between each two components that nodes of one hub join, besides those through the hub's centre.
+
+    ``members`` (hub, node, centre) are what hub and centre leave open. Those outside the centre's component meet each other and
+    those inside it in pairs of blocks; a task gives one link for two components, however many there are.
+    """
+    main = found.select(F.col("node").alias("centre"), F.col("component").alias("main"))
+    near = (_placed(members.select("hub", "node", "centre"), found).join(main, "centre", "left")
+            .withColumn("inside", F.col("component") == F.coalesce("main", "centre")))
+    sizes = near.groupBy("hub").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK_MEMBERS).alias("outer"),
+                                    F.ceil(F.count_if("inside") / BLOCK_MEMBERS).alias("inner")).where("outer > 0")
+    zero = F.lit(0).cast("bigint")
+    block = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(
+        F.pmod(F.xxhash64("node"), "outer"))
+    last = F.when(F.col("inside"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
+    laid = (near.join(sizes, "hub").withColumn("block", block).withColumn("partner", F.explode(F.sequence(zero, last)))
+            .join(texts, "node").select("hub", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"),
+                                        "block", "node", "component", "packed"))
+
+    def handle(same: bool, left: list[tuple], right: list[tuple]) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+        if not left or not right:
+            return none
+        (left, low), (right, high) = _whole_sets(left, rule), _whole_sets(right, rule)
+        if not left or not right:
+            return none
+        a, b = np.array([r[1] for r in left], np.int64), np.array([r[1] for r in right], np.int64)
+        i, j = np.nonzero(_linked(low, high, rule) & (a[:, None] != b))
+        if not len(i):
+            return none
+        _, first = np.unique(np.stack([a[i], b[j]]), axis=1, return_index=True)
+        return pd.DataFrame({"a": [left[x][0] for x in i[first].tolist()], "b": [right[x][0] for x in j[first].tolist()]})
+
+    return _block_pairs(laid, "hub", ["node", "component", "packed"], "a bigint, b bigint", handle)
+
+
 def _link_counts(found: DataFrame, texts: DataFrame, weights: DataFrame, rule: Rule) -> DataFrame:
     """(node, links): how many texts of other nodes each node of a component is linked with.
 
@@ -394,44 +447,25 @@ def _link_counts(found: DataFrame, texts: DataFrame, weights: DataFrame, rule: R
             .join(weights, "node").join(texts, "node").select("component", "block", "node", "texts", "packed", partner)
             .select("component", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"),
                     "block", "node", "texts", "packed"))
-    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    laid = laid.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")
-
-    def counted(low: int, high: int, rows: list[tuple]) -> pd.DataFrame:
-        sides = []
-        for block in dict.fromkeys((low, high)):
-            mine = [r for r in rows if r[0] == block]
-            sets = list(_unpacked_sets(pd.Series([r[3] for r in mine]), rule))
-            same = [i for i, g in enumerate(sets) if set_key(g) == mine[i][1]]      # not another text of this doc_id and hash
-            sides.append(([mine[i][1] for i in same], np.array([mine[i][2] for i in same], np.int64), [sets[i] for i in same]))
-        left, right = sides[0], sides[-1]
-        if not left[0] or not right[0]:
-            return pd.DataFrame({"node": [], "links": []}).astype("int64")
-        common = common_counts(left[2], right[2])
-        n, m = np.array([len(g) for g in left[2]]), np.array([len(g) for g in right[2]])
-        linked = 100 * common >= rule.share * (n[:, None] + m - common)
-        if low == high:
-            np.fill_diagonal(linked, False)
-        links = [(left[0], linked @ right[1])] + ([(right[0], linked.T @ left[1])] if low != high else [])
-        return pd.DataFrame({"node": np.concatenate([k for k, _ in links]), "links": np.concatenate([x for _, x in links])})
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows = None, []
-        for batch in batches:
-            done = []
-            for key, row in zip(zip(batch["component"].tolist(), batch["low"].tolist(), batch["high"].tolist(), strict=True),
-                                zip(*(batch[c].tolist() for c in ("block", "node", "texts", "packed")), strict=True), strict=True):
-                if key != now:
-                    if rows:
-                        done.append(counted(*now[1:], rows))
-                    now, rows = key, []
-                rows.append(row)
-            if done:
-                yield pd.concat(done)
-        if rows:
-            yield counted(*now[1:], rows)
+    def handle(same: bool, left: list[tuple], right: list[tuple]) -> pd.DataFrame:
+        none = pd.DataFrame({"node": [], "links": []}).astype("int64")
+        if not left or not right:
+            return none
+        left, low = _whole_sets(left, rule)
+        right, high = (left, low) if same else _whole_sets(right, rule)
+        if not left or not right:
+            return none
+        linked = _linked(low, high, rule)
+        if same:
+            np.fill_diagonal(linked, False)
+        ends = [(left, linked @ np.array([r[1] for r in right]))]
+        if not same:
+            ends.append((right, linked.T @ np.array([r[1] for r in left])))
+        return pd.DataFrame({"node": [r[0] for rows, _ in ends for r in rows], "links": np.concatenate([n for _, n in ends])})
 
-    return laid.mapInPandas(task, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = _block_pairs(laid, "component", ["node", "texts", "packed"], "node bigint, links bigint", handle)
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_id",), count_links: bool = False) -> DataFrame:
@@ -456,9 +490,7 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     again = written(_compare(members.select(F.col("centre").alias("hub"), "node").distinct(), texts, rule), "compared")
     links = links.union(_links(again, rule))
     found = written(components(links), "components")
-    more = written(_rest(members, again, found, rule), "open-pairs")
-    others = written(_compare(more, texts, rule), "compared")
-    links = links.union(_links(others, rule)).distinct()
+    links = links.union(written(_open_links(members, found, texts, rule), "open-links")).distinct()
     found = written(components(links), "components") if count_links else components(links)
     named = places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
