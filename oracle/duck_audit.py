@@ -165,25 +165,25 @@ NOVALID = R("unverified", "P1", q("No page was fetched successfully."))
 
 CHECK_CASES = {
     "C-01": f"""CASE WHEN robots_status = 200 AND {strip("coalesce(robots_txt, '')")} <> ''
-        THEN {R('pass', 'P2', "'robots.txt found at ' || domain || '/robots.txt'", "domain || '/robots.txt'")}
-      WHEN robots_status = 0 OR robots_status = 404 THEN {R('warn', 'P2', q('robots.txt is missing.'), "domain || '/robots.txt'")}
-      ELSE {R('fail', 'P0', "'robots.txt answered HTTP ' || " + S_('robots_status') + " || '.'", "domain || '/robots.txt'")} END""",
+        THEN {R('pass', 'P2', "'Rules were read from ' || domain || '/robots.txt'", "domain || '/robots.txt'")}
+      WHEN robots_status = 0 OR robots_status = 404 THEN {R('warn', 'P2', q('The site serves no robots.txt.'), "domain || '/robots.txt'")}
+      ELSE {R('fail', 'P0', "'Fetching robots.txt gave status ' || " + S_('robots_status') + " || '.'", "domain || '/robots.txt'")} END""",
     "C-02": f"""CASE WHEN rb_wild_block AND len(rb_allowed) = 0
         THEN {R('fail', 'P0', q('robots.txt blocks every crawler and no AI bot has an exception.'), "domain || '/robots.txt'")}
-      WHEN len(rb_blocked) > 0 THEN {R('fail', 'P0', "'AI bots blocked: ' || array_to_string(rb_blocked, ', ') || '.'", "domain || '/robots.txt'")}
-      WHEN len(rb_allowed) > 0 THEN {R('pass', 'P0', S_('len(rb_allowed)') + " || ' AI bot(s) explicitly allowed.'", "domain || '/robots.txt'")}
+      WHEN len(rb_blocked) > 0 THEN {R('fail', 'P0', "'Shut out by robots.txt: ' || array_to_string(rb_blocked, ', ') || '.'", "domain || '/robots.txt'")}
+      WHEN len(rb_allowed) > 0 THEN {R('pass', 'P0', S_('len(rb_allowed)') + " || ' AI bot(s) welcomed by name.'", "domain || '/robots.txt'")}
       WHEN rb_wildcard THEN {R('unverified', 'P1', q('Only wildcard rules apply; no AI bot is named.'), "domain || '/robots.txt'")}
-      ELSE {R('unverified', 'P1', q('robots.txt absent or empty; AI bot policy unknown.'), "domain || '/robots.txt'")} END""",
+      ELSE {R('unverified', 'P1', q('Without rules in robots.txt the stance towards AI bots stays open.'), "domain || '/robots.txt'")} END""",
     "C-03": f"""CASE WHEN sitemap_status = 200 AND coalesce(n_sitemap_urls, 0) > 0
         THEN {R('pass', 'P1', "'Sitemap lists ' || " + S_('n_sitemap_urls') + " || ' URLs.'", 'sitemap_url')}
-      WHEN sitemap_status = 200 THEN {R('warn', 'P1', q('Sitemap answered 200 but no page URLs could be read.'),
+      WHEN sitemap_status = 200 THEN {R('warn', 'P1', q('The sitemap was served, yet it yields no page URL.'),
                                          "CASE WHEN sitemap_url <> '' THEN sitemap_url ELSE domain || '/sitemap.xml' END")}
       WHEN coalesce(n_pages, 0) < 20 THEN {R('warn', 'P2', q('No sitemap found; optional for a small site.'), "domain || '/sitemap.xml'")}
       ELSE {R('fail', 'P1', q('No sitemap found on a site of 20 or more pages.'), "domain || '/sitemap.xml'")} END""",
     "C-04": f"""CASE WHEN coalesce(c04_n, 0) < 3 THEN {R('unverified', 'P2', q('Fewer than 3 successful fetches; no median.'))}
-      WHEN c04_median < 2000 THEN {R('pass', 'P2', "'Median render time ' || " + S_('c04_median') + " || ' ms over ' || " + S_('c04_n') + " || ' pages.'")}
-      WHEN c04_median < 5000 THEN {R('warn', 'P1', "'Median render time ' || " + S_('c04_median') + " || ' ms over ' || " + S_('c04_n') + " || ' pages.'")}
-      ELSE {R('fail', 'P0', "'Median render time ' || " + S_('c04_median') + " || ' ms over ' || " + S_('c04_n') + " || ' pages.'")} END""",
+      WHEN c04_median < 2000 THEN {R('pass', 'P2', "'Half of the pages render within ' || " + S_('c04_median') + " || ' ms; measured on ' || " + S_('c04_n') + " || ' pages.'")}
+      WHEN c04_median < 5000 THEN {R('warn', 'P1', "'Half of the pages render within ' || " + S_('c04_median') + " || ' ms; measured on ' || " + S_('c04_n') + " || ' pages.'")}
+      ELSE {R('fail', 'P0', "'Half of the pages render within ' || " + S_('c04_median') + " || ' ms; measured on ' || " + S_('c04_n') + " || ' pages.'")} END""",
     "C-05": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
       WHEN c05_cross > 0 THEN {R('fail', 'P0', S_('c05_cross') + " || ' of ' || " + S_('n_valid') + " || ' pages point their canonical at another host.'", 'c05_cross_url', "'canonical=' || c05_cross_canon", 'c05_cross', 'n_valid')}
       WHEN c05_missing > 0 AND c05_self / greatest(n_valid, 1) > 0.7 THEN {R('warn', 'P1', S_('c05_missing') + " || ' of ' || " + S_('n_valid') + " || ' pages have no canonical link.'", 'c05_missing_url', "''", 'c05_missing', 'n_valid')}
@@ -191,16 +191,16 @@ CHECK_CASES = {
       WHEN c05_mismatch > 0 THEN {R('warn', 'P1', S_('c05_mismatch') + " || ' of ' || " + S_('n_valid') + " || ' pages have a canonical that differs from the URL.'", 'c05_mm_url', "'page=' || c05_mm_url || ' canonical=' || c05_mm_canon", 'c05_mismatch', 'n_valid')}
       ELSE {R('pass', 'P1', "'All ' || " + S_('n_valid') + " || ' pages have self-referencing canonicals.'", "''", "''", '0', 'n_valid')} END""",
     "C-06": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
-      WHEN c06_fail > n_valid * CAST(0.5 AS DOUBLE) THEN {R('fail', 'P1', S_('c06_fail') + " || ' of ' || " + S_('n_valid') + " || ' pages have fewer than 2 Open Graph tags.'", "''", "''", 'c06_fail', 'n_valid')}
-      WHEN c06_fail + c06_warn > 0 THEN {R('warn', 'P2', S_('c06_fail + c06_warn') + " || ' of ' || " + S_('n_valid') + " || ' pages miss one or more Open Graph tags.'", "''", "''", 'c06_fail + c06_warn', 'n_valid')}
+      WHEN c06_fail > n_valid * CAST(0.5 AS DOUBLE) THEN {R('fail', 'P1', S_('c06_fail') + " || ' of ' || " + S_('n_valid') + " || ' pages carry at most one Open Graph tag.'", "''", "''", 'c06_fail', 'n_valid')}
+      WHEN c06_fail + c06_warn > 0 THEN {R('warn', 'P2', S_('c06_fail + c06_warn') + " || ' of ' || " + S_('n_valid') + " || ' pages carry some Open Graph tags, not all four.'", "''", "''", 'c06_fail + c06_warn', 'n_valid')}
       ELSE {R('pass', 'P2', "'All ' || " + S_('n_valid') + " || ' pages have the four Open Graph tags.'", "''", "''", '0', 'n_valid')} END""",
     "C-09": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
-      WHEN c09_missing > n_valid * CAST(0.2 AS DOUBLE) THEN {R('fail', 'P1', S_('c09_missing') + " || ' of ' || " + S_('n_valid') + " || ' pages have no meta description.'", 'c09_ex', "''", 'c09_missing', 'n_valid')}
-      WHEN c09_missing + c09_range > 0 THEN {R('warn', 'P2', S_('c09_missing') + " || ' missing, ' || " + S_('c09_range') + " || ' outside 80-160 characters.'", "''", "''", 'c09_missing + c09_range', 'n_valid')}
+      WHEN c09_missing > n_valid * CAST(0.2 AS DOUBLE) THEN {R('fail', 'P1', S_('c09_missing') + " || ' of ' || " + S_('n_valid') + " || ' pages come without a meta description.'", 'c09_ex', "''", 'c09_missing', 'n_valid')}
+      WHEN c09_missing + c09_range > 0 THEN {R('warn', 'P2', S_('c09_missing') + " || ' without one, ' || " + S_('c09_range') + " || ' too short or too long (80 to 160 fit).'", "''", "''", 'c09_missing + c09_range', 'n_valid')}
       ELSE {R('pass', 'P2', "'All ' || " + S_('n_valid') + " || ' meta descriptions are 80-160 characters.'", "''", "''", '0', 'n_valid')} END""",
     "C-10": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
-      WHEN c10_missing + c10_long + c10_short > n_valid * CAST(0.3 AS DOUBLE) THEN {R('fail', 'P1', S_('c10_missing') + " || ' missing, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", 'c10_ex', "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
-      WHEN c10_missing + c10_long + c10_short > 0 THEN {R('warn', 'P2', S_('c10_missing') + " || ' missing, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", "''", "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
+      WHEN c10_missing + c10_long + c10_short > n_valid * CAST(0.3 AS DOUBLE) THEN {R('fail', 'P1', S_('c10_missing') + " || ' without one, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", 'c10_ex', "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
+      WHEN c10_missing + c10_long + c10_short > 0 THEN {R('warn', 'P2', S_('c10_missing') + " || ' without one, ' || " + S_('c10_short') + " || ' under 20 and ' || " + S_('c10_long') + " || ' over 80 characters.'", "''", "''", 'c10_missing + c10_long + c10_short', 'n_valid')}
       ELSE {R('pass', 'P2', "'Titles checked: ' || " + S_('n_valid') + " || ', none too short or too long.'", "''", "''", '0', 'n_valid')} END""",
     "C-11": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
       WHEN (c11_none + c11_multi) / n_valid * 100 > 10 THEN {R('fail', 'P1', S_('c11_none') + " || ' without H1, ' || " + S_('c11_multi') + " || ' with several (' || " + S_(pct_int('(c11_none + c11_multi)', 'greatest(n_valid, 1)')) + " || '% of pages).'", 'c11_ex', "''", 'c11_none + c11_multi', 'n_valid')}
@@ -208,25 +208,25 @@ CHECK_CASES = {
       WHEN coalesce(c11_dups, 0) > coalesce(c11_h1_pages, 0) * CAST(0.15 AS DOUBLE) THEN {R('warn', 'P2', S_('c11_dups') + " || ' first headings repeat another page''s; pages with one: ' || " + S_('c11_h1_pages') + " || '.'", "''", "''", 'c11_dups', 'n_valid')}
       ELSE {R('pass', 'P2', "'All ' || " + S_('n_valid') + " || ' pages have one unique H1.'", "''", "''", '0', 'n_valid')} END""",
     "C-13": f"""CASE WHEN coalesce(n_valid, 0) = 0 THEN {NOVALID}
-      WHEN c13_qa = 0 AND c13_faq = 0 THEN {R('na', 'INFO', q('No question-and-answer content found.'))}
-      WHEN c13_qa > 0 AND c13_gap > 0 THEN {R('warn', 'P1', S_('c13_gap') + " || ' of ' || " + S_('c13_qa') + " || ' question-style pages lack FAQPage markup.'", 'c13_ex', "''", 'c13_gap', 'c13_qa')}
-      ELSE {R('pass', 'P1', "'FAQPage markup found on ' || " + S_('c13_faq') + " || ' page(s).'", "''", "''", '0', 'n_valid')} END""",
-    "C-15": f"""CASE WHEN hp_status IS NULL OR hp_status <> 200 THEN {R('unverified', 'P0', q('The homepage did not answer 200.'))}
-      WHEN hp_org_type IS NULL THEN {R('fail', 'P0', q('No Organization markup (of any subtype) on the homepage.'), 'hp_url', "''", '0', '1')}
-      WHEN len(hp_missing) = 0 THEN {R('pass', 'P0', "hp_org_type || ' markup has name, url, logo and sameAs.'", 'hp_url', "''", '0', '1')}
-      ELSE {R('warn', 'P1', "'Organization markup lacks: ' || array_to_string(hp_missing, ', ') || '.'", 'hp_url', "''", '0', '1')} END""",
+      WHEN c13_qa = 0 AND c13_faq = 0 THEN {R('na', 'INFO', q('Nothing on the pages looks like questions and answers.'))}
+      WHEN c13_qa > 0 AND c13_gap > 0 THEN {R('warn', 'P1', S_('c13_gap') + " || ' of ' || " + S_('c13_qa') + " || ' pages with question headings carry no FAQPage block.'", 'c13_ex', "''", 'c13_gap', 'c13_qa')}
+      ELSE {R('pass', 'P1', "'FAQPage blocks stand on ' || " + S_('c13_faq') + " || ' page(s).'", "''", "''", '0', 'n_valid')} END""",
+    "C-15": f"""CASE WHEN hp_status IS NULL OR hp_status <> 200 THEN {R('unverified', 'P0', q('The homepage could not be read (status other than 200).'))}
+      WHEN hp_org_type IS NULL THEN {R('fail', 'P0', q('The homepage describes no organization of any kind.'), 'hp_url', "''", '0', '1')}
+      WHEN len(hp_missing) = 0 THEN {R('pass', 'P0', "hp_org_type || ' block gives name, url, logo and sameAs.'", 'hp_url', "''", '0', '1')}
+      ELSE {R('warn', 'P1', "'The homepage''s Organization block leaves out: ' || array_to_string(hp_missing, ', ') || '.'", 'hp_url', "''", '0', '1')} END""",
     "C-19": f"""CASE WHEN hsts_l = '' THEN {R('fail', 'P1', q('No Strict-Transport-Security header.'), 'domain')}
-      WHEN hsts_digits = '' THEN {R('warn', 'P2', "'HSTS header without max-age: ' || hsts_l", 'domain')}
+      WHEN hsts_digits = '' THEN {R('warn', 'P2', "'The HSTS header gives no age: ' || hsts_l", 'domain')}
       WHEN length(hsts_age) > 8 OR (length(hsts_age) = 8 AND hsts_age >= '15552000') THEN {R('pass', 'P2', "'HSTS max-age=' || hsts_age || '.'", 'domain')}
-      ELSE {R('warn', 'P2', "'HSTS max-age=' || hsts_age || ' is under 180 days.'", 'domain')} END""",
+      ELSE {R('warn', 'P2', "'HSTS max-age=' || hsts_age || ', less than half a year.'", 'domain')} END""",
     "C-22": f"""CASE WHEN coalesce(c22_statuses, 0) = 0 THEN {R('na', 'INFO', q('No link statuses known.'))}
-      WHEN coalesce(c22_broken, 0) = 0 THEN {R('pass', 'P0', "'No broken internal links among ' || " + S_('coalesce(c22_probed, 0)') + " || ' known targets.'")}
-      ELSE {R('fail', 'P0', S_('c22_broken') + " || ' broken internal link(s), e.g. ' || c22_ex_target || ' (HTTP ' || " + S_('c22_ex_status') + " || ') from ' || c22_ex_src || '.'", 'c22_ex_src', "'links to ' || c22_ex_target || ' (HTTP ' || " + S_('c22_ex_status') + " || ')'", 'c22_srcs', 'n_pages')} END""",
+      WHEN coalesce(c22_broken, 0) = 0 THEN {R('pass', 'P0', "'Every internal link works, of ' || " + S_('coalesce(c22_probed, 0)') + " || ' known targets.'")}
+      ELSE {R('fail', 'P0', S_('c22_broken') + " || ' internal link(s) lead nowhere, one is ' || c22_ex_target || ' (HTTP ' || " + S_('c22_ex_status') + " || ') from ' || c22_ex_src || '.'", 'c22_ex_src', "'links to ' || c22_ex_target || ' (HTTP ' || " + S_('c22_ex_status') + " || ')'", 'c22_srcs', 'n_pages')} END""",
     "C-23": f"""CASE WHEN coalesce(c23_total, 0) < 20 THEN {R('na', 'INFO', "'Only ' || " + S_('coalesce(c23_total, 0)') + " || ' anchored internal links; too few to judge.'")}
-      WHEN c23_generic / greatest(c23_total, 1) * 100 < 5 THEN {R('pass', 'P2', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% generic anchors (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'")}
-      WHEN c23_generic / greatest(c23_total, 1) * 100 < 15 THEN {R('warn', 'P2', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% generic anchors (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'", "''", "''", 'coalesce(c23_ex_srcs, 0)', 'n_pages')}
-      ELSE {R('fail', 'P1', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% generic anchors (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'", "''", "''", 'coalesce(c23_ex_srcs, 0)', 'n_pages')} END""",
-    "C-24": f"""CASE WHEN coalesce(n_sitemap_urls, 0) = 0 THEN {R('na', 'INFO', q('No sitemap URLs to compare.'))}
+      WHEN c23_generic / greatest(c23_total, 1) * 100 < 5 THEN {R('pass', 'P2', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% of anchors say nothing of their target (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'")}
+      WHEN c23_generic / greatest(c23_total, 1) * 100 < 15 THEN {R('warn', 'P2', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% of anchors say nothing of their target (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'", "''", "''", 'coalesce(c23_ex_srcs, 0)', 'n_pages')}
+      ELSE {R('fail', 'P1', pct_tenths('c23_generic', 'greatest(c23_total, 1)') + " || '% of anchors say nothing of their target (' || " + S_('c23_generic') + " || ' of ' || " + S_('c23_total') + " || ').'", "''", "''", 'coalesce(c23_ex_srcs, 0)', 'n_pages')} END""",
+    "C-24": f"""CASE WHEN coalesce(n_sitemap_urls, 0) = 0 THEN {R('na', 'INFO', q('The sitemap gives nothing to compare with.'))}
       WHEN coalesce(c24_sitemap, 0) < 5 THEN {R('na', 'INFO', "'Only ' || " + S_('coalesce(c24_sitemap, 0)') + " || ' sitemap URLs; too few to judge.'")}
       WHEN coalesce(c24_orphans, 0) / c24_sitemap * 100 < 10 THEN {R('pass', 'P1', S_('coalesce(c24_orphans, 0)') + " || ' of ' || " + S_('c24_sitemap') + " || ' sitemap URLs are not linked (' || " + S_(pct_int('coalesce(c24_orphans, 0)', 'c24_sitemap')) + " || '%).'")}
       WHEN coalesce(c24_orphans, 0) / c24_sitemap * 100 < 30 THEN {R('warn', 'P1', S_('coalesce(c24_orphans, 0)') + " || ' of ' || " + S_('c24_sitemap') + " || ' sitemap URLs are not linked (' || " + S_(pct_int('coalesce(c24_orphans, 0)', 'c24_sitemap')) + " || '%).'", "coalesce(c24_ex, '')", "''", 'c24_orphans', 'c24_sitemap')}
