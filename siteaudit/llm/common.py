@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in as many buckets of ``column`` as a shuffle has partitions, and read it back.
+
+    Joins and groupings by ``column`` read the buckets as they are, so a table that many of them take is shuffled once. The table's
+    name is only needed to read its buckets; it is taken out of the catalog again, the files stay.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    table_name = f"llm_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(table_name)
+    stored = spark.table(table_name)
+    stored.schema    # resolved while the name is there
+    spark.sql(f"DROP TABLE {table_name}")
+    return stored
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, where the session sets no limit of its own.
 BATCH_BYTES = 4 << 20
 

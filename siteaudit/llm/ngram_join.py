@@ -41,7 +41,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import WordScanner, blocks, bounded_batches, mix64, word_bytes, written
+from siteaudit.llm.common import WordScanner, blocks, bounded_batches, bucketed, mix64, word_bytes, written
 from siteaudit.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -194,18 +194,19 @@ def _facts(docs: DataFrame, rule: Rule, keep: list[str]) -> DataFrame:
 
 
 def _places(facts: DataFrame) -> DataFrame:
-    """(node, doc_id, text_hash, copies): one document of each node, with the smallest doc_id, and how many rows repeat it."""
-    same = facts.where("n > 0").groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    first = same.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("f"))
-    return first.select("node", "f.doc_id", "f.text_hash", "f.copies")
+    """(node, doc_id, text_hash): one document of each node, with the smallest doc_id."""
+    first = facts.where("n > 0").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    return first.select("node", "f.doc_id", "f.text_hash")
 
 
 def _texts(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, packed) of the wanted nodes: the compressed text of each one's document, once.
 
     A document is found by doc_id and the hash of its text, so that a null or repeated doc_id is no hot key and a node meets no
-    other node's text; the rows that repeat a document as a whole are made one afterwards."""
-    at = places.join(wanted, "node").select("node", F.col("doc_id").cast("string").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
+    other node's text; the rows that repeat a document as a whole are made one before they are shuffled by node. The table lies in
+    buckets by node: all later joins read it as it lies."""
+    at = places.join(wanted, "node").select("node", F.col("doc_id").cast("string").alias("_id"), F.col("text_hash").alias("_hash"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,10 +215,9 @@ def _texts(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = (docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_hash"), "text")
             .mapInPandas(task, "doc_id string, text_hash bigint, packed binary"))
-    found = written(rows.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-                    .select("node", "packed", "copies"), "texts")
-    repeated = written(found.where("copies > 1").select("node", "packed").distinct(), "texts")
-    return found.where("copies = 1").select("node", "packed").union(repeated)
+    found = (rows.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+             .groupBy("node").agg(F.collect_set("packed").alias("packed")))     # one, but for texts with the same hash
+    return bucketed(found.select("node", F.explode("packed").alias("packed")), "node", "texts")
 
 
 def _unpacked_sets(packed: pd.Series, rule: Rule) -> Iterator[np.ndarray]:
@@ -477,7 +477,8 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     bounded_batches(docs.sparkSession)
     told = docs.select(*keep, F.xxhash64("text").alias("text_hash"), "text")
     facts = written(_facts(told, rule, [*keep, "text_hash"]), "sets")
-    nodes = written(facts.where("n > 0").select("node", "n", "sample", "extra").distinct(), "nodes")
+    nodes = bucketed(facts.where("n > 0").groupBy("node").agg(F.first(F.struct("n", "sample", "extra")).alias("f"))
+                     .select("node", "f.*"), "node", "nodes")
     places = written(_places(facts), "places")
     signed = written(_signed(nodes, rule), "signed")
     pairs = written(signed.where("node != hub").select("hub", "node").distinct(), "stars")
