@@ -57,6 +57,15 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     return stored
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` or ``bucketed`` gave, once all that read it are written themselves."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("llm-"):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, where the session sets no limit of its own.
 BATCH_BYTES = 4 << 20
 

@@ -41,7 +41,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import WordScanner, blocks, bounded_batches, bucketed, mix64, word_bytes, written
+from siteaudit.llm.common import WordScanner, blocks, bounded_batches, bucketed, discard, mix64, word_bytes, written
 from siteaudit.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -263,7 +263,7 @@ def _links(compared: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _signed(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, node, n, own): the signatures that more than one node has, and the share of n-grams that only the node has."""
+    """(node, n, hub, members), written: each node's signatures that more than one node has, by their hub and number of nodes."""
     postings = nodes.select("node", F.explode("sample").alias("gram"))
     shared = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = (postings.join(shared, "gram").groupBy("node").agg(F.collect_list(F.struct("df", "gram")).alias("grams")))
@@ -289,7 +289,9 @@ def _signed(nodes: DataFrame, rule: Rule) -> DataFrame:
     signed = written(rows.mapInPandas(task, "sig bigint, node bigint, n bigint, own double"), "signatures")
     hubs = (signed.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("own", "node")).alias("h"))
             .where("members > 1").select("sig", "members", F.col("h.node").alias("hub")))
-    return signed.join(hubs, "sig").select("sig", "node", "n", "hub", "members")
+    held = written(signed.join(hubs, "sig").select("node", "n", "hub", "members"), "signed")
+    discard(signed)
+    return held
 
 
 def _own_grams(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -480,7 +482,10 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     nodes = bucketed(facts.where("n > 0").groupBy("node").agg(F.first(F.struct("n", "sample", "extra")).alias("f"))
                      .select("node", "f.*"), "node", "nodes")
     places = written(_places(facts), "places")
-    signed = written(_signed(nodes, rule), "signed")
+    rows = written(facts.select(*keep, "text_hash", "n", "node"), "rows")
+    discard(facts)
+    signed = _signed(nodes, rule)
+    discard(nodes)
     pairs = written(signed.where("node != hub").select("hub", "node").distinct(), "stars")
     ends = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     texts = _texts(docs, places, ends)
@@ -499,11 +504,11 @@ def near_duplicates(docs: DataFrame, rule: Rule, keep: tuple[str, ...] = ("doc_i
     shown = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
              "component"]
     if count_links:
-        weights = facts.where("n > 0").groupBy("node", "text_hash").agg(F.lit(1)).groupBy("node").agg(F.count(F.lit(1)).alias("texts"))
+        weights = rows.where("n > 0").groupBy("node", "text_hash").agg(F.lit(1)).groupBy("node").agg(F.count(F.lit(1)).alias("texts"))
         named = (named.join(weights, "node").join(_link_counts(found, texts, weights, rule), "node", "left")
                  .withColumn("n_links", F.col("texts") - 1 + F.coalesce("links", F.lit(0).cast("bigint"))))
         shown.append(F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-    return facts.select(*keep, "n", "node").join(named, "node", "left").select(*keep, *shown)
+    return rows.select(*keep, "n", "node").join(named, "node", "left").select(*keep, *shown)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
