@@ -5,6 +5,8 @@ import random
 import numpy as np
 from brute import components, personal, sha256, word_sets
 
+from pyspark.sql import functions as F
+
 from siteaudit.llm import decontaminate, ngram_join, personal_data, projection_forest
 from siteaudit.llm import components as cc
 
@@ -337,3 +339,56 @@ def test_a_group_of_thousands_counts_every_link(spark):
     rows = [(i, " ".join(base + [f"end{i}"])) for i in range(1500)]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
     assert {(r.component_id, r.n_links) for r in got} == {(0, 1499)} and len(got) == 1500
+
+
+def plain_share(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j + 1], best[j])
+    return best[-1] / len(a)
+
+
+def test_recall_of_passages_by_length_and_by_replaced_words(spark):
+    """Every copy of 4 words or more, whatever its place; of 200 paraphrases with one or two words in eight replaced, what the README states."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    items, rows, kinds = [], [], {}
+    for n, replaced in [(4, 0), (6, 0), (8, 0), (12, 0), (20, 0), (60, 0), (40, 1), (40, 2)]:
+        for _ in range(100):
+            i, w = len(items), draw(n)
+            items.append((i, " ".join(w)))
+            text = w.copy()
+            for at in range(0, len(w) - 8, 8):
+                for k in rng.sample(range(8), replaced):
+                    text[at + k] = rng.choice(words)
+            rows.append((i, " ".join(draw(rng.randint(0, 90)) + text + draw(rng.randint(0, 90)))))
+            kinds[i] = (n, replaced)
+    rows += [(10000 + i, " ".join(draw(rng.randint(1, 400)))) for i in range(200)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    hit = {r.doc_id for r in got if r.doc_id == r.item_id}
+    share = {k: sum(i in hit for i, x in kinds.items() if x == k) for k in sorted(set(kinds.values()))}
+    print(share)
+    text, item = dict(rows), dict(items)
+    assert all(plain_share(item[r.item_id].split(), text[r.doc_id].split()) >= 0.5 for r in got)
+    assert all(n >= (95 if k[1] else 99) for k, n in share.items()), share
+    assert all(r.doc_id < 10000 for r in got)
+
+
+def test_decontamination_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plain = sorted(map(tuple, decontaminate.contaminated(docs, bench, short=True).collect()))
+    assert plain and plain == sorted(map(tuple, decontaminate.contaminated(
+        docs.repartition(5).sortWithinPartitions(F.hash("text")), bench, short=True).collect()))
+
+
+def test_items_of_few_words_are_looked_up_exactly(spark):
+    docs = spark.createDataFrame([(1, "Say YES, then go"), (2, "go then"), (3, "then go"), (4, None), (5, ""), (None, "yes")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "then go"), (3, "say yes then"), (4, "..."), (5, "then go"), (None, "go")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.score, r.answer) for r in decontaminate.contaminated(docs, bench, short=True).collect()}
+    assert got == {(d, i, 1.0, True) for d, i in [(1, 1), (1, 2), (1, 3), (1, 5), (3, 2), (3, 5), (None, 1)]}
+    assert decontaminate.contaminated(docs, bench).count() == 0
