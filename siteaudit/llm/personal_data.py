@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are what the base patterns (email, ip, card, phone) find. The words to the left of a seed, with digits as 0, are its contexts:
-the last word, and the last two. Contexts and the strings that stand in them form a graph, counted over all documents. In each
+Seeds are what the base patterns (email, ip, card, phone) find, and strings of a key's shape (``secret``: at least ``KEY_LENGTH``
+letters and digits in one run, ``KEY_MIX`` of each). The words around a seed, in small letters and with digits as 0, are its
+contexts: the last one, two and three words to its left, and the last two with the one to its right. Words to the left count from
+the match before. Contexts and the strings that stand in them form a graph, counted over all documents. In each
 of ``ROUNDS`` rounds a context is scored for a kind by the share of the distinct strings in it that are held to be of that
 kind, and an unknown string (identifier-like, in no base span) by the contexts that it stands in, as 1 - product of
 (1 - score). Contexts with at least ``SUPPORT`` distinct seeds and a score of ``CONFIDENT`` or more then give the unknown strings in them
-their kind: spans beside the base ones.
+their kind: spans beside the base ones. A string of a key's shape is a span only where such a context says so too, as
+digests and serial numbers have that shape as well.
 
 Spans are in code points, end exclusive. Per kind, base matches are the leftmost that don't overlap; those that fail their test
 (ip part over 255, Luhn, number of digits) are dropped. The expressions are written so that no text makes them backtrack
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from siteaudit.llm.common import written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: The base patterns, and last the shape of unknown identifiers.
 LOCAL, IDENT = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+@:/=-]"
 PATTERNS = (
@@ -34,10 +38,10 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
     rf"(?<!{IDENT})[A-Za-z._%+:/=-]*+[0-9@]{IDENT}*+",
 )
-UNKNOWN = len(KINDS)
+SECRET, UNKNOWN = len(BASE), len(KINDS)
 ROUNDS, SUPPORT, CONFIDENT = 2, 3, 0.8
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
-CONTEXT_CHARS = 80
+KEY_LENGTH, KEY_MIX = 20, 5
 
 
 def digits_of(c: Column) -> Column:
@@ -68,30 +72,47 @@ def may_hold(text: Column) -> Column:
     return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
 
 
+def _plain(c: Column) -> Column:
+    """In small letters, digits as 0, one space between words."""
+    return F.regexp_replace(F.translate(F.lower(c), "0123456789", "0" * 10), r"\s+", " ")
+
+
 def spans_of(rows: DataFrame) -> DataFrame:
-    """(row, kind, start, end, string, left) of all base spans and unknown identifiers; ``left`` is the text before.
+    """(row, kind, start, end, string, left, right) of all base spans, keys and unknown identifiers.
 
-    A match's place is the length of the pieces and matches before it, a running sum within row and kind.
+    ``left`` has up to three words before the string, ``right`` what follows up to a space. A match's place is the length of the
+    pieces and matches before it, a running sum within row and kind.
     """
-    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.arrays_zip(
-        F.split("text", p, -1).alias("piece"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hit")).alias("at"))
-        for k, p in enumerate(PATTERNS)])
-    each = (rows.select("row", F.explode(parts).alias("p"))
+    parts = []
+    for k, p in enumerate(PATTERNS):
+        pieces = F.split("text", p, -1)
+        matches = F.arrays_zip(pieces.alias("piece"), F.slice(pieces, 2, F.size(pieces)).alias("next"),
+                               F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hit"))
+        parts.append(F.struct(F.lit(k if k < len(BASE) else UNKNOWN).alias("kind"), F.transform(matches, lambda m: F.struct(
+            F.length(m["piece"]).cast("bigint").alias("gap"), m["hit"].alias("hit"),
+            F.substring_index(F.trim(_plain(m["piece"])), " ", -3).alias("left"),
+            _plain(F.regexp_extract(m["next"], r"^\s*+(\S*+)", 1)).alias("right"))).alias("at")))
+    each = (rows.select("row", F.explode(F.array(*parts)).alias("p"))
             .select("row", "p.kind", F.posexplode("p.at").alias("i", "m")).where("m.hit is not null")
-            .select("row", "kind", "i", F.length("m.piece").cast("bigint").alias("gap"),
-                    F.substring("m.piece", -CONTEXT_CHARS, CONTEXT_CHARS).alias("left"), F.col("m.hit").alias("hit")))
+            .select("row", "kind", "i", "m.gap", "m.left", "m.right", "m.hit"))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("hit")).over(before)
-    placed = each.select("row", "kind", "left", "hit", end.alias("end"))
+    placed = each.select("row", "kind", "left", "right", "hit", end.alias("end"))
     trimmed = F.when(F.col("kind") == UNKNOWN, F.regexp_replace("hit", r"[._%+:/=-]++$", "")).otherwise(F.col("hit"))
-    return (placed.select("row", "kind", "left", trimmed.alias("string"), (F.col("end") - F.length("hit")).alias("start"))
-            .withColumn("end", F.col("start") + F.length("string")).where(passes(F.col("kind"), F.col("string"))))
+    spans = (placed.select("row", "kind", "left", "right", trimmed.alias("string"), (F.col("end") - F.length("hit")).alias("start"))
+             .withColumn("end", F.col("start") + F.length("string")).where(passes(F.col("kind"), F.col("string"))))
+    return spans.withColumn("kind", F.when((F.col("kind") == UNKNOWN) & key_shaped(F.col("string")), SECRET).otherwise(F.col("kind")))
+
+
+def key_shaped(c: Column) -> Column:
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    return (F.length(c) >= KEY_LENGTH) & c.rlike("^[A-Za-z0-9]++$") & (letters >= KEY_MIX) & (F.length(c) - letters >= KEY_MIX)
 
 
 def _apart(spans: DataFrame) -> DataFrame:
-    """Without the unknown strings that touch a base span."""
+    """Without the unknown strings and keys that touch a base span."""
     order = Window.partitionBy("row").orderBy("start", "kind")
-    base = F.col("kind") < UNKNOWN
+    base = F.col("kind") < SECRET
     reached = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     following = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     return (spans.withColumn("_reached", reached).withColumn("_next", following)
@@ -102,12 +123,14 @@ def _apart(spans: DataFrame) -> DataFrame:
 
 def _contexts(spans: DataFrame) -> DataFrame:
     """One row per span and context."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(F.lower("left"), "0123456789", "0" * 10), r"\s+", " ")), " ")
-    words = F.filter(words, lambda w: w != "")
+    words = F.filter(F.split("left", " "), lambda w: w != "")
     n = F.size(words)
-    contexts = F.array_compact(F.array(
-        F.when(n >= 1, F.element_at(words, -1)),
-        F.when(n >= 2, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))))
+
+    def last(k: int) -> Column:
+        return F.when(n >= k, F.array_join(F.slice(words, -k, k), " "))
+
+    around = F.concat_ws(" ", F.when(n > 2, F.array_join(F.slice(words, 2, 2), " ")).otherwise(F.array_join(words, " ")), F.lit("_"), "right")
+    contexts = F.array_compact(F.array(last(1), last(2), last(3), F.when(n >= 1, around)))
     return spans.withColumn("context", F.explode(contexts))
 
 
@@ -138,15 +161,16 @@ def confident_contexts(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def all_spans(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(row, kind, start, end, base) of the base spans and the discovered ones. ``rows`` has (row, text), row unique."""
+    """(row, kind, start, end, base) of the base spans and those that contexts give. ``rows`` has (row, text), row unique."""
     spans = written(_apart(spans_of(rows.where(may_hold(F.col("text"))))), "spans")
     placed = _contexts(spans)
     edges = written(placed.select("context", _normal(F.col("string")).alias("string"), "kind").distinct(), "edges")
     named = confident_contexts(edges, rounds)
-    found = (placed.where(F.col("kind") == UNKNOWN).select("row", "start", "end", "context").join(named, "context")
+    found = (placed.where(F.col("kind") >= SECRET).select("row", "start", "end", "context", F.col("kind").alias("shape"))
+             .join(named, "context").where(F.col("shape").isin(UNKNOWN) | (F.col("shape") == F.col("kind")))
              .groupBy("row", "start", "end").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("best"))
              .select("row", F.col("best.kind").alias("kind"), "start", "end", F.lit(False).alias("base")))
-    return spans.where(F.col("kind") < UNKNOWN).select("row", "kind", "start", "end", F.lit(True).alias("base")).union(found)
+    return spans.where(F.col("kind") < SECRET).select("row", "kind", "start", "end", F.lit(True).alias("base")).union(found)
 
 
 def _numbered(docs: DataFrame, *columns: str) -> DataFrame:
@@ -172,7 +196,7 @@ def report(docs: DataFrame) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter("own", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
 
-    return every.select("doc_id", *[count(k) for k in range(len(KINDS))],
+    return every.select("doc_id", *[count(k) for k in range(len(BASE))],
                         F.sha2(F.array_join(F.col("own.shown"), ","), 256).alias("base_sha256"),
                         F.array_join(F.col("every.shown"), ",").alias("spans"))
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 
@@ -62,5 +63,64 @@ def personal(text):
     return out
 
 
+def plain_context(left, right):
+    """The contexts of a string from the texts on both sides."""
+    def small(t):
+        return re.sub("[0-9]", "0", t.lower())
+    words = re.findall(r"\S+", small(left), re.ASCII)[-3:]
+    out = [" ".join(words[-k:]) for k in (1, 2, 3) if len(words) >= k]
+    return out + [" ".join([*words[-2:], "_", small(re.match(r"\s*(\S*)", right, re.ASCII)[1])])] if out else out
+
+
+def all_personal(texts, rule):
+    """The spans of each text as op10 joins them, with the thresholds of ``rule`` (the operator's module)."""
+    placed, base = [], [personal(t) for t in texts]
+    unknown = r"(?<![A-Za-z0-9._%+@:/=-])[A-Za-z._%+:/=-]*+[0-9@][A-Za-z0-9._%+@:/=-]*+"
+    for row, text in enumerate(texts):
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base[row]]
+        for kind, pattern in [*PII, ("", unknown)]:
+            hits = list(re.finditer(pattern, text or ""))
+            for i, m in enumerate(hits):
+                left = text[hits[i - 1].end() if i else 0:m.start()]
+                right = text[m.end():hits[i + 1].start() if i + 1 < len(hits) else len(text)]
+                string, found = m[0], kind
+                if kind:
+                    if f"{kind}:{m.start()}:{m.end()}" not in base[row]:
+                        continue
+                else:
+                    string = re.sub("[._%+:/=-]+$", "", string)
+                    digits, letters = len(re.findall("[0-9]", string)), len(re.findall("[A-Za-z]", string))
+                    if len(string) < rule.LEAST_LENGTH or digits < rule.LEAST_DIGITS and "@" not in string:
+                        continue
+                    if any(a < m.start() + len(string) and m.start() < b for a, b in taken):
+                        continue
+                    if len(string) == digits + letters and len(string) >= rule.KEY_LENGTH and min(digits, letters) >= rule.KEY_MIX:
+                        found = "secret"
+                end = m.start() + len(string)
+                placed.append((row, found, m.start(), end, re.sub(r"[\s().-]", "", string).lower(), plain_context(left, right)))
+    strings, seeds, unknowns = (collections.defaultdict(set) for _ in range(3))
+    for _, kind, _, _, string, contexts in placed:
+        for c in contexts:
+            strings[c].add(string)
+            (seeds[c, kind] if kind else unknowns[c]).add(string)
+    known = {k: len(v) for k, v in seeds.items() if len(v) >= rule.SUPPORT}
+    score = {k: n / len(strings[k[0]]) for k, n in known.items()}
+    for _ in range(rule.ROUNDS):
+        left_out = collections.defaultdict(float)
+        for (c, kind), s in score.items():
+            for string in unknowns[c] if s >= 0.5 else ():
+                left_out[string, kind] += math.log(max(1 - s, 1e-9))
+        score = {(c, kind): min(1.0, (n + sum(1 - math.exp(left_out[u, kind]) for u in unknowns[c] if (u, kind) in left_out)) / len(strings[c]))
+                 for (c, kind), n in known.items()}
+    out = [[(rule.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in spans)] for spans in base]
+    for row, kind, start, end, _, contexts in placed:
+        if kind in ("", "secret"):
+            best = sorted((-score[c, k], rule.KINDS.index(k)) for c in contexts for k in rule.KINDS
+                          if score.get((c, k), 0) >= rule.CONFIDENT and kind in ("", k))
+            if best:
+                out[row].append((best[0][1], start, end))
+    return [",".join(f"{rule.KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)) for spans in out]
+
+
 def sha256(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()

@@ -10,10 +10,10 @@ import zlib
 
 import pytest
 import xxhash
-from brute import components, personal, word_sets
+from brute import all_personal, components, personal, word_sets
 
 import __spark_entry__ as E
-from siteaudit.llm import sharding, zip_archives
+from siteaudit.llm import personal_data, sharding, zip_archives
 from siteaudit.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -137,9 +137,11 @@ def test_pipeline_stages_against_brute_force(spark):
             assert held and not held & after.keys() and len(after) >= len(before) - 2 * len(held)
         else:
             assert after.keys() == before.keys()
+            spans = dict(zip(before, all_personal([r.text for r in before.values()], personal_data), strict=True))
+            assert all(spans[i] for i, r in before.items() if personal(r.text))
             for i, r in after.items():
                 assert r.n_chars == len(r.text)
-                assert not personal(r.text) and (r.text == before[i].text) == (not personal(before[i].text))
+                assert not personal(r.text) and (r.text == before[i].text) == (not spans[i])
     assert P.STAGES[-1][1](spark, kept, SF).count() == kept.count()
 
 
