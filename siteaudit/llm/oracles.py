@@ -2,6 +2,50 @@
 
 from __future__ import annotations
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op1(words: int = 3, share: int = 90) -> str:
+    """Equal sets are one node; links by counting common shingles; what a node reaches by a recursive query."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, text, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, text, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: {shingle}))) END AS s FROM texts),
+nodes AS MATERIALIZED (
+  SELECT row_number() OVER () AS node, s, len(s) AS n, count(DISTINCT text) AS texts FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS MATERIALIZED (SELECT node, n, unnest(s) AS item FROM nodes),
+near AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.item = b.item AND a.node <> b.node
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= {share} * (any_value(a.n) + any_value(b.n) - count(*))),
+reached AS (
+  SELECT node, node AS other FROM nodes
+  UNION SELECT r.node, l.b FROM reached r JOIN near l ON r.other = l.a),
+least AS (SELECT s, min(doc_id) AS doc_id FROM sets GROUP BY s),
+components AS (
+  SELECT r.node, min(l.doc_id) AS component_id FROM reached r JOIN nodes n ON n.node = r.other JOIN least l ON l.s = n.s GROUP BY r.node),
+linked AS (SELECT l.a AS node, sum(n.texts) AS links FROM near l JOIN nodes n ON n.node = l.b GROUP BY l.a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) > 0 THEN c.component_id ELSE d.doc_id END AS component_id,
+       coalesce(n.texts - 1 + coalesce(k.links, 0), 0)::BIGINT AS n_links
+FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN components c ON c.node = n.node LEFT JOIN linked k ON k.node = n.node
+"""
+
+
+#: The digest in base32: five hex digits are four letters.
+OP9 = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS keeper,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+           (('0x' || substr(sha1(payload), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest
+  FROM payloads)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM digests
+"""
+
 OP11 = r"""
 WITH docs AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -79,4 +123,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
-ORACLES: dict[str, str] = {"op11_source_divergence": OP11, "op12_anchor_codes": op12()}
+ORACLES: dict[str, str] = {"op1_token_combinations": op1(), "op9_zip_archives": OP9, "op11_source_divergence": OP11, "op12_anchor_codes": op12()}
