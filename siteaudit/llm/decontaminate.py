@@ -145,9 +145,12 @@ class Space:
         size = np.diff(bounds)
         steps = -(-size // STRIDE)
         first = np.concatenate([[0], np.cumsum(steps)])
-        begins = _runs(bounds[:-1], steps, STRIDE)
-        sums = np.add.reduceat(self.weighted[features], begins, axis=0)
-        sums = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])      # what stands beyond a text's end
+        beyond = len(self.vocabulary)               # the row of zeros, for what stands beyond a text's end
+        padded = np.full((first[-1] + 1, STRIDE), beyond)
+        padded.ravel()[_runs(first[:-1] * STRIDE, size, 1)] = features
+        sums = self.weighted[padded[:, 0]]
+        for k in range(1, STRIDE):
+            sums += self.weighted[padded[:, k]]
         width = WINDOW // STRIDE
         count = np.where(size > 0, np.maximum(steps - width + 1, 1), 0)
         text = np.repeat(np.arange(len(size)), count)
@@ -163,6 +166,8 @@ class Space:
             dots = part @ self.unit.T
             # a product's last digits depend on where a row stands in it, so the pairs it leaves are taken again one by one
             w, q = np.nonzero(dots >= (COSINE - 1e-3) * norm[:, None])
+            near = dots[w, q] >= 0.999 * self.cover[q]
+            w, q = w[near], q[near]
             exact = (part[w].astype(np.float64) * self.unit[q]).sum(axis=1)
             keep = (exact >= COSINE * norm[w]) & (exact >= self.cover[q])
             out.append((w[keep] + low, q[keep], exact[keep] / norm[w[keep]]))
