@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.session import checkpoint_dir
+from siteaudit.session import bounded_batches, checkpoint_dir  # noqa: F401 - operators take bounded_batches from here
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])   # executors need no installed package
 
@@ -66,17 +66,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Bytes of an Arrow batch that goes to a Python worker, where the session sets no limit of its own.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: texts differ in length by orders of magnitude, so a number of rows bounds nothing."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 # ---------------------------------------------------------------- scanning bytes with numpy
 def _splitmix(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
